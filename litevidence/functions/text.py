@@ -15,7 +15,7 @@ def split_list(c: Column | str, delimiter: str = r",\s+") -> Column:
 
     A comma without a blank belongs to the item: chemical names are full of them.
     """
-    items = F.transform(F.split(_col(c), delimiter), F.trim)
+    items = F.transform(F.split(_col(c), delimiter), lambda item: F.trim(item))
     return F.filter(items, lambda item: item != "")
 
 

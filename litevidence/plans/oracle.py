@@ -70,7 +70,7 @@ PARTS = {
                    CASE WHEN n BETWEEN 34 AND 42 THEN 'GO_' || n END,
                    CASE WHEN n BETWEEN 1 AND 19 THEN 'MONDO_' || n END,
                    CASE WHEN n BETWEEN 12 AND 30 THEN 'OTAR_' || n END,
-                   CASE WHEN n BETWEEN 15 AND 38 THEN 'EFO_' || n END], x -> x IS NOT NULL) END AS areas,
+                   CASE WHEN n BETWEEN 15 AND 38 THEN 'EFO_' || n END], lambda x: x IS NOT NULL) END AS areas,
                CASE WHEN n BETWEEN 12 AND 30 THEN 'OTAR_' || n WHEN n <= 19 THEN 'MONDO_' || n
                     WHEN n <= 38 THEN 'EFO_' || n WHEN n <= 42 THEN 'GO_' || n END AS area
         FROM sizes WHERE n <= 44""",

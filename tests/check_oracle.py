@@ -65,8 +65,9 @@ def main() -> int:
             ok = got == want
             note = ""
             if not ok:
-                missing = [r for r in want[1] if r not in set(got[1])][:2]
-                extra = [r for r in got[1] if r not in set(want[1])][:2]
+                have, need = set(got[1]), set(want[1])
+                missing = [r for r in want[1] if r not in have][:2]
+                extra = [r for r in got[1] if r not in need][:2]
                 note = f"\n   cols {got[0]} / {want[0]}\n   missing {missing}\n   extra {extra}"
             print(f"{'ok  ' if ok else 'DIFF'} {name} {len(got[1])}/{len(want[1])} rows {took:.2f}s{note}", flush=True)
         except Exception as error:  # noqa: BLE001
