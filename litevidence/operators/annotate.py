@@ -42,7 +42,7 @@ def max_phase(known_drug: DataFrame) -> DataFrame:
 
 
 def attach_max_phase(triplets: DataFrame, known_drug: DataFrame) -> DataFrame:
-    return lookup(triplets, max_phase(known_drug), PAIR, "left")
+    return sized_join(triplets, max_phase(known_drug), PAIR, "left", unique=True)
 
 
 def article_reviews(article_type: DataFrame) -> DataFrame:
@@ -56,14 +56,14 @@ def article_reviews(article_type: DataFrame) -> DataFrame:
 
 
 def attach_article_type(
-    triplets: DataFrame, article_type: DataFrame, hot: DataFrame | None = None
+    triplets: DataFrame, article_type: DataFrame, counted: DataFrame | None = None
 ) -> DataFrame:
     """Adds articleType: review, primary, or null when the lookup gave no types.
 
-    `hot` may name the most frequent articles if they are known from a smaller table.
+    `counted` may be a smaller table that shows how often each article occurs.
     """
     rows = triplets.withColumn("pmid", trimmed_id("pmid"))
-    joined = lookup(rows, article_reviews(article_type), ["pmid"], "left", hot=hot)
+    joined = lookup(rows, article_reviews(article_type), ["pmid"], "left", counted=counted)
     review = F.when(F.col("listed"), F.col("is_review")).otherwise(False)
     return joined.withColumn("articleType", article_label(review)).drop("is_review", "listed")
 
@@ -103,4 +103,4 @@ def attach_compound_phase(
     phases = molecule_dictionary.groupBy(F.col("chembl_id").alias(column)).agg(
         F.max("max_phase").alias("max_phase")
     )
-    return lookup(rows, phases, [column], "left")
+    return sized_join(rows, phases, [column], "left", unique=True)

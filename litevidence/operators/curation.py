@@ -124,7 +124,7 @@ def ground_labels(
         .groupBy(F.col("label").alias(column))
         .agg(F.min("label_id").alias(target))
     )
-    out = sized_join(rows, ids, [column], "left")
+    out = sized_join(rows, ids, [column], "left", unique=True)
     if overrides:
         pairs = [F.lit(x) for pair in overrides.items() for x in pair]
         out = out.withColumn(
@@ -150,7 +150,7 @@ def ground_terms(
         .agg(F.min(F.struct("rank", "term_id")).alias("_hit"))
         .select("_term", F.replace(F.col("_hit.term_id"), F.lit(":"), F.lit("_")).alias(target))
     )
-    out = sized_join(rows.withColumn("_term", term_key(column)), best, ["_term"], "left")
+    out = sized_join(rows.withColumn("_term", term_key(column)), best, ["_term"], "left", unique=True)
     if overrides:
         pairs = [F.lit(x) for k, v in overrides.items() for x in (k.strip().lower(), v)]
         out = out.withColumn(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litevidence.constants import (
@@ -138,11 +138,14 @@ def component_synonyms(compounds: Tables) -> DataFrame:
 
 
 def _gather(key: str, value: str, name: str):
-    """Distinct values per key as a sorted array. Copies go before the rows of a key come together."""
+    """Distinct values per key as a sorted array. Copies go before the rows of a key come together.
+
+    Values holding a `, ` are taken apart, as they will be when the dictionary is read from text.
+    """
 
     def gather(rows: DataFrame) -> DataFrame:
         return (
-            rows.where(F.col(value).isNotNull())
+            rows.select(key, F.explode(split_list(value)).alias(value))
             .distinct()
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(value)).alias(name))
@@ -151,27 +154,53 @@ def _gather(key: str, value: str, name: str):
     return gather
 
 
-def merged(*columns: str):
-    """Distinct members of several arrays, sorted; a missing array counts as empty.
-
-    Members holding a `, ` are taken apart, as they will be when the dictionary is read from text.
-    """
+def merged(*columns: str) -> Column:
+    """Distinct members of several arrays, sorted; a missing array counts as empty."""
     present = [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in columns]
-    pieces = F.flatten(F.transform(F.concat(*present), lambda item: split_list(item)))
-    return F.array_sort(F.array_distinct(pieces))
+    return F.array_sort(F.array_distinct(F.concat(*present)))
 
 
-def with_synonyms(rows: DataFrame, portal: Tables, compounds: Tables) -> DataFrame:
-    """Adds preferred name and the merged synonyms of compound and target to the main set."""
+def compound_terms(portal: Tables, compounds: Tables) -> DataFrame:
+    """Preferred name and synonyms from both sources, once per probe and structure."""
+    inchi = portal["compound"].select("compoundid", F.col("inchikey").alias("INCHI"))
     return (
-        rows.join(probe_synonyms(portal), "ID", "left")
+        portal["probe"].join(inchi, F.col("compound_id") == F.col("compoundid"), "left")
+        .select(F.col("probeid").alias("ID"), "INCHI")
+        .distinct()
+        .join(probe_synonyms(portal), "ID", "left")
         .join(preferred_names(compounds), "INCHI", "left")
         .join(compound_synonyms(compounds), "INCHI", "left")
+        .select("ID", "INCHI", "PREF_NAME", merged("SYNOMS", "SYNOMS_CHEMBL").alias("SYNOMS"))
+    )
+
+
+def target_terms(portal: Tables, compounds: Tables) -> DataFrame:
+    """Synonyms from both sources, once per base target and protein."""
+    return (
+        portal["targettobasetarget"]
+        .join(portal["target"], F.col("targetid") == F.col("target_id"))
+        .select(F.col("basetarget_id").alias("TARGETID"), F.col("uniprotid").alias("UNIPROT"))
+        .distinct()
         .join(target_synonyms(portal), "TARGETID", "left")
         .join(component_synonyms(compounds), "UNIPROT", "left")
-        .withColumn("SYNOMS", merged("SYNOMS", "SYNOMS_CHEMBL"))
-        .withColumn("SYNOMS_TARGET", merged("SYNOMS_TARGET", "SYNOMS_TARGET_CHEMBL"))
-        .drop("SYNOMS_CHEMBL", "SYNOMS_TARGET_CHEMBL")
+        .select(
+            "TARGETID", "UNIPROT",
+            merged("SYNOMS_TARGET", "SYNOMS_TARGET_CHEMBL").alias("SYNOMS_TARGET"),
+        )
+    )
+
+
+def with_synonyms(rows: DataFrame, portal: Tables, compounds: Tables) -> DataFrame:
+    """Adds preferred name and the merged synonyms of compound and target to the main set.
+
+    The lists are merged once per compound and once per target, before the many-to-many main set.
+    """
+    terms = compound_terms(portal, compounds).withColumnsRenamed({"ID": "_id", "INCHI": "_inchi"})
+    same = (F.col("ID") == F.col("_id")) & F.col("INCHI").eqNullSafe(F.col("_inchi"))
+    return (
+        rows.join(terms, same, "left")
+        .drop("_id", "_inchi")
+        .join(target_terms(portal, compounds), ["TARGETID", "UNIPROT"], "left")
     )
 
 

@@ -75,7 +75,7 @@ def improve_ids(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace the annotated id by the dictionary's id where the label is a known synonym."""
     ids = label_ids(dictionary).select("label", "CHEMBLID")
     return (
-        sized_join(mentions, ids, ["label"], "left")
+        sized_join(mentions, ids, ["label"], "left", unique=True)
         .withColumn("label_id", F.coalesce("CHEMBLID", "label_id"))
         .select(*mentions.columns)
     )

@@ -7,8 +7,9 @@ Three ways to join, by what is known about the right side:
 * `grid_join`   - any number of rows per key on both sides: hot keys are dealt into cells.
 
 Each of them gives the result of the plain join, whatever the counts turn out to be; the counts only
-decide how the work is spread. The inputs are read once more to be counted (key columns only), so hand
-these functions a table rather than a long unfinished plan.
+decide how the work is spread. Counting is a job of its own that reads the key columns and answers one
+question, whether any key is hot; without one, the plan is the plain join. So hand these functions a
+table rather than a long unfinished plan.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litevidence.sources.writers import staged
+
 HOT_ROWS = 500_000        # a key with more rows than this is worth treating on its own
 HOT_KEY_LIMIT = 10_000    # keys treated on their own; a key beyond these holds < 1/10,000 of the rows
 ROWS_PER_CELL = 50_000    # rows of one key and one side that may meet in one cell
@@ -46,6 +49,11 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
     )
 
 
+def written_if_any(hot: DataFrame) -> DataFrame | None:
+    """The hot keys as a small written table, or None when there are none."""
+    return None if hot.isEmpty() else staged(hot, "hot-keys")
+
+
 def split_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is hot, and all others. `hot` comes from `hot_keys`."""
     hashed = df.withColumn("_h", key_hash(on))
@@ -61,19 +69,20 @@ def lookup(
     on: Sequence[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join to a table with at most one row per key; `how` is left, inner, left_semi or left_anti.
 
     Rows of hot keys meet the few right rows they can match through a broadcast (one row per hot key,
-    so no more than HOT_KEY_LIMIT); only the others are shuffled. `hot` may name the hot keys when they
-    are cheaper to find elsewhere.
+    so no more than HOT_KEY_LIMIT); only the others are shuffled. `counted` may be a smaller table whose
+    key counts stand for those of `left`.
     """
     on = list(on)
     if how in ("left_semi", "left_anti"):
         right = right.select(*on).distinct()
+    hot = written_if_any(hot_keys(left if counted is None else counted, on, hot_rows))
     if hot is None:
-        hot = hot_keys(left, on, hot_rows)
+        return left.join(right, on, how)
     hot_left, other_left = split_hot(left, hot, on)
     hot_right, _ = split_hot(right, hot, on)
     return hot_left.join(F.broadcast(hot_right), on, how).unionByName(
@@ -86,12 +95,16 @@ def sized_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
+    unique: bool = False,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join to a dimension: broadcast when counted to be small, balanced otherwise."""
+    """Join to a dimension: broadcast when counted to be small, balanced otherwise.
+
+    `unique` says that the right side has one row per key.
+    """
     if right.limit(max_rows + 1).count() <= max_rows:
         return left.join(F.broadcast(right), list(on), how)
-    if how in ("left_semi", "left_anti"):
+    if unique or how in ("left_semi", "left_anti"):
         return lookup(left, right, on, how)
     return grid_join([left, right], on, how)
 
@@ -128,6 +141,9 @@ def grid_join(
         .orderBy(F.desc(reduce(Column.__mul__, [F.col(f"_s{j}").cast("double") for j in span])), *on)
         .limit(HOT_KEY_LIMIT)
     )
+    hot = written_if_any(hot)
+    if hot is None:
+        return reduce(lambda a, b: a.join(b, on, how), sides)
     counts = [f"_n{j}" for j in span]
     coords = [f"_c{j}" for j in span]
     dealt = [_deal(side, hot, on, i, len(sides)) for i, side in enumerate(sides)]

@@ -19,8 +19,9 @@ def gene_symbols(dictionary: DataFrame, column: str = "GENE") -> DataFrame:
 
 def with_overrides(gene_table: DataFrame, overrides: dict[str, str] = GENE_OVERRIDES) -> DataFrame:
     """The symbol table with hand-made entries, which win over those it holds."""
-    patched = gene_table.sparkSession.createDataFrame(
-        list(overrides.items()), "symbol string, ensembl_id string"
+    pairs = [F.lit(x) for pair in overrides.items() for x in pair]
+    patched = gene_table.sparkSession.range(1).select(
+        F.explode(F.create_map(*pairs)).alias("symbol", "ensembl_id")
     )
     return gene_table.select("symbol", "ensembl_id").join(
         F.broadcast(patched), "symbol", "left_anti"

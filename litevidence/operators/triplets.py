@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.operators.skew import HOT_ROWS, ROWS_PER_CELL, grid_join, hot_keys, split_hot
+from litevidence.operators.skew import (
+    HOT_ROWS, ROWS_PER_CELL, grid_join, hot_keys, split_hot, written_if_any,
+)
 
 ENTITY_TYPES = ("CD", "GP", "DS")  # compound, gene/protein, disease
 SENTENCE = ("pmid", "sentence", "date", "section")
@@ -32,6 +34,7 @@ def extract_triplets(
     value: str = "label_id",
     outer: bool = False,
     article: str = "pmid",
+    counted: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
@@ -42,13 +45,17 @@ def extract_triplets(
 
     Sentences of ordinary articles are gathered with one shuffle. Articles with more than `hot_rows`
     mentions take the other way: their distinct entities are joined cell by cell, so that no sentence is
-    ever held in one row. Without such articles that branch is empty and is dropped at run time.
+    ever held in one row. Articles are counted beforehand, by their ids alone; `counted` may be a table
+    with a row per mention from which that is cheaper than from `mentions`.
     """
     keys = list(keys)
     known = mentions.where(F.col("entity_type").isin(*ENTITY_TYPES)).select(*keys, "entity_type", value)
     for key in keys:
         known = known.where(F.col(key).isNotNull())
-    big, usual = split_hot(known, hot_keys(mentions, [article], hot_rows), [article])
+    hot = written_if_any(hot_keys(mentions if counted is None else counted, [article], hot_rows))
+    if hot is None:
+        return _gathered(known, keys, value, outer)
+    big, usual = split_hot(known, hot, [article])
     return _gathered(usual, keys, value, outer).unionByName(
         _crossed(big, keys, value, outer, rows_per_cell)
     )

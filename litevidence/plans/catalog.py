@@ -58,11 +58,12 @@ def mentions(v: Views) -> DataFrame:
 
 
 def triplets(v: Views) -> DataFrame:
-    return extract_triplets(mentions(v))
+    return extract_triplets(mentions(v), counted=v.mention_articles())
 
 
-def accepted(v: Views) -> DataFrame:
-    return accepted_triplets(triplets(v), v.dictionary_targets(), v.gene_symbol(), once=True)
+def accepted(v: Views, once: bool = True) -> DataFrame:
+    found = staged(triplets(v), "triplets")
+    return accepted_triplets(found, v.dictionary_targets(), v.gene_symbol(), once)
 
 
 def portal(v: Views) -> dict[str, DataFrame]:
@@ -148,12 +149,14 @@ def triplet_extract(v: Views) -> DataFrame:
 
 @query
 def triplet_extract_outer(v: Views) -> DataFrame:
-    return extract_triplets(mentions(v), outer=True)
+    return extract_triplets(mentions(v), outer=True, counted=v.mention_articles())
 
 
 @query
 def triplet_extract_labels(v: Views) -> DataFrame:
-    return extract_triplets(mentions(v), keys=("pmid", "sentence"), value="label", outer=True)
+    return extract_triplets(
+        mentions(v), ("pmid", "sentence"), "label", outer=True, counted=v.mention_articles()
+    )
 
 
 @query
@@ -168,7 +171,7 @@ def gene_to_id(v: Views) -> DataFrame:
 
 @query
 def accepted_pairs(v: Views) -> DataFrame:
-    return accepted_triplets(triplets(v), v.dictionary_targets(), v.gene_symbol())
+    return accepted(v, once=False)
 
 
 @query
@@ -240,7 +243,7 @@ def attach_max_phase(v: Views) -> DataFrame:
 
 @query
 def article_type(v: Views) -> DataFrame:
-    return annotate.attach_article_type(triplets(v), v.article_type())
+    return annotate.attach_article_type(staged(triplets(v), "triplets"), v.article_type())
 
 
 @query

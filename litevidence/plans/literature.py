@@ -10,7 +10,7 @@ from litevidence.operators.evidence import (
 )
 from litevidence.functions.text import empty_to_null
 from litevidence.operators.mentions import complete_mentions, improve_ids, select_articles
-from litevidence.operators.skew import grid_join, hot_keys, lookup
+from litevidence.operators.skew import grid_join, lookup
 from litevidence.operators.targets import accepted_triplets, without_blacklisted
 from litevidence.operators.triplets import extract_triplets
 from litevidence.sources.writers import staged
@@ -19,7 +19,7 @@ from litevidence.sources.writers import staged
 def grounded_triplets(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Triplets of all articles that mention a compound of the dictionary."""
     chosen = staged(select_articles(mentions, dictionary), "mentions")
-    return extract_triplets(complete_mentions(improve_ids(chosen, dictionary)))
+    return extract_triplets(complete_mentions(improve_ids(chosen, dictionary)), counted=chosen)
 
 
 def annotated_pairs(
@@ -53,17 +53,17 @@ def annotated_triplets(
     """Accepted triplets with evidence, dated evidence, area, phase and article type.
 
     What is known about a target-disease pair is put together once per pair and meets the triplets in a
-    single join, so the wide triplet rows with their sentences are shuffled once. Three tables are
-    written on the way: the chosen mentions, the accepted triplets, the annotated pairs.
+    single join, so the wide triplet rows with their sentences are shuffled once. Tables are written on
+    the way: the chosen mentions, all and accepted triplets, the annotated pairs.
     """
-    triplets = grounded_triplets(mentions, dictionary)
+    triplets = staged(grounded_triplets(mentions, dictionary), "triplets")
     if blacklist is not None:
         triplets = without_blacklisted(triplets, blacklist)
     accepted = staged(
-        evidence_names(accepted_triplets(triplets, dictionary_targets, gene_table)).distinct(), "triplets"
+        evidence_names(accepted_triplets(triplets, dictionary_targets, gene_table)).distinct(), "accepted"
     )
     pairs = accepted.select(*PAIR).distinct()
     known = staged(annotated_pairs(pairs, evidence, dated, disease, known_drug), "pairs")
     joined = grid_join([accepted, known], PAIR, "inner")
-    return attach_article_type(joined, article_type, hot=hot_keys(accepted, ["pmid"]))
+    return attach_article_type(joined, article_type, counted=accepted)
 

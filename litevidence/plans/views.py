@@ -14,9 +14,13 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A test table; opened once per query, since opening reads the file's schema."""
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._opened[name]
 
     # --- literature -------------------------------------------------------------------------------
 
@@ -47,6 +51,10 @@ class Views:
             )
         )
 
+    def mention_articles(self) -> DataFrame:
+        """The article of each mention, nothing else."""
+        return self.table("lineitem").select(F.col("l_orderkey").cast("string").alias("pmid"))
+
     def dictionary_text(self) -> DataFrame:
         """Compound dictionary as it is read from a text file: synonyms delimited in one string."""
         return (

@@ -7,8 +7,6 @@ RECOMMENDED = {
     # Split a skewed partition even where the split costs one more shuffle further on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    # collect_set keeps its hash map for this many sentences before it falls back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
 }
 
 
