@@ -57,18 +57,23 @@ def article_ids(mentions: DataFrame) -> DataFrame:
     return mentions.select("pmid").distinct()
 
 
-def mentions_of(mentions: DataFrame, articles: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mentions_of(
+    mentions: DataFrame, articles: DataFrame, counted: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """All mentions of the given articles. The list of articles may be long, so it is not broadcast."""
-    return lookup(mentions, articles, ["pmid"], "left_semi", hot_rows)
+    return lookup(mentions, articles, ["pmid"], "left_semi", hot_rows, counted)
 
 
-def select_articles(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
+def select_articles(
+    mentions: DataFrame, dictionary: DataFrame, counted: DataFrame | None = None
+) -> DataFrame:
     """Every distinct mention of every article that has at least one compound of the dictionary.
 
-    Rows are chosen before copies are removed, so the wide shuffle sees only what is kept.
+    Rows are chosen before copies are removed, so the wide shuffle sees only what is kept. `counted` may
+    be a table with a row per mention in which articles are counted more cheaply than in `mentions`.
     """
     hits = labelled_mentions(mentions, dictionary_labels(dictionary))
-    return mentions_of(mentions, article_ids(hits)).distinct()
+    return mentions_of(mentions, article_ids(hits), counted).distinct()
 
 
 def improve_ids(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:

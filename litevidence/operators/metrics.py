@@ -47,10 +47,12 @@ def histogram_text(
     rows: DataFrame, keys: Sequence[str], item: str, name: str, total: str
 ) -> DataFrame:
     """`item[count], ...` per key and the number of rows; counted before the items come together."""
-    counted = rows.where(F.col(item).isNotNull()).groupBy(*keys, item).agg(F.count(F.lit(1)).alias("_n"))
+    counted = rows.groupBy(*keys, item).agg(F.count(item).alias("_n"))
     text = F.concat(F.col(item), F.lit("["), F.col("_n").cast("string"), F.lit("]"))
-    return counted.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(text)), ", ").alias(name), F.sum("_n").alias(total)
+    return (
+        counted.groupBy(*keys)
+        .agg(F.array_join(F.array_sort(F.collect_list(text)), ", ").alias(name), F.sum("_n").alias(total))
+        .where(F.col(total) > 0)
     )
 
 

@@ -26,6 +26,7 @@ HOT_ROWS = 500_000        # a key with more rows than this is worth treating on
 HOT_KEY_LIMIT = 10_000    # keys treated on their own; a key beyond these holds < 1/10,000 of the rows
 ROWS_PER_CELL = 50_000    # rows of one key and one side that may meet in one cell
 BROADCAST_ROWS = 200_000  # rows of a dimension that may be sent to every executor
+BROADCAST_BYTES = 64 << 20  # and their size, measured as text
 _NULL_KEY_SPREAD = 1_000  # cells among which rows without a key are dealt
 
 
@@ -90,6 +91,14 @@ def lookup(
     )
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast: its rows are counted and, if they are few, measured."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        return False
+    width = F.length(F.to_json(F.struct(*df.columns)))
+    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
+
+
 def sized_join(
     left: DataFrame,
     right: DataFrame,
@@ -102,7 +111,7 @@ def sized_join(
 
     `unique` says that the right side has one row per key.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
+    if is_small(right, max_rows):
         return left.join(F.broadcast(right), list(on), how)
     if unique or how in ("left_semi", "left_anti"):
         return lookup(left, right, on, how)

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.operators.skew import (
-    HOT_ROWS, ROWS_PER_CELL, grid_join, hot_keys, split_hot, written_if_any,
-)
+from litevidence.operators.skew import grid_join, hot_keys, split_hot, written_if_any
 
 ENTITY_TYPES = ("CD", "GP", "DS")  # compound, gene/protein, disease
 SENTENCE = ("pmid", "sentence", "date", "section")
 
+BIG_ARTICLE = 5_000    # mentions above which an article may hold a sentence with very many triplets
+IDS_PER_CELL = 200     # ids of each type that are combined by one task at a time: up to 8 million triplets
+
 
 def _ids_of(kind: str, value: str) -> Column:
     return F.when(F.col("entity_type") == kind, F.col(value))
@@ -35,8 +36,8 @@ def extract_triplets(
     outer: bool = False,
     article: str = "pmid",
     counted: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    rows_per_cell: int = ROWS_PER_CELL,
+    hot_rows: int = BIG_ARTICLE,
+    rows_per_cell: int = IDS_PER_CELL,
 ) -> DataFrame:
     """All CD x GP x DS combinations of each sentence.
 

@@ -110,7 +110,7 @@ def articles_with_probe(v: Views) -> DataFrame:
 
 @query
 def article_mentions(v: Views) -> DataFrame:
-    return select_articles(mentions(v), v.dictionary_text())
+    return select_articles(mentions(v), v.dictionary_text(), v.mention_articles())
 
 
 @query
