@@ -64,16 +64,23 @@ def mentions_of(
     return lookup(mentions, articles, ["pmid"], "left_semi", hot_rows, counted)
 
 
-def select_articles(
+def probe_articles(
     mentions: DataFrame, dictionary: DataFrame, counted: DataFrame | None = None
 ) -> DataFrame:
-    """Every distinct mention of every article that has at least one compound of the dictionary.
+    """Every mention of every article that has at least one compound of the dictionary, copies included.
 
-    Rows are chosen before copies are removed, so the wide shuffle sees only what is kept. `counted` may
-    be a table with a row per mention in which articles are counted more cheaply than in `mentions`.
+    `counted` may be a table with a row per mention in which articles are counted more cheaply than in
+    `mentions`.
     """
     hits = labelled_mentions(mentions, dictionary_labels(dictionary))
-    return mentions_of(mentions, article_ids(hits), counted).distinct()
+    return mentions_of(mentions, article_ids(hits), counted)
+
+
+def select_articles(
+    mentions: DataFrame, dictionary: DataFrame, counted: DataFrame | None = None
+) -> DataFrame:
+    """The same without copies. Rows are chosen first, so the wide shuffle sees only what is kept."""
+    return probe_articles(mentions, dictionary, counted).distinct()
 
 
 def improve_ids(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def label_id_counts(v: Views) -> DataFrame:
 
 
 @query
-def complete_rows(v: Views) -> DataFrame:
+def complete_mentions_(v: Views) -> DataFrame:
     rows = report(v).select("PMID", "SECTION", "PROBE", "GENE", "DISEASES", "CONTROL", "DOSAGE")
     return complete_mentions(rows.dropna(subset=["DISEASES"])).distinct()
 
@@ -267,6 +267,7 @@ def annotated_triplets_(v: Views) -> DataFrame:
     return annotated_triplets(
         mentions(v), v.dictionary_text(), v.dictionary_targets(), v.gene_symbol(), v.evidence(),
         v.dated_evidence(), v.disease(), v.known_drug(), v.article_type(), v.blacklist(),
+        v.mention_articles(),
     )
 
 
@@ -518,9 +519,10 @@ def pair_agreement(v: Views) -> DataFrame:
 
 def _text_sets(v: Views) -> tuple[DataFrame, DataFrame]:
     docs = v.table("documents")
+    good = v.table("labels").where(F.col("quality") == 1)
     return (
         docs.where(F.col("lang") == "en").select("text"),
-        docs.where(F.col("source").startswith("src1")).select("text"),
+        docs.join(good, "doc_id", "left_semi").select("text"),
     )
 
 

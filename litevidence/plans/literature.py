@@ -9,16 +9,21 @@ from litevidence.operators.evidence import (
     PAIR, SOURCE_PAIR, YEARS, dated_lists, evidence_columns, evidence_names,
 )
 from litevidence.functions.text import empty_to_null
-from litevidence.operators.mentions import complete_mentions, improve_ids, select_articles
+from litevidence.operators.mentions import complete_mentions, improve_ids, probe_articles
 from litevidence.operators.skew import grid_join, lookup
 from litevidence.operators.targets import accepted_triplets, without_blacklisted
 from litevidence.operators.triplets import extract_triplets
 from litevidence.sources.writers import staged
 
 
-def grounded_triplets(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Triplets of all articles that mention a compound of the dictionary."""
-    chosen = staged(select_articles(mentions, dictionary), "mentions")
+def grounded_triplets(
+    mentions: DataFrame, dictionary: DataFrame, counted: DataFrame | None = None
+) -> DataFrame:
+    """Triplets of all articles that mention a compound of the dictionary.
+
+    Copies of mentions are left in: gathering a sentence's entities removes them in the same shuffle.
+    """
+    chosen = staged(probe_articles(mentions, dictionary, counted), "mentions")
     return extract_triplets(complete_mentions(improve_ids(chosen, dictionary)), counted=chosen)
 
 
@@ -49,21 +54,23 @@ def annotated_triplets(
     known_drug: DataFrame,
     article_type: DataFrame,
     blacklist: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted triplets with evidence, dated evidence, area, phase and article type.
 
     What is known about a target-disease pair is put together once per pair and meets the triplets in a
     single join, so the wide triplet rows with their sentences are shuffled once. Tables are written on
-    the way: the chosen mentions, all and accepted triplets, the annotated pairs.
+    the way: the chosen mentions, the accepted triplets, the annotated pairs. `counted` may be a table
+    with a row per mention in which articles are counted more cheaply than in `mentions`.
     """
-    triplets = staged(grounded_triplets(mentions, dictionary), "triplets")
+    triplets = grounded_triplets(mentions, dictionary, counted)
     if blacklist is not None:
         triplets = without_blacklisted(triplets, blacklist)
+    # Distinct by construction: triplets of a sentence and accepted pairs both are.
     accepted = staged(
-        evidence_names(accepted_triplets(triplets, dictionary_targets, gene_table)).distinct(), "accepted"
+        evidence_names(accepted_triplets(triplets, dictionary_targets, gene_table)), "accepted"
     )
     pairs = accepted.select(*PAIR).distinct()
     known = staged(annotated_pairs(pairs, evidence, dated, disease, known_drug), "pairs")
     joined = grid_join([accepted, known], PAIR, "inner")
     return attach_article_type(joined, article_type, counted=accepted)
-

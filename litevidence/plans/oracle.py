@@ -159,7 +159,8 @@ PARTS = {
     "sides": """
         SELECT pmid, CD, GP, DS, section = 'F' AS gold FROM triplets""",
     "text_a": "SELECT DISTINCT text FROM documents WHERE lang = 'en'",
-    "text_b": "SELECT DISTINCT text FROM documents WHERE starts_with(source, 'src1')",
+    "text_b": """
+        SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
 }
 
 _TRIPLET_COLUMNS = "pmid, sentence, date, section, CD, GP, DS"
@@ -186,7 +187,7 @@ BODIES = {
                    WHEN 'N' THEN 'GP_' || l_suppkey ELSE 'DS_' || CAST(l_quantity AS INTEGER) END) AS n_changed
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
              LEFT JOIN label_id_table ON label = p_name || ' ' || p_brand""",
-    "complete_rows": """
+    "complete_mentions": """
         SELECT DISTINCT PMID, SECTION, PROBE, GENE, DISEASES, CONTROL, DOSAGE FROM report
         WHERE SECTION IS NOT NULL AND DISEASES IS NOT NULL AND CONTROL IS NOT NULL AND DOSAGE IS NOT NULL""",
     "triplet_extract": f"SELECT {_TRIPLET_COLUMNS} FROM triplets",
