@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from litevidence import schemas
 from litevidence.functions.text import literal_items, split_list
-from litevidence.operators import annotate, evidence, targets
+from litevidence.operators import annotate, targets
 from litevidence.operators.dictionary import build_dictionary
+from litevidence.operators.evidence import attach_dated, attach_evidence
 from litevidence.operators.mentions import complete_mentions, improve_ids, select_articles
 from litevidence.operators.triplets import extract_triplets
 from litevidence.plans.literature import annotated_triplets
@@ -84,14 +85,14 @@ def accepted(spark: SparkSession, input: str, probes: str, genes: str) -> DataFr
 
 @step("input", "evidence")
 def curated(spark: SparkSession, input: str, evidence: str) -> DataFrame:
-    return _attach_evidence(
+    return attach_evidence(
         readers.read_parquet(spark, input), readers.read_parquet(spark, evidence, schemas.EVIDENCE)
     )
 
 
 @step("input", "dated")
 def dated(spark: SparkSession, input: str, dated: str) -> DataFrame:
-    return evidence.attach_dated(
+    return attach_dated(
         readers.read_parquet(spark, input), readers.read_dated_evidence(spark, dated)
     )
 
@@ -133,9 +134,6 @@ def everything(
     )
 
 
-_attach_evidence = evidence.attach_evidence
-
-
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="litevidence")
     commands = parser.add_subparsers(dest="step", required=True)

@@ -43,11 +43,13 @@ def pair_agreement(extracted: DataFrame, curated: DataFrame) -> DataFrame:
 
 
 def common(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    """Distinct rows of both. Copies go first, so a value with very many copies does not burden a task."""
+    return a.distinct().intersect(b.distinct())
 
 
 def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.subtract(b)
+    """Distinct rows of the first table that the second lacks."""
+    return a.distinct().subtract(b.distinct())
 
 
 def overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

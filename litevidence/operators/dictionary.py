@@ -14,6 +14,7 @@ from litevidence.constants import (
     CALCULATED_ORIGIN, DICTIONARY_SETS, EXTERNAL_COMPOUND_DB, PORTAL_SET, SYNONYM_ATTRIBUTE_TYPE,
 )
 from litevidence.functions.text import differs, literal_items, split_list, strip_literal
+from litevidence.operators.skew import is_small, sized_join
 
 Tables = Mapping[str, DataFrame]
 
@@ -23,8 +24,10 @@ def main_set(portal: Tables, sets: Collection[str] = DICTIONARY_SETS) -> DataFra
     probe = portal["probe"].where(F.col("origin_id") != CALCULATED_ORIGIN)
     probe = probe.where(F.col("compoundset_id").cast("string").isin(*sets))
     compound = portal["compound"].select("compoundid", F.col("name").alias("PROBE"), "inchikey")
-    sets_ = portal["compoundset"].select("compoundsetid", F.col("name").alias("SET"))
-    return (
+    names = portal["compoundset"].select(
+        F.col("compoundsetid").alias("SETID"), F.col("name").alias("SET")
+    ).where(F.col("SETID").cast("string").isin(*sets))
+    rows = (
         probe.join(compound, F.col("compound_id") == F.col("compoundid"), "left")
         .join(portal["probetobasetarget"], F.col("probe_id") == F.col("probeid"))
         .join(portal["basetarget"], F.col("basetarget_id") == F.col("basetargetid"))
@@ -33,19 +36,21 @@ def main_set(portal: Tables, sets: Collection[str] = DICTIONARY_SETS) -> DataFra
             F.col("tbt_basetarget") == F.col("basetargetid"),
         )
         .join(portal["target"], F.col("targetid") == F.col("target_id"))
-        .join(sets_, F.col("compoundsetid") == F.col("compoundset_id"))
         .select(
             F.col("probeid").alias("ID"),
             F.col("compoundset_id").alias("SETID"),
             F.col("uniprotid").alias("UNIPROT"),
             "PROBE",
-            "SET",
             F.col("inchikey").alias("INCHI"),
             F.col("gene_name").alias("GENE"),
             F.col("control").alias("CONTR"),
             F.col("basetarget_id").alias("TARGETID"),
         )
         .distinct()
+    )
+    # A handful of sets hold all rows, so their names must not be joined by a shuffle on the set.
+    return (
+        sized_join(rows, names.distinct(), ["SETID"], "inner")
         .withColumn("CONTR", strip_literal("CONTR"))
         .withColumn("GENE", literal_items("GENE"))
     )
@@ -212,6 +217,8 @@ def quality_gate(rows: DataFrame, portal_good: DataFrame, portal_set: str = PORT
     trusted = rows.where(differs("SET", portal_set)).select(F.col("INCHI").alias("key"))
     good = portal_good.select(F.col("InChI key").alias("key"))
     keys = trusted.unionByName(good).distinct()
+    if is_small(keys):
+        keys = F.broadcast(keys)
     return rows.join(keys, F.col("INCHI").eqNullSafe(F.col("key")), "left_semi")
 
 
