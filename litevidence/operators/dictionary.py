@@ -15,6 +15,7 @@ from litevidence.constants import (
 )
 from litevidence.functions.text import differs, literal_items, split_list, strip_literal
 from litevidence.operators.skew import is_small, sized_join
+from litevidence.sources.writers import staged
 
 Tables = Mapping[str, DataFrame]
 
@@ -230,13 +231,16 @@ def build_dictionary(
     portal_set: str = PORTAL_SET,
 ) -> DataFrame:
     """The compound dictionary: main set, ids, names, synonyms, and the quality gate if a list is given."""
-    rows = main_set(portal, sets).join(compound_ids(compounds), "INCHI", "left")
+    rows = main_set(portal, sets)
+    if portal_good is not None:
+        # The gate looks at sets and structures only, so it comes before the costlier steps.
+        rows = quality_gate(staged(rows, "main-set"), portal_good, portal_set)
+    rows = rows.join(compound_ids(compounds), "INCHI", "left")
     rows = with_synonyms(rows, portal, compounds).drop("TARGETID").distinct().drop("ID")
-    rows = rows.select(
+    return rows.select(
         "SETID", "UNIPROT", "PROBE", "SET", "INCHI", "GENE", "CONTR", "CHEMBLID", "PREF_NAME", "SYNOMS",
         "SYNOMS_TARGET",
     )
-    return rows if portal_good is None else quality_gate(rows, portal_good, portal_set)
 
 
 def assay_units(compounds: Tables) -> DataFrame:

@@ -92,11 +92,10 @@ def lookup(
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a table may be broadcast: its rows are counted and, if they are few, measured."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        return False
+    """Whether a table may be broadcast: its rows are counted and measured, up to the limit."""
     width = F.length(F.to_json(F.struct(*df.columns)))
-    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).first()
+    return found["n"] <= max_rows and (found["size"] or 0) <= max_bytes
 
 
 def sized_join(

@@ -327,7 +327,8 @@ def synonym_merge(v: Views) -> DataFrame:
 
 @query
 def quality_gate(v: Views) -> DataFrame:
-    return dictionary.quality_gate(dictionary.main_set(portal(v), SETS), v.portal_good(), PORTAL)
+    rows = staged(dictionary.main_set(portal(v), SETS), "main-set")
+    return dictionary.quality_gate(rows, v.portal_good(), PORTAL)
 
 
 @query
