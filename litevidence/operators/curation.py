@@ -169,6 +169,17 @@ def dated_releases(releases: DataFrame) -> DataFrame:
     )
 
 
+def with_release(rows: DataFrame, releases: DataFrame) -> DataFrame:
+    """Adds the release month, year and date of the compound; the earliest if it has several."""
+    dates = (
+        dated_releases(releases)
+        .groupBy("PROBE")
+        .agg(F.min(F.struct("RELEASED", "DATE_MONTH", "DATE_YEAR")).alias("_r"))
+        .select("PROBE", "_r.DATE_MONTH", "_r.DATE_YEAR", "_r.RELEASED")
+    )
+    return sized_join(rows, dates, ["PROBE"], "left", unique=True)
+
+
 def export_columns(rows: DataFrame, names: Mapping[str, str], missing: str = "None") -> DataFrame:
     """The named columns under their export names, missing text written as a mark."""
     return rows.select(*[F.col(c).alias(out) for c, out in names.items()]).fillna(missing)

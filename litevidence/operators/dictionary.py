@@ -14,6 +14,7 @@ from litevidence.constants import (
     CALCULATED_ORIGIN, DICTIONARY_SETS, EXTERNAL_COMPOUND_DB, PORTAL_SET, SYNONYM_ATTRIBUTE_TYPE,
 )
 from litevidence.functions.text import differs, literal_items, split_list, strip_literal
+from litevidence.operators.curation import with_release
 from litevidence.operators.skew import is_small, sized_join
 from litevidence.sources.writers import staged
 
@@ -126,6 +127,33 @@ def preferred_names(compounds: Tables) -> DataFrame:
     )
 
 
+def structure_phases(compounds: Tables) -> DataFrame:
+    """The furthest clinical phase of each structure key."""
+    return (
+        compounds["molecule_dictionary"].select("molregno", "max_phase")
+        .join(compounds["compound_structures"], "molregno")
+        .groupBy(F.col("standard_inchi_key").alias("INCHI"))
+        .agg(F.max("max_phase").alias("MAX_PHASE"))
+    )
+
+
+def probe_profile(
+    probes: DataFrame, names: DataFrame, compounds: Tables, releases: DataFrame
+) -> DataFrame:
+    """Structure, id, phase and release of each compound name, earliest release first.
+
+    `names` maps PROBE to INCHI; a name with several structures gets the lowest.
+    """
+    structures = names.groupBy("PROBE").agg(F.min("INCHI").alias("INCHI"))
+    rows = (
+        probes.select("PROBE").distinct()
+        .join(structures, "PROBE", "left")
+        .join(compound_ids(compounds), "INCHI", "left")
+        .join(structure_phases(compounds), "INCHI", "left")
+    )
+    return with_release(rows, releases).orderBy("RELEASED", "PROBE")
+
+
 def target_synonyms(portal: Tables) -> DataFrame:
     """Portal synonyms of each base target as a sorted array."""
     return portal["targetsynonym"].select(

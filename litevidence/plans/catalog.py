@@ -336,6 +336,13 @@ def probe_dictionary(v: Views) -> DataFrame:
     return dictionary.build_dictionary(portal(v), compounds(v), v.portal_good(), SETS, PORTAL)
 
 
+@query
+def probe_profile(v: Views) -> DataFrame:
+    names = v.compound().select(F.col("name").alias("PROBE"), F.col("inchikey").alias("INCHI"))
+    probes = v.table("part").select(F.col("p_name").alias("PROBE"))
+    return dictionary.probe_profile(probes, names, compounds(v), v.name_releases())
+
+
 @query
 def assay_units(v: Views) -> DataFrame:
     return dictionary.assay_units(compounds(v))
@@ -466,6 +473,13 @@ def pair_article_counts(v: Views) -> DataFrame:
     )
 
 
+@query
+def pair_release_dates(v: Views) -> DataFrame:
+    rows = triplets(v).select("pmid", F.col("CD").alias("PROBE"), F.col("GP").alias("GENE"))
+    counts = metrics.distinct_per(rows, ["PROBE", "GENE"], "pmid", "n_articles")
+    return curation.with_release(counts, v.release_dates())
+
+
 @query
 def pair_pivot(v: Views) -> DataFrame:
     """Targets by compound family: how many articles mention the two."""

@@ -342,6 +342,21 @@ BODIES = {
                strftime(min(l_shipdate), '%y') AS DATE_YEAR,
                strftime(min(l_shipdate), '%Y-%m-01') AS RELEASED
         FROM lineitem GROUP BY l_partkey""",
+    "pair_release_dates": """
+        SELECT PROBE, GENE, n_articles, strftime(d, '%b') AS DATE_MONTH, strftime(d, '%y') AS DATE_YEAR,
+               strftime(d, '%Y-%m-01') AS RELEASED
+        FROM (SELECT CD AS PROBE, GP AS GENE, count(DISTINCT pmid) AS n_articles FROM triplets GROUP BY ALL)
+        LEFT JOIN (SELECT 'CD_' || l_partkey AS id, min(l_shipdate) AS d FROM lineitem GROUP BY l_partkey)
+            ON PROBE = id""",
+    "probe_profile": """
+        SELECT a.PROBE, a.INCHI, n.CHEMBLID, CAST(floor(p.p_size / 10.0) AS INTEGER) AS MAX_PHASE,
+               strftime(d, '%b') AS DATE_MONTH, strftime(d, '%y') AS DATE_YEAR,
+               strftime(d, '%Y-%m-01') AS RELEASED
+        FROM (SELECT p_name AS PROBE, min(CASE WHEN p_size > 5 THEN 'IK_' || p_partkey END) AS INCHI
+              FROM part GROUP BY p_name) a
+        LEFT JOIN names n ON a.INCHI = n.INCHI LEFT JOIN part p ON n.CHEMBLID = 'CD_' || p.p_partkey
+        LEFT JOIN (SELECT p_name, min(l_shipdate) AS d FROM lineitem JOIN part ON l_partkey = p_partkey
+                   WHERE p_name < 'o' GROUP BY p_name) r ON r.p_name = a.PROBE""",
     "export_shape": """
         SELECT DISTINCT PROBE AS CD, GENE AS GP, coalesce(DISEASES, 'None') AS DS,
                coalesce(CONTROL, 'None') AS CONTR FROM report""",

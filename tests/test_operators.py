@@ -228,3 +228,17 @@ def test_comparison(spark):
     a, b = x.select("DS"), y.select("DS")
     assert rows(compare.overlap(a, b, "DS")) == [(1, 0, 1)]
     assert rows(compare.common(a, b)) == [("d",)] and rows(compare.only_in_first(a, b)) == [("e",)]
+
+
+def test_release_and_profile(spark):
+    releases = spark.createDataFrame([("p", "Mar-15"), ("p", "Feb-16"), ("q", "None")], "PROBE string, DATE string")
+    pairs = spark.createDataFrame([("p", 1), ("q", 2), ("r", 3)], "PROBE string, n int")
+    got = [(r.PROBE, r.DATE_MONTH, r.DATE_YEAR, str(r.RELEASED)) for r in curation.with_release(pairs, releases).collect()]
+    assert sorted(got, key=repr) == [("p", "Mar", "15", "2015-03-01"), ("q", "None", None, "None"), ("r", None, None, "None")]
+    tables = {
+        "molecule_dictionary": spark.createDataFrame([(1, "C1", 4), (2, "C2", None)], "molregno int, chembl_id string, max_phase int"),
+        "compound_structures": spark.createDataFrame([(1, "K1"), (2, "K2")], "molregno int, standard_inchi_key string"),
+    }
+    names = spark.createDataFrame([("p", "K1"), ("p", "K9"), ("q", "K2")], "PROBE string, INCHI string")
+    out = dictionary.probe_profile(pairs, names, tables, releases).select("PROBE", "INCHI", "CHEMBLID", "MAX_PHASE")
+    assert rows(out) == [("p", "K1", "C1", 4), ("q", "K2", "C2", None), ("r", None, None, None)]
