@@ -356,7 +356,7 @@ BODIES = {
               FROM part GROUP BY p_name) a
         LEFT JOIN names n ON a.INCHI = n.INCHI LEFT JOIN part p ON n.CHEMBLID = 'CD_' || p.p_partkey
         LEFT JOIN (SELECT p_name, min(l_shipdate) AS d FROM lineitem JOIN part ON l_partkey = p_partkey
-                   WHERE p_name < 'o' GROUP BY p_name) r ON r.p_name = a.PROBE""",
+                   GROUP BY p_name) r ON r.p_name = a.PROBE""",
     "export_shape": """
         SELECT DISTINCT PROBE AS CD, GENE AS GP, coalesce(DISEASES, 'None') AS DS,
                coalesce(CONTROL, 'None') AS CONTR FROM report""",

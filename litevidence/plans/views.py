@@ -407,11 +407,10 @@ class Views:
         )
 
     def name_releases(self) -> DataFrame:
-        """Release dates by compound name; names of the first letters up to `n` only."""
+        """Release dates by compound name."""
         return (
             self.table("lineitem")
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .where(F.col("p_name") < "o")
             .groupBy(F.col("p_name").alias("PROBE"))
             .agg(F.date_format(F.min("l_shipdate"), "MMM-yy").alias("DATE"))
         )
