@@ -15,6 +15,7 @@ from litevidence.functions.text import (
 from litevidence.operators.skew import lookup, sized_join
 
 MATCH = ("PMID", "GENE", "PROBE")
+# What stands for a missing cell in the curated report.
 MISSING_MARKS = ("[]", "None")
 
 

@@ -14,7 +14,7 @@ PAIR = ("diseaseId", "targetId")
 SOURCE_PAIR = (*PAIR, "datasourceId")
 YEARS = ("curationYear", "publicationYear", "studyYear")
 
-# Triplet and dictionary columns under the names of the evidence tables.
+# Triplet and dictionary columns, and their names from the evidence step on.
 EVIDENCE_NAMES = {
     "DS": "diseaseId", "GP": "targetId", "CD": "probeId", "SETID": "setId", "UNIPROT": "uniprot",
     "PROBE": "probe", "SET": "set", "INCHI": "inchiKey", "GENE": "gene", "CONTR": "control",
