@@ -4,6 +4,8 @@ import pytest
 from check_oracle import as_rows, connect, oracle_result
 
 from __spark_entry__ import entry, oracle_sql, queries
+from litevidence.plans.catalog import QUERIES
+from litevidence.plans.oracle import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,14 +16,15 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name, capsys):
     df = queries()[name](spark, SF)
     got = as_rows(df.columns, [tuple(r) for r in df.collect()])
