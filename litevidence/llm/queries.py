@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litevidence.llm import exact_dedup, language_id
-from litevidence.llm.common import crc_fold, documents
+from litevidence.llm import (
+    decontaminate, exact_dedup, html_text, jaccard_join, language_id, packing, quality, secrets, token_store, url_filter,
+)
+from litevidence.llm.common import crc_fold, documents, pages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +21,56 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+@query
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_count_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(documents(spark, sf_dir))
+
+
+@query
+def op5_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secrets.span_list("base").cast("binary"), 256).alias("base_sha256"),
+        secrets.span_list("found").alias("spans"),
+    )
+
+
+@query
+def op7_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = pages(spark, sf_dir).select("page_id", "url", "html")
+    found = html_text.extract_pages(raw, html_text.learn(raw))
+    return found.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.store_folder(spark)
+    token_store.write_store(documents(spark, sf_dir), path, tokenizer_path())
+    return token_store.read_all(spark, path)
+
+
 @query
 def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
@@ -44,3 +96,15 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "held_out", "_language.lang_pred", "_language.score", "_language.cross_entropy", "_language.rejected"
     )
+
+
+@query
+def op10_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(pages(spark, sf_dir))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
