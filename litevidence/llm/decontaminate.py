@@ -1,8 +1,10 @@
 """Finding test items in training text, with an inverted index of the items and block-max WAND.
 
 The items (question and answer: the last sentence is the answer) are the indexed documents, every passage of
-every training text is a query. An item is retrieved when its BM25 score for a passage is at least a fixed share
-of the score it has for a passage that holds all of it. Scores are found in steps that never miss such an item:
+every training text is a query. An item is retrieved when its BM25 score for a passage reaches the item's threshold: its
+score for a passage that holds all of it, less its most telling terms, as many as may be missing where the
+required share of its shingles is present. So a passage that passes the verification is always retrieved. Scores are found in steps that
+never miss an item above its threshold:
 
 1. pivots: the terms of an item of least impact that together stay below the item's threshold cannot lift it
    over, so only passages with one of its other terms go on;
@@ -18,19 +20,18 @@ turn. Passages overlap by the longest item, so that every item lies whole in a p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litevidence.llm.common import mix64
 
 K1, B = 1.2, 0.75
-SHARE = 0.5               # of an item's own score that makes the threshold
 OVERLAP = 0.75            # of an item's shingles that must be in the text
 SHINGLE = 5
 PASSAGE_WORDS = 128       # least length of a passage
@@ -41,8 +42,8 @@ FOUND = (
     "doc_id long, item_id long, score double, threshold double, overlap double, question_overlap double, "
     "answer_overlap double"
 )
-_words = regex.compile(r"[\p{L}\p{N}]+").findall
-_sentences = regex.compile(r"(?<=[.!?])\s+|\n+").split
+_words = re.compile(r"[^\W_]+").findall
+_sentences = re.compile(r"(?<=[.!?])\s+|\n+").split
 
 
 @dataclass
@@ -59,6 +60,9 @@ class Index:
     max_blocks: np.ndarray
     max_impacts: np.ndarray
     block_thresholds: np.ndarray
+    post_bounds: np.ndarray     # postings of each term
+    post_items: np.ndarray
+    post_impacts: np.ndarray
     shingles: list[tuple[np.ndarray, np.ndarray]]   # of question and answer
     lengths: np.ndarray         # words of each item
     block_items: int
@@ -91,7 +95,14 @@ def _postings(terms: np.ndarray, blocks: np.ndarray, n_terms: int, *values: np.n
     return np.searchsorted(terms[order], np.arange(n_terms + 1)), blocks[order], *(v[order] for v in values)
 
 
-def build_index(items: list[tuple[int, str]], share: float = SHARE, block_items: int = BLOCK_ITEMS) -> Index | None:
+def _threshold(impacts: np.ndarray, words: int, overlap: float) -> float:
+    """The least score of a passage with the required share of an item's shingles: a missing word lacks one at least."""
+    shingles = words - min(SHINGLE, words) + 1
+    missing = shingles - int(np.ceil(overlap * shingles - 1e-9))
+    return float(np.sort(impacts)[: len(impacts) - missing].sum())
+
+
+def build_index(items: list[tuple[int, str]], overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> Index | None:
     """Items without words are left out; None if there is no other."""
     split = [(i, *split_item(t or "")) for i, t in items]
     split = [x for x in split if x[1] or x[2]]
@@ -106,7 +117,7 @@ def build_index(items: list[tuple[int, str]], share: float = SHARE, block_items:
     idf = np.log1p((len(ids) - held + 0.5) / (held + 0.5))
     mean = np.mean([len(x) for x in ids])
     impacts = [idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(x) / mean)) for (t, n), x in zip(counted, ids, strict=True)]
-    thresholds = np.array([share * s.sum() for s in impacts])
+    thresholds = np.array([_threshold(s, len(x), overlap) for s, x in zip(impacts, ids, strict=True)])
     block = np.arange(len(ids)) // block_items
     flat_terms, flat_impacts = np.concatenate([t for t, _ in counted]), np.concatenate(impacts)
     flat_blocks = np.repeat(block, [len(s) for s in impacts])
@@ -123,6 +134,9 @@ def build_index(items: list[tuple[int, str]], share: float = SHARE, block_items:
     most = np.zeros(pairs.shape[1])
     np.maximum.at(most, at.ravel(), flat_impacts)
     max_bounds, max_blocks, max_impacts = _postings(pairs[0], pairs[1], len(terms), most)
+    post_bounds, post_items, post_impacts = _postings(
+        flat_terms, np.repeat(np.arange(len(ids)), [len(s) for s in impacts]), len(terms), flat_impacts
+    )
     shingles = []
     for (_, q, _a), x in zip(split, ids, strict=True):
         size = min(SHINGLE, len(x))
@@ -132,7 +146,7 @@ def build_index(items: list[tuple[int, str]], share: float = SHARE, block_items:
     return Index(
         np.array([x[0] for x in split]), terms, flat_terms, flat_impacts,
         np.r_[0, np.cumsum([len(s) for s in impacts])], thresholds, pivot_bounds, pivot_blocks, max_bounds, max_blocks,
-        max_impacts, np.minimum.reduceat(thresholds, np.arange(0, len(ids), block_items)), shingles,
+        max_impacts, np.minimum.reduceat(thresholds, np.arange(0, len(ids), block_items)), post_bounds, post_items, post_impacts, shingles,
         np.array([len(x) for x in ids]), block_items, max(len(x) for x in ids),
     )
 
@@ -178,17 +192,21 @@ def retrieve(index: Index, ids: np.ndarray, owner: np.ndarray, length: int, stri
     hit = live[slot] == place
     bound = np.bincount(slot[hit], weights=index.max_impacts[at][hit], minlength=len(live))
     live = live[bound >= index.block_thresholds[live % n_blocks] * (1 - 1e-9)]
-    out = []
-    bounds = np.searchsorted(key, np.arange(len(passages) + 1))
-    for p, b in zip(live // n_blocks, live % n_blocks, strict=True):
-        here = term[bounds[p] : bounds[p + 1]]
-        lo, hi = b * index.block_items, min((b + 1) * index.block_items, len(index.item_ids))
-        own = slice(index.item_bounds[lo], index.item_bounds[hi])
-        shared = np.isin(index.item_terms[own], here) * index.item_impacts[own]
-        score = np.add.reduceat(shared, index.item_bounds[lo:hi] - index.item_bounds[lo])
-        for i in np.flatnonzero(score >= index.thresholds[lo:hi] * (1 - 1e-9)):
-            out.append((int(passages[p] >> 32), lo + int(i), float(score[i])))
-    found = pd.DataFrame(out, columns=["owner", "item", "score"])
+    if not len(live):
+        return pd.DataFrame({"owner": [], "item": [], "score": []})
+    keep = np.isin(key, live // n_blocks)
+    key, term = key[keep], term[keep]
+    at, of = _spread(index.post_bounds, term)
+    item = index.post_items[at]
+    place = key[of] * n_blocks + item // index.block_items
+    slot = np.searchsorted(live, place)
+    slot[slot == len(live)] = 0
+    hit = live[slot] == place
+    pairs, at_pair = np.unique(key[of][hit] * len(index.item_ids) + item[hit], return_inverse=True)
+    score = np.bincount(at_pair, weights=index.post_impacts[at][hit], minlength=len(pairs))
+    passage, item = pairs // len(index.item_ids), pairs % len(index.item_ids)
+    good = score >= index.thresholds[item] * (1 - 1e-9)
+    found = pd.DataFrame({"owner": passages[passage[good]] >> 32, "item": item[good], "score": score[good]})
     return found.groupby(["owner", "item"], as_index=False)["score"].max()
 
 
@@ -221,7 +239,8 @@ def _search(index: Index, batch: pd.DataFrame, overlap: float) -> Iterator[pd.Da
 
     size = 0
     for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-        ids = np.fromiter((lookup(w, -1) for w in _words(text.lower())), dtype=np.int64)
+        words = _words(text.lower())
+        ids = np.array([lookup(w, -1) for w in words], dtype=np.int64)
         held.append((key, ids))
         size += len(ids)
         if size >= _BATCH_WORDS:
@@ -235,7 +254,6 @@ def _search(index: Index, batch: pd.DataFrame, overlap: float) -> Iterator[pd.Da
 def find_items(
     docs: DataFrame,
     items: DataFrame,
-    share: float = SHARE,
     overlap: float = OVERLAP,
     max_index_bytes: int = MAX_INDEX_BYTES,
 ) -> DataFrame:
@@ -253,7 +271,7 @@ def find_items(
     found = None
     for part in range(parts):
         own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        index = build_index([(r[0], r[1]) for r in own.collect()], share)  # at most about max_index_bytes
+        index = build_index([(r[0], r[1]) for r in own.collect()], overlap)  # at most about max_index_bytes
         if index is None:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(index)

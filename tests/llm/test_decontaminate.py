@@ -76,7 +76,7 @@ def test_retrieval_misses_nothing():
     rng = np.random.default_rng(2)
     vocabulary = [f"w{int(i)}" for i in np.minimum(rng.zipf(1.3, 4000), 900)]
     items = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(6, 40))))) for i in range(90)]
-    index = dc.build_index(items, share=0.5, block_items=7)
+    index = dc.build_index(items, overlap=0.6, block_items=7)
     texts = [" ".join(rng.choice(vocabulary, int(rng.integers(1, 400)))) for _ in range(30)] + [items[4][1], items[70][1] + " x " * 300]
     ids = [np.array([index.terms.get(w, -1) for w in t.split()]) for t in texts]
     length = max(dc.PASSAGE_WORDS, 2 * index.longest)

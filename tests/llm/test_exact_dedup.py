@@ -4,6 +4,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs  # noqa: F401
+
 from litevidence.llm import exact_dedup
 from litevidence.llm.common import documents
 

@@ -3,6 +3,8 @@ import re
 import numpy as np
 import pytest
 
+from llm_fixtures import docs  # noqa: F401
+
 from litevidence.llm import jaccard_join
 from litevidence.llm.common import documents
 from litevidence.llm.components import connected

@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from llm_fixtures import docs, tokenizer  # noqa: F401
+
 from litevidence.llm import packing
 from litevidence.llm.common import documents
 from litevidence.llm.tokens import encoder

@@ -1,3 +1,4 @@
+from llm_fixtures import docs, tokenizer  # noqa: F401
 import corpus_pipeline
 import pytest
 from test_decontaminate import brute

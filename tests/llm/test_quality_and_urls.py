@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs  # noqa: F401
+
 from litevidence.llm import quality, url_filter
 from litevidence.llm.queries import QUERIES
 

@@ -5,6 +5,8 @@ from math import log2
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs  # noqa: F401
+
 from litevidence.llm import secrets
 from litevidence.llm.queries import QUERIES
 

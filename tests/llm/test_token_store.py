@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from llm_fixtures import docs, tokenizer  # noqa: F401
 from test_packing import library_ids
 
 from litevidence.llm import token_store
