@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litevidence import schemas
-from litevidence.functions.text import literal_items, split_list
-from litevidence.operators import annotate, targets
+from litevidence.functions.text import literal_items, redelimit, split_list
+from litevidence.operators import annotate, compare, curation, metrics, targets
 from litevidence.operators.dictionary import build_dictionary
-from litevidence.operators.evidence import attach_dated, attach_evidence
+from litevidence.operators.evidence import attach_dated, attach_evidence, temporal_precedence
 from litevidence.operators.mentions import complete_mentions, improve_ids, select_articles
-from litevidence.operators.triplets import extract_triplets
+from litevidence.operators.triplets import extract_triplets, triplet_counts
 from litevidence.plans.literature import annotated_triplets
 from litevidence.sources import readers, writers
 
@@ -41,13 +41,16 @@ def step(*options: str):
     return register
 
 
+NAMES: dict[str, str] = {}   # column names of the inputs and the names used here, from --name
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """The dictionary with its lists as arrays and its marks for missing ids as null."""
     return (
-        readers.read_text(spark, path, schemas.PROBES_TEXT)
+        readers.read_text(spark, path, schemas.PROBES_TEXT, names=NAMES)
         .withColumns({c: split_list(c) for c in ("SYNOMS", "SYNOMS_TARGET")})
         .withColumn("GENE", literal_items("GENE"))
-        .withColumn("CHEMBLID", F.nullif("CHEMBLID", F.lit("None")))
+        .withColumn("COMPOUND_KEY", F.nullif("COMPOUND_KEY", F.lit("None")))
     )
 
 
@@ -58,8 +61,8 @@ def read_genes(spark: SparkSession, path: str) -> DataFrame:
 @step("portal", "compounds", "good")
 def dictionary(spark: SparkSession, portal: str, compounds: str, good: str) -> DataFrame:
     return build_dictionary(
-        readers.read_tables(spark, portal, PORTAL_TABLES),
-        readers.read_tables(spark, compounds, COMPOUND_TABLES),
+        readers.read_tables(spark, portal, PORTAL_TABLES, NAMES),
+        readers.read_tables(spark, compounds, COMPOUND_TABLES, NAMES),
         readers.read_text(spark, good, sep=","),
     )
 
@@ -121,7 +124,7 @@ def reviews(spark: SparkSession, input: str, types: str) -> DataFrame:
 @step("matches", "probes", "genes", "evidence", "dated", "disease", "drugs", "types")
 def everything(
     spark: SparkSession, matches: str, probes: str, genes: str, evidence: str, dated: str, disease: str,
-    drugs: str, types: str,
+    drugs: str, types: str, blacklist: str | None = None,
 ) -> DataFrame:
     compounds = read_dictionary(spark, probes)
     return annotated_triplets(
@@ -131,9 +134,73 @@ def everything(
         readers.read_parquet(spark, disease, schemas.DISEASE),
         readers.read_parquet(spark, drugs, schemas.KNOWN_DRUG),
         readers.read_parquet(spark, types, schemas.ARTICLE_TYPE),
+        readers.read_text(spark, blacklist, schemas.DISEASE_BLACKLIST) if blacklist else None,
+    )
+
+
+OPTIONAL = {"everything": ["blacklist"]}
+
+
+@step("input", "blacklist")
+def listed(spark: SparkSession, input: str, blacklist: str) -> DataFrame:
+    """Triplets whose disease is not on the list."""
+    return targets.without_blacklisted(
+        readers.read_parquet(spark, input), readers.read_text(spark, blacklist, schemas.DISEASE_BLACKLIST)
+    )
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return curation.read_marks(readers.read_text(spark, path, schemas.CURATED, names=NAMES))
+
+
+@step("report")
+def subset(spark: SparkSession, report: str) -> DataFrame:
+    """Distinct rows of the curated report that name a disease."""
+    return curation.with_any(read_report(spark, report), ["DISEASES", "DISEASE_FOUND"])
+
+
+@step("report")
+def triples(spark: SparkSession, report: str) -> DataFrame:
+    rows = read_report(spark, report)
+    return curation.unique_triples(rows.withColumn("DISEASE_FOUND", redelimit("DISEASE_FOUND")))
+
+
+@step("report")
+def paircounts(spark: SparkSession, report: str) -> DataFrame:
+    return metrics.distinct_per(read_report(spark, report), ["PROBE", "GENE"], "PMID", "n_articles")
+
+
+@step("report", "genes", "probes", "terms")
+def grounded(spark: SparkSession, report: str, genes: str, probes: str, terms: str) -> DataFrame:
+    """The report grounded: `genes` and `probes` hold label and label_id, `terms` term, term_id and rank."""
+    tables = [readers.read_parquet(spark, path) for path in (genes, probes, terms)]
+    return curation.grounded_triples(read_report(spark, report), *tables)
+
+
+@step("input", "grounded")
+def comparison(spark: SparkSession, input: str, grounded: str) -> DataFrame:
+    found = readers.read_parquet(spark, input).select("pmid", "CD", "GP", "DS")
+    return compare.compare_triplets(found, readers.read_parquet(spark, grounded).withColumnRenamed("PMID", "pmid"))
+
+
+@step("input")
+def prevalence(spark: SparkSession, input: str) -> DataFrame:
+    return triplet_counts(readers.read_parquet(spark, input))
+
+
+@step("input", "dated", "literature")
+def precedence(spark: SparkSession, input: str, dated: str, literature: str) -> DataFrame:
+    """`literature` names the sources that are literature themselves, joined by commas."""
+    return temporal_precedence(
+        readers.read_parquet(spark, input), readers.read_dated_evidence(spark, dated), literature.split(",")
     )
 
 
+@step("releases")
+def releases(spark: SparkSession, releases: str) -> DataFrame:
+    return curation.dated_releases(readers.read_text(spark, releases, schemas.RELEASE_DATES, names=NAMES))
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="litevidence")
     commands = parser.add_subparsers(dest="step", required=True)
@@ -141,12 +208,19 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         command = commands.add_parser(name)
         for option in [*options, "out"]:
             command.add_argument(f"--{option}", required=True)
+        for option in OPTIONAL.get(name, []):
+            command.add_argument(f"--{option}")
+        command.add_argument("--name", action="append", default=[], help="OLD=NEW: a column of the inputs")
         command.add_argument("--text", action="store_true", help="write delimited text, not Parquet")
     chosen = vars(parser.parse_args(arguments))
     build, options = STEPS[chosen["step"]]
     session = spark or SparkSession.builder.appName("litevidence").getOrCreate()
-    result = build(session, **{option: chosen[option] for option in options})
+    NAMES.clear()
+    NAMES.update(pair.split("=", 1) for pair in chosen["name"])
+    given = [*options, *[o for o in OPTIONAL.get(chosen["step"], []) if chosen[o]]]
+    result = build(session, **{option: chosen[option] for option in given})
     (writers.write_text if chosen["text"] else writers.write_parquet)(result, chosen["out"])
+    writers.drop_staged(session)
 
 
 if __name__ == "__main__":

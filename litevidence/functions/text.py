@@ -29,6 +29,12 @@ def literal_items(c: Column | str) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(r"[^\[\]', ]+"), F.lit(0))
 
 
+def quoted_items(c: Column | str) -> Column:
+    """Items of a printed list whose items may hold blanks and commas: quotes around a comma separate them."""
+    items = F.split(F.btrim(_col(c), F.lit("[]'\"")), "['\"]\\s*,\\s*['\"]")
+    return F.filter(F.transform(items, lambda item: F.trim(item)), lambda item: item != "")
+
+
 def redelimit(c: Column | str, delimiter: str = "|") -> Column:
     """A printed list as plain text: quotes and brackets go, `, ` becomes `delimiter`."""
     return F.replace(F.translate(_col(c), "\"'[]", ""), F.lit(", "), F.lit(delimiter))

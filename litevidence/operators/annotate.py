@@ -11,14 +11,13 @@ from litevidence.functions.articles import (
 )
 from litevidence.functions.text import trimmed_id
 from litevidence.operators.evidence import PAIR
-from litevidence.operators.skew import lookup, sized_join
 
 
 def attach_areas(triplets: DataFrame, disease: DataFrame) -> DataFrame:
     """Adds disease name, area ids as `a|b` text, and the preferred area."""
     terms = disease.select(F.col("id").alias("diseaseId"), "name", "therapeuticAreas").distinct()
     return (
-        sized_join(triplets, terms, ["diseaseId"], "left")
+        triplets.join(terms, ["diseaseId"], "left")
         .withColumn("preferredArea", preferred_area("therapeuticAreas"))
         .withColumn("therapeuticAreas", flat_areas("therapeuticAreas"))
     )
@@ -42,7 +41,7 @@ def max_phase(known_drug: DataFrame) -> DataFrame:
 
 
 def attach_max_phase(triplets: DataFrame, known_drug: DataFrame) -> DataFrame:
-    return sized_join(triplets, max_phase(known_drug), PAIR, "left", unique=True)
+    return triplets.join(max_phase(known_drug), list(PAIR), "left")
 
 
 def article_reviews(article_type: DataFrame) -> DataFrame:
@@ -55,15 +54,10 @@ def article_reviews(article_type: DataFrame) -> DataFrame:
     )
 
 
-def attach_article_type(
-    triplets: DataFrame, article_type: DataFrame, counted: DataFrame | None = None
-) -> DataFrame:
-    """Adds articleType: review, primary, or null when the lookup gave no types.
-
-    `counted` may be a smaller table that shows how often each article occurs.
-    """
+def attach_article_type(triplets: DataFrame, article_type: DataFrame) -> DataFrame:
+    """Adds articleType: review, primary, or null when the lookup gave no types."""
     rows = triplets.withColumn("pmid", trimmed_id("pmid"))
-    joined = lookup(rows, article_reviews(article_type), ["pmid"], "left", counted=counted)
+    joined = rows.join(article_reviews(article_type), ["pmid"], "left")
     review = F.when(F.col("listed"), F.col("is_review")).otherwise(False)
     return joined.withColumn("articleType", article_label(review)).drop("is_review", "listed")
 
@@ -97,10 +91,10 @@ def tally_article_types(articles: DataFrame, article_type: DataFrame) -> DataFra
 
 
 def attach_compound_phase(
-    rows: DataFrame, molecule_dictionary: DataFrame, column: str = "CHEMBLID"
+    rows: DataFrame, molecule_dictionary: DataFrame, column: str = "COMPOUND_KEY"
 ) -> DataFrame:
     """Adds the clinical phase a compound has reached."""
-    phases = molecule_dictionary.groupBy(F.col("chembl_id").alias(column)).agg(
+    phases = molecule_dictionary.groupBy(F.col("compound_key").alias(column)).agg(
         F.max("max_phase").alias("max_phase")
     )
-    return sized_join(rows, phases, [column], "left", unique=True)
+    return rows.join(phases, [column], "left")

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.operators.skew import ROWS_PER_CELL, grid_join
+from litevidence.operators.skew import CELL_PRODUCT, grid_join
 
 PAIR = ("CD", "GP")
 
 
 def compare_triplets(
-    extracted: DataFrame, curated: DataFrame, rows_per_cell: int = ROWS_PER_CELL
+    extracted: DataFrame, curated: DataFrame, max_product: int = CELL_PRODUCT
 ) -> DataFrame:
     """Extracted and curated triplets of the same (CD, GP): the diseases side by side.
 
-    All other columns get the suffix _x (extracted) or _y (curated). Both inputs hold distinct rows.
+    All other columns get the suffix _x (extracted) or _y (curated). Both inputs hold distinct rows and are
+    written tables, as their keys are counted. No task forms more than about `max_product` row pairs of a key.
     """
     left = _suffixed(extracted, "_x")
     right = _suffixed(curated, "_y")
-    return grid_join([left, right], PAIR, "inner", rows_per_cell)
+    return grid_join([left, right], PAIR, "inner", max_product)
 
 
 def pair_agreement(extracted: DataFrame, curated: DataFrame) -> DataFrame:
@@ -54,10 +55,11 @@ def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """How many distinct values are in the first table only, the second only, and both; one pass."""
-    sides = a.select(column, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(
-        b.select(column, F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
+    value = F.unhex(F.sha2(F.col(column).cast("binary"), 256)).alias("value")  # long texts are not shuffled
+    sides = a.select(value, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(
+        b.select(value, F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
     )
-    merged = sides.groupBy(column).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    merged = sides.groupBy("value").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
     return merged.agg(
         F.count_if((F.col("in_a") == 1) & (F.col("in_b") == 0)).alias("only_first"),
         F.count_if((F.col("in_a") == 0) & (F.col("in_b") == 1)).alias("only_second"),

@@ -12,7 +12,6 @@ from litevidence.functions.dates import month_part, month_year, year_part
 from litevidence.functions.text import (
     control_class, differs, drop_vague, map_values, redelimit, term_key,
 )
-from litevidence.operators.skew import lookup, sized_join
 
 MATCH = ("PMID", "GENE", "PROBE")
 # What stands for a missing cell in the curated report.
@@ -35,15 +34,13 @@ def probes_of_set(dictionary: DataFrame, set_name: str) -> DataFrame:
 
 def rows_of_probes(rows: DataFrame, probes: DataFrame, without_section: str = "Other") -> DataFrame:
     """Rows of the given compounds outside one article section; rows without a section stay."""
-    return sized_join(
-        rows.where(differs("SECTION", without_section)), probes, ["PROBE"], "left_semi"
-    )
+    return rows.where(differs("SECTION", without_section)).join(probes, ["PROBE"], "left_semi")
 
 
 def in_articles_of(rows: DataFrame, *others: DataFrame) -> DataFrame:
     """Distinct rows whose article also occurs in every one of the other tables."""
     for other in others:
-        rows = lookup(rows, other, ["PMID"], "left_semi")
+        rows = rows.join(other.select("PMID").distinct(), ["PMID"], "left_semi")
     return rows.distinct()
 
 
@@ -125,7 +122,7 @@ def ground_labels(
         .groupBy(F.col("label").alias(column))
         .agg(F.min("label_id").alias(target))
     )
-    out = sized_join(rows, ids, [column], "left", unique=True)
+    out = rows.join(ids, [column], "left")
     if overrides:
         pairs = [F.lit(x) for pair in overrides.items() for x in pair]
         out = out.withColumn(
@@ -151,7 +148,7 @@ def ground_terms(
         .agg(F.min(F.struct("rank", "term_id")).alias("_hit"))
         .select("_term", F.replace(F.col("_hit.term_id"), F.lit(":"), F.lit("_")).alias(target))
     )
-    out = sized_join(rows.withColumn("_term", term_key(column)), best, ["_term"], "left", unique=True)
+    out = rows.withColumn("_term", term_key(column)).join(best, ["_term"], "left")
     if overrides:
         pairs = [F.lit(x) for k, v in overrides.items() for x in (k.strip().lower(), v)]
         out = out.withColumn(
@@ -160,6 +157,16 @@ def ground_terms(
     return out.drop("_term")
 
 
+def grounded_triples(
+    rows: DataFrame, genes: DataFrame, probes: DataFrame, terms: DataFrame
+) -> DataFrame:
+    """Distinct (PMID, CD, GP, DS) of a curated report: named diseases, grounded; rows without a disease id go."""
+    named = named_diseases(rows.select(*MATCH, "DISEASES"))
+    grounded = ground_labels(ground_labels(named, "GENE", genes, "GP"), "PROBE", probes, "CD")
+    found = ground_terms(grounded, "DISEASES", terms, "DS")
+    return found.where(F.col("DS").isNotNull()).select("PMID", "CD", "GP", "DS").distinct()
+
+
 def dated_releases(releases: DataFrame) -> DataFrame:
     """Release dates with their month and year parts and as a date."""
     return releases.select(
@@ -178,7 +185,7 @@ def with_release(rows: DataFrame, releases: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("RELEASED", "DATE_MONTH", "DATE_YEAR")).alias("_r"))
         .select("PROBE", "_r.DATE_MONTH", "_r.DATE_YEAR", "_r.RELEASED")
     )
-    return sized_join(rows, dates, ["PROBE"], "left", unique=True)
+    return rows.join(dates, ["PROBE"], "left")
 
 
 def export_columns(rows: DataFrame, names: Mapping[str, str], missing: str = "None") -> DataFrame:

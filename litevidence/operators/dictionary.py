@@ -15,7 +15,7 @@ from litevidence.constants import (
 )
 from litevidence.functions.text import differs, literal_items, split_list, strip_literal
 from litevidence.operators.curation import with_release
-from litevidence.operators.skew import is_small, sized_join
+from litevidence.operators.skew import spread_left, spread_semi
 from litevidence.sources.writers import staged
 
 Tables = Mapping[str, DataFrame]
@@ -50,9 +50,8 @@ def main_set(portal: Tables, sets: Collection[str] = DICTIONARY_SETS) -> DataFra
         )
         .distinct()
     )
-    # A handful of sets hold all rows, so their names must not be joined by a shuffle on the set.
     return (
-        sized_join(rows, names.distinct(), ["SETID"], "inner")
+        rows.join(names.distinct(), ["SETID"])
         .withColumn("CONTR", strip_literal("CONTR"))
         .withColumn("GENE", literal_items("GENE"))
     )
@@ -61,19 +60,19 @@ def main_set(portal: Tables, sets: Collection[str] = DICTIONARY_SETS) -> DataFra
 def compound_ids(compounds: Tables) -> DataFrame:
     """The compound id of each structure key: the lowest one."""
     return (
-        compounds["molecule_dictionary"].select("molregno", "chembl_id")
+        compounds["molecule_dictionary"].select("molregno", "compound_key")
         .join(compounds["compound_structures"].select("molregno", "standard_inchi_key"), "molregno")
         .groupBy(F.col("standard_inchi_key").alias("INCHI"))
-        .agg(F.min("chembl_id").alias("CHEMBLID"))
+        .agg(F.min("compound_key").alias("COMPOUND_KEY"))
     )
 
 
 def structure_keys(compounds: Tables) -> DataFrame:
     """The structure key of each compound id: the inverse of `compound_ids`."""
     return (
-        compounds["molecule_dictionary"].select("molregno", "chembl_id")
+        compounds["molecule_dictionary"].select("molregno", "compound_key")
         .join(compounds["compound_structures"].select("molregno", "standard_inchi_key"), "molregno")
-        .groupBy(F.col("chembl_id").alias("CHEMBLID"))
+        .groupBy(F.col("compound_key").alias("COMPOUND_KEY"))
         .agg(F.min("standard_inchi_key").alias("INCHI"))
     )
 
@@ -113,7 +112,7 @@ def compound_synonyms(compounds: Tables) -> DataFrame:
         .join(compounds["molecule_dictionary"].select("molregno"), "molregno", "left_semi")
         .join(compounds["compound_structures"], "molregno")
         .select(F.col("standard_inchi_key").alias("INCHI"), F.col("synonyms").alias("value"))
-        .transform(_gather("INCHI", "value", "SYNOMS_CHEMBL"))
+        .transform(_gather("INCHI", "value", "SYNOMS_DB"))
     )
 
 
@@ -148,8 +147,8 @@ def probe_profile(
     rows = (
         probes.select("PROBE").distinct()
         .join(structures, "PROBE", "left")
-        .join(compound_ids(compounds), "INCHI", "left")
-        .join(structure_phases(compounds), "INCHI", "left")
+        .transform(lambda rows: spread_left(rows, compound_ids(compounds).dropna(subset=["INCHI"]), "INCHI"))
+        .transform(lambda rows: spread_left(rows, structure_phases(compounds).dropna(subset=["INCHI"]), "INCHI"))
     )
     return with_release(rows, releases).orderBy("RELEASED", "PROBE")
 
@@ -167,7 +166,7 @@ def component_synonyms(compounds: Tables) -> DataFrame:
         compounds["component_synonyms"]
         .join(compounds["component_sequences"], "component_id")
         .select(F.col("accession").alias("UNIPROT"), F.col("component_synonym").alias("value"))
-        .transform(_gather("UNIPROT", "value", "SYNOMS_TARGET_CHEMBL"))
+        .transform(_gather("UNIPROT", "value", "SYNOMS_TARGET_DB"))
     )
 
 
@@ -202,9 +201,9 @@ def compound_terms(portal: Tables, compounds: Tables) -> DataFrame:
         .select(F.col("probeid").alias("ID"), "INCHI")
         .distinct()
         .join(probe_synonyms(portal), "ID", "left")
-        .join(preferred_names(compounds), "INCHI", "left")
-        .join(compound_synonyms(compounds), "INCHI", "left")
-        .select("ID", "INCHI", "PREF_NAME", merged("SYNOMS", "SYNOMS_CHEMBL").alias("SYNOMS"))
+        .transform(lambda rows: spread_left(rows, preferred_names(compounds).dropna(), "INCHI"))
+        .transform(lambda rows: spread_left(rows, compound_synonyms(compounds).dropna(), "INCHI"))
+        .select("ID", "INCHI", "PREF_NAME", merged("SYNOMS", "SYNOMS_DB").alias("SYNOMS"))
     )
 
 
@@ -219,22 +218,25 @@ def target_terms(portal: Tables, compounds: Tables) -> DataFrame:
         .join(component_synonyms(compounds), "UNIPROT", "left")
         .select(
             "TARGETID", "UNIPROT",
-            merged("SYNOMS_TARGET", "SYNOMS_TARGET_CHEMBL").alias("SYNOMS_TARGET"),
+            merged("SYNOMS_TARGET", "SYNOMS_TARGET_DB").alias("SYNOMS_TARGET"),
         )
     )
 
 
+def with_compound_terms(rows: DataFrame, portal: Tables, compounds: Tables) -> DataFrame:
+    """Adds preferred name and the merged synonyms of the compound; a list is merged once per compound."""
+    terms = compound_terms(portal, compounds).withColumnsRenamed({"ID": "_id", "INCHI": "_inchi"})
+    same = (F.col("ID") == F.col("_id")) & F.col("INCHI").eqNullSafe(F.col("_inchi"))
+    return rows.join(terms, same, "left").drop("_id", "_inchi")
+
+
 def with_synonyms(rows: DataFrame, portal: Tables, compounds: Tables) -> DataFrame:
     """Adds preferred name and the merged synonyms of compound and target to the main set.
 
     The lists are merged once per compound and once per target, before the many-to-many main set.
     """
-    terms = compound_terms(portal, compounds).withColumnsRenamed({"ID": "_id", "INCHI": "_inchi"})
-    same = (F.col("ID") == F.col("_id")) & F.col("INCHI").eqNullSafe(F.col("_inchi"))
-    return (
-        rows.join(terms, same, "left")
-        .drop("_id", "_inchi")
-        .join(target_terms(portal, compounds), ["TARGETID", "UNIPROT"], "left")
+    return with_compound_terms(rows, portal, compounds).join(
+        target_terms(portal, compounds), ["TARGETID", "UNIPROT"], "left"
     )
 
 
@@ -245,10 +247,7 @@ def quality_gate(rows: DataFrame, portal_good: DataFrame, portal_set: str = PORT
     """
     trusted = rows.where(differs("SET", portal_set)).select(F.col("INCHI").alias("key"))
     good = portal_good.select(F.col("InChI key").alias("key"))
-    keys = trusted.unionByName(good).distinct()
-    if is_small(keys):
-        keys = F.broadcast(keys)
-    return rows.join(keys, F.col("INCHI").eqNullSafe(F.col("key")), "left_semi")
+    return spread_semi(rows, trusted.unionByName(good).distinct(), "INCHI", "key")
 
 
 def build_dictionary(
@@ -263,10 +262,20 @@ def build_dictionary(
     if portal_good is not None:
         # The gate looks at sets and structures only, so it comes before the costlier steps.
         rows = quality_gate(staged(rows, "main-set"), portal_good, portal_set)
-    rows = rows.join(compound_ids(compounds), "INCHI", "left")
-    rows = with_synonyms(rows, portal, compounds).drop("TARGETID").distinct().drop("ID")
+    rows = spread_left(rows, compound_ids(compounds).dropna(subset=["INCHI"]), "INCHI")
+    # Rows are made distinct by ids: targets with the same protein and synonyms stand for each other.
+    targets = staged(target_terms(portal, compounds), "target-terms")
+    digest = F.sha2(F.to_json("SYNOMS_TARGET"), 256)
+    alike = targets.select("TARGETID", "UNIPROT", digest.alias("_terms"))
+    columns = ["ID", "SETID", "UNIPROT", "PROBE", "SET", "INCHI", "GENE", "CONTR", "COMPOUND_KEY"]
+    once = (
+        rows.join(alike, ["TARGETID", "UNIPROT"], "left")
+        .groupBy(*columns, "_terms")
+        .agg(F.min("TARGETID").alias("TARGETID"))
+    )
+    rows = with_compound_terms(once, portal, compounds).join(targets, ["TARGETID", "UNIPROT"], "left")
     return rows.select(
-        "SETID", "UNIPROT", "PROBE", "SET", "INCHI", "GENE", "CONTR", "CHEMBLID", "PREF_NAME", "SYNOMS",
+        "SETID", "UNIPROT", "PROBE", "SET", "INCHI", "GENE", "CONTR", "COMPOUND_KEY", "PREF_NAME", "SYNOMS",
         "SYNOMS_TARGET",
     )
 
@@ -274,7 +283,7 @@ def build_dictionary(
 def assay_units(compounds: Tables) -> DataFrame:
     """Units used with each kind of assay, among activities that have a potency value."""
     return (
-        compounds["activities"].where(F.col("pchembl_value").isNotNull()).select("units", "assay_id")
+        compounds["activities"].where(F.col("potency").isNotNull()).select("units", "assay_id")
         .distinct()
         .join(compounds["assays"], "assay_id")
         .select("units", "assay_type")
@@ -292,5 +301,5 @@ def document_articles(compounds: Tables) -> DataFrame:
 
 def documents_of(articles: DataFrame, compounds: Tables) -> DataFrame:
     """Documents of the given articles in the compound database."""
-    docs = compounds["docs"].select(F.col("pubmed_id").alias("pmid"), "doc_id", "chembl_id").distinct()
+    docs = compounds["docs"].select(F.col("pubmed_id").alias("pmid"), "doc_id", "document_key").distinct()
     return docs.join(articles.select("pmid").distinct(), "pmid", "left_semi")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litevidence.functions.text import empty_to_null
-from litevidence.operators.skew import grid_join, lookup
 
 PAIR = ("diseaseId", "targetId")
 SOURCE_PAIR = (*PAIR, "datasourceId")
@@ -33,9 +32,11 @@ def evidence_columns(evidence: DataFrame) -> DataFrame:
 
 
 def attach_evidence(triplets: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Every triplet once per evidence source of its pair; without evidence, once with nulls."""
-    left = evidence_names(triplets).distinct()
-    return grid_join([left, evidence_columns(evidence)], PAIR, "left")
+    """Every triplet once per evidence source of its pair; without evidence, once with nulls.
+
+    Copies of triplets count once. A pair has a row or two per source.
+    """
+    return evidence_names(triplets).distinct().join(evidence_columns(evidence), list(PAIR), "left")
 
 
 def dated_lists(dated: DataFrame) -> DataFrame:
@@ -53,23 +54,25 @@ def dated_lists(dated: DataFrame) -> DataFrame:
 
 def attach_dated(triplets: DataFrame, dated: DataFrame) -> DataFrame:
     """Adds the year lists of (pair, source). Only evidence of pairs that occur is aggregated."""
-    wanted = triplets.select(*SOURCE_PAIR)
-    lists = dated_lists(lookup(dated, wanted, SOURCE_PAIR, "left_semi"))
-    out = lookup(triplets, lists, SOURCE_PAIR, "left")
+    wanted = triplets.select(*SOURCE_PAIR).distinct()
+    lists = dated_lists(dated.join(wanted, list(SOURCE_PAIR), "left_semi"))
+    out = triplets.join(lists, list(SOURCE_PAIR), "left")
     return out.withColumns({f"all{year}s": empty_to_null(f"all{year}s") for year in YEARS})
 
 
-def earliest_evidence(dated: DataFrame, literature_sources: Collection[str] = ()) -> DataFrame:
+def earliest_evidence(dated: DataFrame, literature_sources: Collection[str]) -> DataFrame:
     """The first year of any evidence per pair, literature sources left out."""
     rows = dated.where(~F.col("datasourceId").isin(*literature_sources)) if literature_sources else dated
     return rows.groupBy(*PAIR).agg(F.min(F.least(*YEARS)).alias("evidence_year"))
 
 
 def temporal_precedence(
-    triplets: DataFrame, dated: DataFrame, literature_sources: Collection[str] = ()
+    triplets: DataFrame, dated: DataFrame, literature_sources: Collection[str]
 ) -> DataFrame:
     """Whether a pair was in the compound literature before the first dated evidence elsewhere.
 
+    `literature_sources` are the sources that are literature themselves; the caller has to name them.
+
     `precedes` is null for pairs without such evidence.
     """
     first = triplets.groupBy(F.col("DS").alias("diseaseId"), F.col("GP").alias("targetId")).agg(

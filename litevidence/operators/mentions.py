@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litevidence.functions.text import split_list
-from litevidence.operators.skew import HOT_ROWS, lookup, sized_join
 
 
 def name_columns(matches: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def synonyms(dictionary: DataFrame, column: str = "SYNOMS") -> DataFrame:
     """One row per synonym and compound id; the list may be an array or delimited text."""
     is_text = dict(dictionary.dtypes)[column] == "string"
     items = split_list(column) if is_text else F.col(column)
-    return dictionary.select("CHEMBLID", F.explode(items).alias("label"))
+    return dictionary.select("COMPOUND_KEY", F.explode(items).alias("label"))
 
 
 def dictionary_labels(dictionary: DataFrame, with_names: bool = False) -> DataFrame:
@@ -44,51 +43,41 @@ def label_ids(dictionary: DataFrame) -> DataFrame:
     return (
         synonyms(dictionary)
         .groupBy("label")
-        .agg(F.min("CHEMBLID").alias("CHEMBLID"), F.count_distinct("CHEMBLID").alias("n_ids"))
+        .agg(F.min("COMPOUND_KEY").alias("COMPOUND_KEY"), F.count_distinct("COMPOUND_KEY").alias("n_ids"))
     )
 
 
 def labelled_mentions(mentions: DataFrame, labels: DataFrame) -> DataFrame:
     """Mentions whose label is in the dictionary (exact, case-sensitive)."""
-    return sized_join(mentions, labels, ["label"], "left_semi")
+    return mentions.join(labels, ["label"], "left_semi")
 
 
 def article_ids(mentions: DataFrame) -> DataFrame:
     return mentions.select("pmid").distinct()
 
 
-def mentions_of(
-    mentions: DataFrame, articles: DataFrame, counted: DataFrame | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """All mentions of the given articles. The list of articles may be long, so it is not broadcast."""
-    return lookup(mentions, articles, ["pmid"], "left_semi", hot_rows, counted)
+def mentions_of(mentions: DataFrame, articles: DataFrame) -> DataFrame:
+    """All mentions of the given articles."""
+    return mentions.join(articles, ["pmid"], "left_semi")
 
 
-def probe_articles(
-    mentions: DataFrame, dictionary: DataFrame, counted: DataFrame | None = None
-) -> DataFrame:
-    """Every mention of every article that has at least one compound of the dictionary, copies included.
-
-    `counted` may be a table with a row per mention in which articles are counted more cheaply than in
-    `mentions`.
-    """
+def probe_articles(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Every mention of every article that has at least one compound of the dictionary, copies included."""
     hits = labelled_mentions(mentions, dictionary_labels(dictionary))
-    return mentions_of(mentions, article_ids(hits), counted)
+    return mentions_of(mentions, article_ids(hits))
 
 
-def select_articles(
-    mentions: DataFrame, dictionary: DataFrame, counted: DataFrame | None = None
-) -> DataFrame:
+def select_articles(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The same without copies. Rows are chosen first, so the wide shuffle sees only what is kept."""
-    return probe_articles(mentions, dictionary, counted).distinct()
+    return probe_articles(mentions, dictionary).distinct()
 
 
 def improve_ids(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace the annotated id by the dictionary's id where the label is a known synonym."""
-    ids = label_ids(dictionary).select("label", "CHEMBLID")
+    ids = label_ids(dictionary).select("label", "COMPOUND_KEY")
     return (
-        sized_join(mentions, ids, ["label"], "left", unique=True)
-        .withColumn("label_id", F.coalesce("CHEMBLID", "label_id"))
+        mentions.join(ids, ["label"], "left")
+        .withColumn("label_id", F.coalesce("COMPOUND_KEY", "label_id"))
         .select(*mentions.columns)
     )
 

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Collection, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def distinct_counts(rows: DataFrame, counts: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Several distinct counts in one pass: output name -> columns. Rows missing any of them do not count."""
-    return rows.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_distinct(*[F.col(c) for c in cols]).alias(name) for name, cols in counts.items()],
+    """Several distinct counts in one pass: output name -> columns. Rows missing any of them do not count.
+
+    Values are counted by a digest of 16 bytes and long texts go no further, as each row is shuffled once for each count.
+    """
+    digests = {}
+    for name, cols in counts.items():
+        missing = reduce(Column.__or__, [F.col(c).isNull() for c in cols])
+        digests[name] = F.when(~missing, F.unhex(F.md5(F.to_json(F.struct(*cols)).cast("binary"))))
+    narrow = rows.select(*[value.alias(name) for name, value in digests.items()])
+    return narrow.agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(name).alias(name) for name in digests]
     )
 
 
@@ -27,20 +36,26 @@ def count_per(rows: DataFrame, keys: Sequence[str], column: str, name: str) -> D
 
 
 def coverage(rows: DataFrame, classes: Mapping[str, Column], columns: Sequence[str]) -> DataFrame:
-    """Distinct key tuples of each, possibly overlapping, class of rows in one pass."""
-    return rows.agg(
-        *[
-            F.count_distinct(F.when(condition, F.struct(*columns))).alias(name)
-            for name, condition in classes.items()
-        ]
+    """Distinct key tuples of each, possibly overlapping, class of rows in one pass.
+
+    Rows are reduced to one per tuple with a mark for each class, so none is copied.
+    """
+    marked = rows.groupBy(*columns).agg(
+        *[F.max(F.coalesce(condition, F.lit(False))).alias(name) for name, condition in classes.items()]
     )
+    return marked.agg(*[F.count_if(F.col(name)).alias(name) for name in classes])
 
 
 def pivot_counts(
-    counts: DataFrame, row: str, column: str, value: str, columns: Collection[str]
+    counts: DataFrame, row: str, column: str, value: str, columns: Collection[str], mean: bool = False
 ) -> DataFrame:
-    """Counts as a table with one column per listed value; absent cells are null."""
-    return counts.groupBy(row).pivot(column, list(columns)).agg(F.sum(value))
+    """Counts as a table with one column per listed value, summed or as their mean; absent cells are null.
+
+    Values that are not listed come together in the column `other`, so no count is lost.
+    """
+    listed = F.when(F.col(column).isin(*columns), F.col(column)).otherwise(F.lit("other"))
+    cells = counts.withColumn(column, listed).groupBy(row).pivot(column, [*columns, "other"])
+    return cells.agg(F.avg(value) if mean else F.sum(value))
 
 
 def histogram_text(
@@ -56,10 +71,15 @@ def histogram_text(
     )
 
 
+def _quoted(delimiter: str) -> str:
+    """A pattern that matches the delimiter itself."""
+    return re.escape(delimiter)
+
+
 def top_terms(rows: DataFrame, column: str, k: int, delimiter: str = ",") -> DataFrame:
     """The k most frequent members of a delimited column; equal counts in alphabetical order."""
     return (
-        rows.select(F.explode(F.split(column, delimiter)).alias("term"))
+        rows.select(F.explode(F.split(column, _quoted(delimiter))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "term")
@@ -67,12 +87,15 @@ def top_terms(rows: DataFrame, column: str, k: int, delimiter: str = ",") -> Dat
     )
 
 
+def members(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The distinct values of a column per key, one row each: the form for sets of any size."""
+    return rows.select(*keys, column).where(F.col(column).isNotNull()).distinct()
+
+
 def listing(rows: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    """The distinct values of a column, sorted and comma-joined, per key."""
+    """`members` sorted and comma-joined in one cell per key, for export; a cell must fit in memory."""
     return (
-        rows.select(*keys, column)
-        .where(F.col(column).isNotNull())
-        .distinct()
+        members(rows, keys, column)
         .groupBy(*keys)
         .agg(F.array_join(F.array_sort(F.collect_list(column)), ", ").alias(name))
     )

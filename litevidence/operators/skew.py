@@ -1,15 +1,12 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Three ways to join, by what is known about the right side:
-
-* `sized_join`  - the right side is counted first and broadcast only when it is small enough;
-* `lookup`      - the right side has one row per key: rows of hot keys are never shuffled;
-* `grid_join`   - any number of rows per key on both sides: hot keys are dealt into cells.
-
-Each of them gives the result of the plain join, whatever the counts turn out to be; the counts only
-decide how the work is spread. Counting is a job of its own that reads the key columns and answers one
-question, whether any key is hot; without one, the plan is the plain join. So hand these functions a
-table rather than a long unfinished plan.
+* A join to a table with one row, or a few, per key is a plain join. Adaptive execution measures its sides as
+  they are written for the shuffle: it broadcasts one that is small and splits a partition that is too large. Nothing
+  is counted beforehand and no plan runs twice.
+* `spread_left` is such a join for a key that may be missing in many rows: those are dealt out instead of meeting
+  in one partition.
+* `grid_join` is for keys with many rows on both sides, whose combinations adaptive execution does not see. It
+  counts the keys of written tables once, and deals keys with too many combinations into cells.
 """
 
 from __future__ import annotations
@@ -22,115 +19,41 @@ from pyspark.sql import functions as F
 
 from litevidence.sources.writers import staged
 
-HOT_ROWS = 500_000        # a key with more rows than this is worth treating on its own
-HOT_KEY_LIMIT = 10_000    # keys treated on their own; a key beyond these holds < 1/10,000 of the rows
-ROWS_PER_CELL = 50_000    # rows of one key and one side that may meet in one cell
-BROADCAST_ROWS = 200_000  # rows of a dimension that may be sent to every executor
-BROADCAST_BYTES = 64 << 20  # and their size, measured as text
-_NULL_KEY_SPREAD = 1_000  # cells among which rows without a key are dealt
-
+CELL_PRODUCT = 10_000_000  # combinations of one key that one task may make
+_NULL_KEY_SPREAD = 1_000   # cells among which rows without a key are dealt
 
-def key_hash(on: Sequence[str]) -> Column:
-    """A 64-bit stand-in for a key; null is a value like any other here."""
-    return F.xxhash64(*[F.col(c).cast("string") for c in on])
 
+def spread_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on a text key of which `right` has no null. Rows without the key match nothing.
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the most frequent keys: at most HOT_KEY_LIMIT rows of 8 bytes, so safe to broadcast.
-
-    The counts are combined before the shuffle, so a hot key costs one row per task.
+    Such rows get one of many stand-ins for the key that no right row has.
     """
-    return (
-        df.groupBy(key_hash(on).alias("_h"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), "_h")
-        .limit(HOT_KEY_LIMIT)
-        .select("_h")
-    )
+    stand_in = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*left.columns), F.lit(_NULL_KEY_SPREAD)).cast("string"))
+    dealt = left.withColumn("_key", F.coalesce(F.col(key).cast("string"), stand_in))
+    return dealt.join(right.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
 
 
-def written_if_any(hot: DataFrame) -> DataFrame | None:
-    """The hot keys as a small written table, or None when there are none."""
-    return None if hot.isEmpty() else staged(hot, "hot-keys")
-
-
-def split_hot(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows whose key is hot, and all others. `hot` comes from `hot_keys`."""
-    hashed = df.withColumn("_h", key_hash(on))
-    return (
-        hashed.join(F.broadcast(hot), "_h", "left_semi").drop("_h"),
-        hashed.join(F.broadcast(hot), "_h", "left_anti").drop("_h"),
-    )
-
+def spread_semi(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataFrame:
+    """Rows of `left` whose key is in `right`, where a missing key matches a missing key.
 
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Join to a table with at most one row per key; `how` is left, inner, left_semi or left_anti.
-
-    Rows of hot keys meet the few right rows they can match through a broadcast (one row per hot key,
-    so no more than HOT_KEY_LIMIT); only the others are shuffled. `counted` may be a smaller table whose
-    key counts stand for those of `left`.
+    Rows without the key are dealt out as in `spread_left`; a missing right key stands for all stand-ins.
     """
-    on = list(on)
-    if how in ("left_semi", "left_anti"):
-        right = right.select(*on).distinct()
-    hot = written_if_any(hot_keys(left if counted is None else counted, on, hot_rows))
-    if hot is None:
-        return left.join(right, on, how)
-    hot_left, other_left = split_hot(left, hot, on)
-    hot_right, _ = split_hot(right, hot, on)
-    return hot_left.join(F.broadcast(hot_right), on, how).unionByName(
-        other_left.join(right, on, how)
+    spread = F.transform(
+        F.sequence(F.lit(0), F.lit(_NULL_KEY_SPREAD - 1)), lambda i: F.concat(F.lit("\u0000"), i.cast("string"))
     )
+    wanted = F.when(F.col(right_key).isNull(), spread).otherwise(F.array(F.col(right_key).cast("string")))
+    keys = right.select(F.explode(wanted).alias("_key"))
+    stand_in = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*left.columns), F.lit(_NULL_KEY_SPREAD)).cast("string"))
+    dealt = left.withColumn("_key", F.coalesce(F.col(key).cast("string"), stand_in))
+    return dealt.join(keys, "_key", "left_semi").drop("_key")
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether a table may be broadcast: its rows are counted and measured, up to the limit."""
-    width = F.length(F.to_json(F.struct(*df.columns)))
-    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).first()
-    return found["n"] <= max_rows and (found["size"] or 0) <= max_bytes
-
+def products(sides: Sequence[DataFrame], on: Sequence[str], max_product: int) -> DataFrame:
+    """Keys with more combinations than one task may make: rows `_n` and slices `_s` of each side.
 
-def sized_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    unique: bool = False,
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join to a dimension: broadcast when counted to be small, balanced otherwise.
-
-    `unique` says that the right side has one row per key.
+    Each side is cut into as many slices as keep a cell of all sides within `max_product`. A side without
+    rows of a key counts as one row, since an outer join pads it. The counts are combined before the shuffle.
     """
-    if is_small(right, max_rows):
-        return left.join(F.broadcast(right), list(on), how)
-    if unique or how in ("left_semi", "left_anti"):
-        return lookup(left, right, on, how)
-    return grid_join([left, right], on, how)
-
-
-def grid_join(
-    sides: Sequence[DataFrame],
-    on: Sequence[str],
-    how: str = "inner",
-    rows_per_cell: int = ROWS_PER_CELL,
-) -> DataFrame:
-    """Equi-join of two or more tables in which any key may be hot on any side.
-
-    A key with n_1, n_2, ... rows is cut into ceil(n_1/r) x ceil(n_2/r) x ... cells. A row is dealt to
-    one slice of its own side and copied along the others, so every combination meets in exactly one
-    cell and no task holds more than r rows of a side. A key with few rows is one cell. `how` is inner,
-    left (two sides) or full_outer. Rows of a side should be distinct: copies land in the same cell.
-    """
-    on = list(on)
     span = range(len(sides))
     tally = reduce(
         DataFrame.unionByName,
@@ -141,16 +64,35 @@ def grid_join(
             for i, side in enumerate(sides)
         ],
     )
-    slices = [F.greatest(F.lit(1), F.ceil(F.col(f"_n{j}") / rows_per_cell)).cast("int") for j in span]
-    hot = (
-        tally.groupBy(*on).agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in span])
-        .select("*", *[s.alias(f"_s{j}") for j, s in enumerate(slices)])
-        .where(reduce(Column.__or__, [F.col(f"_s{j}") > 1 for j in span]))
-        .orderBy(F.desc(reduce(Column.__mul__, [F.col(f"_s{j}").cast("double") for j in span])), *on)
-        .limit(HOT_KEY_LIMIT)
+    rows = max(1, int(max_product ** (1 / len(sides))))
+    combined = reduce(Column.__mul__, [F.greatest(F.lit(1), f"_n{j}").cast("double") for j in span])
+    return (
+        tally.dropna("any", subset=list(on))
+        .groupBy(*on)
+        .agg(*[F.sum(f"_n{j}").alias(f"_n{j}") for j in span])
+        .where(combined > max_product)
+        .select("*", *[F.greatest(F.lit(1), F.ceil(F.col(f"_n{j}") / rows)).cast("int").alias(f"_s{j}") for j in span])
     )
-    hot = written_if_any(hot)
-    if hot is None:
+
+
+def grid_join(
+    sides: Sequence[DataFrame],
+    on: Sequence[str],
+    how: str = "inner",
+    max_product: int = CELL_PRODUCT,
+) -> DataFrame:
+    """Equi-join of two or more tables in which a key may have many rows on every side.
+
+    Starts jobs when called: the sides are counted by key, and the keys with too many combinations, all of them,
+    are written to a table. So the sides should be written tables. A row of such a key is dealt to one slice
+    of its own side and copied along the others, so every combination meets in exactly one cell. The keys are met
+    by an ordinary join, however many there are. `how` is inner, left (two sides) or full_outer. Rows of a
+    side should be distinct: copies land in the same cell.
+    """
+    on = list(on)
+    span = range(len(sides))
+    hot = staged(products(sides, on, max_product), "hot-keys")
+    if hot.isEmpty():
         return reduce(lambda a, b: a.join(b, on, how), sides)
     counts = [f"_n{j}" for j in span]
     coords = [f"_c{j}" for j in span]
@@ -167,7 +109,7 @@ def grid_join(
 def _deal(side: DataFrame, hot: DataFrame, on: list[str], own: int, width: int) -> DataFrame:
     row = F.xxhash64(*side.columns)
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
-    out = side.withColumn("_row", row).join(F.broadcast(hot), on, "left")
+    out = side.withColumn("_row", row).join(hot, on, "left")
     for j in range(width):
         parts = F.coalesce(F.col(f"_s{j}"), F.lit(1))
         if j == own:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from litevidence.constants import GENE_OVERRIDES
 from litevidence.functions.text import literal_items
-from litevidence.operators.skew import sized_join
-from litevidence.sources.writers import staged
 
 
 def gene_symbols(dictionary: DataFrame, column: str = "GENE") -> DataFrame:
@@ -41,23 +39,21 @@ def accepted_triplets(
     """Triplets joined to the dictionary rows that accept (compound, target).
 
     A pair that is in several sets gives one row per dictionary row; with `once` each triplet is kept a
-    single time and no dictionary columns are added. The accepted pairs are written once, as they are
-    counted before they are joined.
+    single time and no dictionary columns are added.
     """
     pairs = (
         ground_genes(dictionary, gene_table)
-        .withColumnsRenamed({"CHEMBLID": "CD", "ENS_ID": "GP"})
+        .withColumnsRenamed({"COMPOUND_KEY": "CD", "ENS_ID": "GP"})
         .drop("symbol")
         .dropna(subset=["CD", "GP"])
     )
     if once:
         pairs = pairs.select("CD", "GP")
-    pairs = staged(pairs.distinct(), "accepted-pairs")
-    return sized_join(triplets, pairs, ["CD", "GP"], "left_semi" if once else "inner")
+    return triplets.join(pairs.distinct(), ["CD", "GP"], "left_semi" if once else "inner")
 
 
 def without_blacklisted(triplets: DataFrame, blacklist: DataFrame, column: str = "DS") -> DataFrame:
     """Drops triplets whose disease is on the list; ids are trimmed first."""
     listed = blacklist.select(F.trim("diseaseId").alias(column)).dropna().distinct()
-    return sized_join(triplets, listed, [column], "left_anti")
+    return triplets.join(listed, [column], "left_anti")
 

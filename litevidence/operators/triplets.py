@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.operators.skew import grid_join, hot_keys, split_hot, written_if_any
+from litevidence.operators.skew import CELL_PRODUCT, grid_join
+from litevidence.sources.writers import staged
 
 ENTITY_TYPES = ("CD", "GP", "DS")  # compound, gene/protein, disease
 SENTENCE = ("pmid", "sentence", "date", "section")
 
-BIG_ARTICLE = 5_000    # mentions above which an article may hold a sentence with very many triplets
-IDS_PER_CELL = 200     # ids of each type that are combined by one task at a time: up to 8 million triplets
+GATHERED = 50_000      # mentions of an article that may come together in the rows of its sentences
 
 
 def _ids_of(kind: str, value: str) -> Column:
@@ -29,6 +30,24 @@ def sentence_entities(
     )
 
 
+def busy_articles(
+    mentions: DataFrame, article: str = "pmid", max_product: int = CELL_PRODUCT, gathered: int = GATHERED
+) -> DataFrame:
+    """Articles that may hold a sentence with too many triplets for one task, or too many ids for one row.
+
+    The product of an article's mentions of each type bounds the triplets of each of its sentences. Counts
+    are combined before the shuffle.
+    """
+    of_kind = [F.count_if(F.col("entity_type") == kind) for kind in ENTITY_TYPES]
+    product = reduce(Column.__mul__, [F.greatest(F.lit(1), n).cast("double") for n in of_kind])
+    return (
+        mentions.groupBy(article)
+        .agg(product.alias("_product"), F.count(F.lit(1)).alias("_n"))
+        .where((F.col("_product") > max_product) | (F.col("_n") > gathered))
+        .select(article)
+    )
+
+
 def extract_triplets(
     mentions: DataFrame,
     keys: Sequence[str] = SENTENCE,
@@ -36,29 +55,33 @@ def extract_triplets(
     outer: bool = False,
     article: str = "pmid",
     counted: DataFrame | None = None,
-    hot_rows: int = BIG_ARTICLE,
-    rows_per_cell: int = IDS_PER_CELL,
+    max_product: int = CELL_PRODUCT,
+    gathered: int = GATHERED,
 ) -> DataFrame:
     """All CD x GP x DS combinations of each sentence.
 
-    Inner form: sentences that lack a type give nothing. Outer form: a missing type leaves a null slot.
+    Inner form: sentences that lack a type give nothing. Outer form: a missing type leaves a null slot, and a
+    sentence with entities of other types only is a row of empty slots.
     `value` chooses between ids (`label_id`) and names (`label`). Copies in `mentions` do no harm.
 
-    Sentences of ordinary articles are gathered with one shuffle. Articles with more than `hot_rows`
-    mentions take the other way: their distinct entities are joined cell by cell, so that no sentence is
-    ever held in one row. Articles are counted beforehand, by their ids alone; `counted` may be a table
-    with a row per mention from which that is cheaper than from `mentions`.
+    Sentences of ordinary articles are gathered with one shuffle. Busy articles take the other way:
+    their distinct entities are joined cell by cell, so that no sentence is ever held in one row and no task
+    makes more than about `max_product` triplets of a sentence. Starts jobs when called: mentions are counted by
+    article and type; `counted` may be a table with these two columns and a row per mention from which that
+    is cheaper than from `mentions`.
     """
     keys = list(keys)
-    known = mentions.where(F.col("entity_type").isin(*ENTITY_TYPES)).select(*keys, "entity_type", value)
-    for key in keys:
-        known = known.where(F.col(key).isNotNull())
-    hot = written_if_any(hot_keys(mentions if counted is None else counted, [article], hot_rows))
-    if hot is None:
+    known = mentions.select(*keys, "entity_type", value).dropna("any", subset=keys)
+    if not outer:
+        known = known.where(F.col("entity_type").isin(*ENTITY_TYPES))
+    busy = staged(
+        busy_articles(mentions if counted is None else counted, article, max_product, gathered), "busy-articles"
+    )
+    if busy.isEmpty():
         return _gathered(known, keys, value, outer)
-    big, usual = split_hot(known, hot, [article])
-    return _gathered(usual, keys, value, outer).unionByName(
-        _crossed(big, keys, value, outer, rows_per_cell)
+    usual = _gathered(known.join(busy, article, "left_anti"), keys, value, outer)
+    return usual.unionByName(
+        _crossed(known.join(busy, article, "left_semi"), keys, value, outer, max_product)
     )
 
 
@@ -73,18 +96,18 @@ def _gathered(mentions: DataFrame, keys: list[str], value: str, outer: bool) ->
     return sentences
 
 
-def _crossed(
-    mentions: DataFrame, keys: list[str], value: str, outer: bool, rows_per_cell: int
-) -> DataFrame:
-    entities = mentions.where(F.col(value).isNotNull()).distinct()
+def _crossed(mentions: DataFrame, keys: list[str], value: str, outer: bool, max_product: int) -> DataFrame:
+    entities = staged(mentions.distinct(), "busy-entities")
+    named = entities.where(F.col(value).isNotNull())
     sides = [
-        entities.where(F.col("entity_type") == kind).select(*keys, F.col(value).alias(kind))
+        named.where(F.col("entity_type") == kind).select(*keys, F.col(value).alias(kind))
         for kind in ENTITY_TYPES
     ]
     if not outer:
-        return grid_join(sides, keys, "inner", rows_per_cell)
-    unnamed = mentions.groupBy(*keys).agg(F.count(value).alias("_n")).where(F.col("_n") == 0)
-    return grid_join(sides, keys, "full_outer", rows_per_cell).unionByName(
+        return grid_join(sides, keys, "inner", max_product)
+    slot = F.when(F.col("entity_type").isin(*ENTITY_TYPES), F.col(value))
+    unnamed = entities.groupBy(*keys).agg(F.count(slot).alias("_n")).where(F.col("_n") == 0)
+    return grid_join(sides, keys, "full_outer", max_product).unionByName(
         unnamed.select(*keys, *[F.lit(None).cast("string").alias(kind) for kind in ENTITY_TYPES])
     )
 

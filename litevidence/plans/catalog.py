@@ -6,6 +6,7 @@ given as text here, so that results compare by value with any SQL engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from litevidence.constants import GENE_OVERRIDES
 from litevidence.functions.areas import preferred_area, preferred_area_of_text, flat_areas
 from litevidence.functions.text import (
-    control_class, differs, join_list, literal_items, redelimit, strip_literal,
+    control_class, differs, join_list, quoted_items, redelimit, strip_literal,
 )
 from litevidence.operators import annotate, compare, curation, dictionary, evidence, metrics
 from litevidence.operators.mentions import (
@@ -27,7 +28,8 @@ from litevidence.operators.targets import (
 from litevidence.operators.triplets import extract_triplets, triplet_counts
 from litevidence.plans.literature import annotated_triplets
 from litevidence.plans.views import Views
-from litevidence.sources.writers import staged
+from litevidence.sources import readers
+from litevidence.sources.writers import stage_folder, staged, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,13 +45,13 @@ def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
 
 
 def plain(rows: DataFrame) -> DataFrame:
-    """Dates and arrays as text, empty arrays as empty text."""
+    """Dates and arrays as text, empty arrays as empty text; null stays null."""
     changed = {}
     for name, kind in rows.dtypes:
         if kind == "date":
             changed[name] = F.col(name).cast("string")
         elif kind.startswith("array"):
-            changed[name] = F.concat_ws("|", F.col(name).cast("array<string>"))
+            changed[name] = F.array_join(F.col(name).cast("array<string>"), "|")
     return rows.withColumns(changed) if changed else rows
 
 
@@ -110,7 +112,7 @@ def articles_with_probe(v: Views) -> DataFrame:
 
 @query
 def article_mentions(v: Views) -> DataFrame:
-    return select_articles(mentions(v), v.dictionary_text(), v.mention_articles())
+    return select_articles(mentions(v), v.dictionary_text())
 
 
 @query
@@ -147,6 +149,17 @@ def triplet_extract(v: Views) -> DataFrame:
     return triplets(v)
 
 
+@query
+def triplet_extract_split(v: Views) -> DataFrame:
+    """The same with nearly all articles treated as busy and cut into small cells."""
+    return extract_triplets(mentions(v), counted=v.mention_articles(), max_product=2, gathered=3)
+
+
+@query
+def triplet_outer_split(v: Views) -> DataFrame:
+    return extract_triplets(mentions(v), outer=True, counted=v.mention_articles(), max_product=2, gathered=3)
+
+
 @query
 def triplet_extract_outer(v: Views) -> DataFrame:
     return extract_triplets(mentions(v), outer=True, counted=v.mention_articles())
@@ -197,6 +210,14 @@ def dated_evidence_lists(v: Views) -> DataFrame:
     return evidence.dated_lists(v.dated_evidence())
 
 
+@query
+def dated_folder_lists(v: Views) -> DataFrame:
+    """The same from one folder per source, read in one scan."""
+    path = f"{stage_folder(v.spark)}/dated-{uuid.uuid4().hex}"
+    write_parquet(v.dated_evidence(), path, ["sourceId"])
+    return evidence.dated_lists(readers.read_dated_evidence(v.spark, path))
+
+
 @query
 def attach_dated(v: Views) -> DataFrame:
     with_sources = evidence.attach_evidence(staged(accepted(v), "accepted"), v.evidence())
@@ -206,8 +227,7 @@ def attach_dated(v: Views) -> DataFrame:
 
 @query
 def temporal_precedence(v: Views) -> DataFrame:
-    curated = triplets(v).where(F.col("section").isin(*GROUNDED_SECTIONS))
-    return evidence.temporal_precedence(curated, v.late_evidence(), literature_sources=["R"])
+    return evidence.temporal_precedence(triplets(v), v.late_evidence(), literature_sources=["R"])
 
 
 # --- annotation -------------------------------------------------------------------------------------
@@ -258,7 +278,7 @@ def article_type_tally(v: Views) -> DataFrame:
 
 @query
 def compound_phase(v: Views) -> DataFrame:
-    rows = triplets(v).select("pmid", F.col("CD").alias("CHEMBLID"))
+    rows = triplets(v).select("pmid", F.col("CD").alias("COMPOUND_KEY"))
     return annotate.attach_compound_phase(rows, v.molecule_dictionary())
 
 
@@ -267,7 +287,6 @@ def annotated_triplets_(v: Views) -> DataFrame:
     return annotated_triplets(
         mentions(v), v.dictionary_text(), v.dictionary_targets(), v.gene_symbol(), v.evidence(),
         v.dated_evidence(), v.disease(), v.known_drug(), v.article_type(), v.blacklist(),
-        v.mention_articles(),
     )
 
 
@@ -389,7 +408,7 @@ def clean_term_list(v: Views) -> DataFrame:
         "DISEASE_FOUND",
         strip_literal("DISEASE_FOUND").alias("stripped"),
         redelimit("DISEASE_FOUND").alias("flat"),
-        join_list(literal_items("DISEASE_FOUND"), "; ").alias("items"),
+        join_list(quoted_items("DISEASE_FOUND"), "; ").alias("items"),
     )
 
 
@@ -407,10 +426,9 @@ def term_grounding(v: Views) -> DataFrame:
 
 @query
 def label_grounding(v: Views) -> DataFrame:
-    """Gene names and the override gene, grounded with the hand-made entries winning."""
-    genes = v.table("supplier").select(F.col("s_name").alias("GENE")).unionByName(
-        v.table("nation").select(F.lit(list(GENE_OVERRIDES)[0]).alias("GENE"))
-    )
+    """Gene names, the override gene among them, grounded with the hand-made entries winning."""
+    gene = F.when(F.col("s_acctbal") < 0, list(GENE_OVERRIDES)[0]).otherwise(F.col("s_name"))
+    genes = v.table("supplier").select(gene.alias("GENE"))
     table = with_overrides(v.gene_symbol()).withColumnsRenamed(
         {"symbol": "label", "ensembl_id": "label_id"}
     )
@@ -490,7 +508,23 @@ def pair_pivot(v: Views) -> DataFrame:
         F.col("l_orderkey").alias("PMID"),
     )
     counts = metrics.distinct_per(rows, ["GENE", "PROBE"], "PMID", "n")
-    return metrics.pivot_counts(counts, "GENE", "PROBE", "n", [f"B{i}" for i in range(1, 26)])
+    families = [r[0] for r in v.table("part").select(F.replace("p_brand", F.lit("Brand#"), F.lit("B"))).distinct().collect()]
+    return metrics.pivot_counts(counts, "GENE", "PROBE", "n", sorted(families))
+
+
+@query
+def disease_gene_pivot(v: Views) -> DataFrame:
+    """Diseases by gene family: the mean number of articles of its genes."""
+    rows = (
+        v.table("lineitem")
+        .join(v.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(v.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    family = F.concat(F.lit("F"), F.col("s_nationkey"))
+    rows = rows.select(F.lower("p_type").alias("DISEASES"), family.alias("GENE"), "l_suppkey", F.col("l_orderkey").alias("PMID"))
+    counts = metrics.distinct_per(rows, ["DISEASES", "GENE", "l_suppkey"], "PMID", "n")
+    listed = [r[0] for r in v.table("nation").select(F.concat(F.lit("F"), F.col("n_nationkey"))).collect()]
+    return metrics.pivot_counts(counts, "DISEASES", "GENE", "n", sorted(listed), mean=True)
 
 
 @query
@@ -527,17 +561,39 @@ def compare_triplets(v: Views) -> DataFrame:
     return compare.compare_triplets(*_gold_and_auto(v))
 
 
+@query
+def compare_triplets_split(v: Views) -> DataFrame:
+    """The same with pairs cut into small cells."""
+    return compare.compare_triplets(*_gold_and_auto(v), max_product=2)
+
+
+@query
+def grounded_comparison(v: Views) -> DataFrame:
+    """The curated set, grounded, beside the extracted triplets of the same compound and target."""
+    found = staged(triplets(v).select("pmid", "CD", "GP", "DS"), "triplets")
+    curated = curation.grounded_triples(report(v), *v.grounding()).withColumnRenamed("PMID", "pmid")
+    return compare.compare_triplets(found, staged(curated, "grounded"))
+
+
+@query
+def grounded_histogram(v: Views) -> DataFrame:
+    """Diseases of each compound and target in the grounded set."""
+    curated = curation.grounded_triples(report(v), *v.grounding())
+    return metrics.histogram_text(curated, ["CD", "GP"], "DS", "all_diseases", "n_articles")
+
+
 @query
 def pair_agreement(v: Views) -> DataFrame:
     return compare.pair_agreement(*_gold_and_auto(v))
 
 
 def _text_sets(v: Views) -> tuple[DataFrame, DataFrame]:
+    """English documents, and those in other languages or labelled good: together all of them."""
     docs = v.table("documents")
-    good = v.table("labels").where(F.col("quality") == 1)
+    good = v.table("labels").where(F.col("quality") == 1).select("doc_id", F.lit(True).alias("good"))
     return (
         docs.where(F.col("lang") == "en").select("text"),
-        docs.join(good, "doc_id", "left_semi").select("text"),
+        docs.join(good, "doc_id", "left").where((F.col("lang") != "en") | F.col("good")).select("text"),
     )
 
 
@@ -554,3 +610,8 @@ def sentences_common(v: Views) -> DataFrame:
 @query
 def sentences_only_first(v: Views) -> DataFrame:
     return compare.only_in_first(*_text_sets(v))
+
+
+@query
+def sentences_only_second(v: Views) -> DataFrame:
+    return compare.only_in_first(*reversed(_text_sets(v)))

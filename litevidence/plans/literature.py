@@ -10,20 +10,17 @@ from litevidence.operators.evidence import (
 )
 from litevidence.functions.text import empty_to_null
 from litevidence.operators.mentions import complete_mentions, improve_ids, probe_articles
-from litevidence.operators.skew import grid_join, lookup
 from litevidence.operators.targets import accepted_triplets, without_blacklisted
 from litevidence.operators.triplets import extract_triplets
 from litevidence.sources.writers import staged
 
 
-def grounded_triplets(
-    mentions: DataFrame, dictionary: DataFrame, counted: DataFrame | None = None
-) -> DataFrame:
+def grounded_triplets(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Triplets of all articles that mention a compound of the dictionary.
 
     Copies of mentions are left in: gathering a sentence's entities removes them in the same shuffle.
     """
-    chosen = staged(probe_articles(mentions, dictionary, counted), "mentions")
+    chosen = staged(probe_articles(mentions, dictionary), "mentions")
     return extract_triplets(complete_mentions(improve_ids(chosen, dictionary)), counted=chosen)
 
 
@@ -34,9 +31,9 @@ def annotated_pairs(
 
     Evidence, dated evidence and drugs are first reduced to the pairs asked for.
     """
-    by_source = grid_join([pairs, evidence_columns(evidence)], PAIR, "left")
-    lists = dated_lists(lookup(dated, pairs, PAIR, "left_semi"))
-    phases = max_phase(lookup(known_drug, pairs, PAIR, "left_semi"))
+    by_source = pairs.join(evidence_columns(evidence), list(PAIR), "left")
+    lists = dated_lists(dated.join(pairs, list(PAIR), "left_semi"))
+    phases = max_phase(known_drug.join(pairs, list(PAIR), "left_semi"))
     rows = by_source.join(lists, list(SOURCE_PAIR), "left").withColumns(
         {f"all{year}s": empty_to_null(f"all{year}s") for year in YEARS}
     )
@@ -54,16 +51,14 @@ def annotated_triplets(
     known_drug: DataFrame,
     article_type: DataFrame,
     blacklist: DataFrame | None = None,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted triplets with evidence, dated evidence, area, phase and article type.
 
     What is known about a target-disease pair is put together once per pair and meets the triplets in a
-    single join, so the wide triplet rows with their sentences are shuffled once. Tables are written on
-    the way: the chosen mentions, the accepted triplets, the annotated pairs. `counted` may be a table
-    with a row per mention in which articles are counted more cheaply than in `mentions`.
+    single join, so the wide triplet rows with their sentences are shuffled once. Two tables are written on
+    the way: the chosen mentions and the accepted triplets.
     """
-    triplets = grounded_triplets(mentions, dictionary, counted)
+    triplets = grounded_triplets(mentions, dictionary)
     if blacklist is not None:
         triplets = without_blacklisted(triplets, blacklist)
     # Distinct by construction: triplets of a sentence and accepted pairs both are.
@@ -71,6 +66,5 @@ def annotated_triplets(
         evidence_names(accepted_triplets(triplets, dictionary_targets, gene_table)), "accepted"
     )
     pairs = accepted.select(*PAIR).distinct()
-    known = staged(annotated_pairs(pairs, evidence, dated, disease, known_drug), "pairs")
-    joined = grid_join([accepted, known], PAIR, "inner")
-    return attach_article_type(joined, article_type, counted=accepted)
+    known = annotated_pairs(pairs, evidence, dated, disease, known_drug)
+    return attach_article_type(accepted.join(known, list(PAIR)), article_type)

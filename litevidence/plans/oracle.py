@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from litevidence.constants import DISEASE_NAMES, DISEASE_TAGS
+
 # Named parts: each may use those before it.
 PARTS = {
     "mentions": """
         SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS pmid, p_name || ' ' || p_brand AS label,
                CASE l_returnflag WHEN 'A' THEN 'CD_' || l_partkey WHEN 'N' THEN 'GP_' || l_suppkey
                     ELSE 'DS_' || CAST(l_quantity AS INTEGER) END AS label_id,
-               CASE l_returnflag WHEN 'A' THEN 'CD' WHEN 'N' THEN 'GP' ELSE 'DS' END AS entity_type,
+               CASE WHEN l_tax > 0.07 THEN 'OG' WHEN l_returnflag = 'A' THEN 'CD'
+                    WHEN l_returnflag = 'N' THEN 'GP' ELSE 'DS' END AS entity_type,
                CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
                o_orderstatus AS section, o_orderpriority AS sentence
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "synonym_rows": """
-        SELECT 'CD_' || p_partkey AS CHEMBLID,
+        SELECT 'CD_' || p_partkey AS COMPOUND_KEY,
                unnest([p_brand, p_name || ' ' || p_brand, p_type]) AS label
         FROM part WHERE p_brand = 'Brand#7'""",
     "label_id_table": """
-        SELECT label, min(CHEMBLID) AS CHEMBLID, count(DISTINCT CHEMBLID) AS n_ids
+        SELECT label, min(COMPOUND_KEY) AS COMPOUND_KEY, count(DISTINCT COMPOUND_KEY) AS n_ids
         FROM synonym_rows GROUP BY label""",
     "selected": """
         SELECT * FROM mentions WHERE pmid IN
@@ -30,23 +33,23 @@ PARTS = {
         JOIN (SELECT * FROM entities WHERE entity_type = 'GP') g USING (pmid, sentence, date, section)
         JOIN (SELECT * FROM entities WHERE entity_type = 'DS') d USING (pmid, sentence, date, section)""",
     "genes": """
-        SELECT DISTINCT 'CD_' || l_partkey AS CHEMBLID, l_returnflag AS SETID,
+        SELECT DISTINCT 'CD_' || l_partkey AS COMPOUND_KEY, l_returnflag AS SETID,
                CASE WHEN s_acctbal < 0 THEN '[''ALT-' || s_suppkey || ''', ''' || s_name || ''']'
                     ELSE '[''' || s_name || ''']' END AS GENE,
                CASE WHEN s_acctbal < 0 THEN ['ALT-' || s_suppkey, s_name] ELSE [s_name] END AS symbols,
                'GP_' || l_suppkey AS true_id
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "ground": """
-        SELECT CHEMBLID, SETID, GENE, symbol, 'GP_' || s_suppkey AS ENS_ID
+        SELECT COMPOUND_KEY, SETID, GENE, symbol, 'GP_' || s_suppkey AS ENS_ID
         FROM (SELECT *, unnest(symbols) AS symbol FROM genes) LEFT JOIN supplier ON symbol = s_name""",
     "accepted": """
         SELECT * FROM triplets WHERE (CD, GP) IN
-            (SELECT (CHEMBLID, ENS_ID) FROM ground WHERE ENS_ID IS NOT NULL)""",
+            (SELECT (COMPOUND_KEY, ENS_ID) FROM ground WHERE ENS_ID IS NOT NULL)""",
     "evidence": """
-        SELECT 'DS_' || CAST(l_quantity AS INTEGER) AS diseaseId, 'GP_' || l_suppkey AS targetId,
+        SELECT 'DS_' || CAST(l_quantity + 3 AS INTEGER) AS diseaseId, 'GP_' || l_suppkey AS targetId,
                l_returnflag AS datasourceId, lower(l_returnflag) AS datatypeId,
                round(avg(l_discount), 6) AS score, count(*) AS evidenceCount
-        FROM lineitem WHERE l_discount >= 0.09 GROUP BY ALL""",
+        FROM lineitem GROUP BY ALL""",
     "with_evidence": """
         SELECT a.pmid, a.sentence, a.date, a.section, a.CD AS probeId, a.GP AS targetId,
                a.DS AS diseaseId, e.datasourceId, e.datatypeId, e.score, e.evidenceCount
@@ -102,25 +105,25 @@ PARTS = {
             FROM lineitem JOIN part ON l_partkey = p_partkey
             WHERE l_linenumber IN (3, 5, 7) AND p_size > 5) GROUP BY ID""",
     "names": """
-        SELECT 'IK_' || p_partkey AS INCHI, 'CD_' || p_partkey AS CHEMBLID,
+        SELECT 'IK_' || p_partkey AS INCHI, 'CD_' || p_partkey AS COMPOUND_KEY,
                CASE WHEN p_brand <> 'Brand#3' THEN p_name END AS PREF_NAME,
                CASE WHEN p_type <> 'SMALL' THEN least(p_brand, p_type) || '|' || greatest(p_brand, p_type)
-                    END AS SYNOMS_CHEMBL
+                    END AS SYNOMS_DB
         FROM part WHERE p_size < 44""",
     "target_names": """
         SELECT s_suppkey AS TARGETID, least(n_name, r_name) || '|' || greatest(n_name, r_name) AS SYNOMS_TARGET
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "protein_names": """
-        SELECT n_name AS UNIPROT, string_agg(s_name, '|' ORDER BY s_name) AS SYNOMS_TARGET_CHEMBL
+        SELECT n_name AS UNIPROT, string_agg(s_name, '|' ORDER BY s_name) AS SYNOMS_TARGET_DB
         FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""",
     "enriched": """
-        SELECT m.*, n.PREF_NAME, n.CHEMBLID,
+        SELECT m.*, n.PREF_NAME, n.COMPOUND_KEY,
                array_to_string(list_sort(list_distinct(list_concat(
                    string_split(coalesce(a.SYNOMS, ''), '|'),
-                   string_split(coalesce(n.SYNOMS_CHEMBL, ''), '|')))), '|') AS raw_syn,
+                   string_split(coalesce(n.SYNOMS_DB, ''), '|')))), '|') AS raw_syn,
                array_to_string(list_sort(list_distinct(list_concat(
                    string_split(coalesce(t.SYNOMS_TARGET, ''), '|'),
-                   string_split(coalesce(p.SYNOMS_TARGET_CHEMBL, ''), '|')))), '|') AS raw_tar
+                   string_split(coalesce(p.SYNOMS_TARGET_DB, ''), '|')))), '|') AS raw_tar
         FROM main_set m LEFT JOIN attribute_synonyms a USING (ID) LEFT JOIN names n ON m.INCHI = n.INCHI
              LEFT JOIN target_names t ON m.TARGETID = t.TARGETID
              LEFT JOIN protein_names p ON m.UNIPROT = p.UNIPROT""",
@@ -141,10 +144,10 @@ PARTS = {
                p_name AS PROBE, 'GENE' || l_suppkey AS GENE,
                CASE WHEN l_linenumber IN (2, 4, 6) THEN NULL
                     WHEN l_linenumber = 1 THEN lower(p_type) || ',cancer'
-                    WHEN l_linenumber = 3 THEN 'NE,prostate cancer,CRPC'
+                    WHEN l_linenumber = 3 THEN {tags}[l_partkey % {n_tags} + 1]
                     ELSE lower(p_type) || ' tumors' END AS DISEASES,
                CASE WHEN l_linenumber NOT IN (3, 6)
-                    THEN '[''' || lower(p_brand) || ''', ''defect'', ''defects'']' END AS DISEASE_FOUND,
+                    THEN '[''' || lower(p_brand) || ' cancer'', ''defect'', ''defects'']' END AS DISEASE_FOUND,
                CASE l_returnflag WHEN 'A' THEN 'C' || p_brand WHEN 'N' THEN 'Keyword' END AS CONTROL,
                CASE WHEN l_tax > 0.06 THEN 'IC50' END AS DOSAGE
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
@@ -153,16 +156,36 @@ PARTS = {
                           AS DISEASE_FOUND) FROM report""",
     "named": """
         SELECT DISTINCT PMID, PROBE, GENE,
-               CASE WHEN DISEASES = 'NE,prostate cancer,CRPC' THEN 'prostate cancer'
-                    ELSE replace(DISEASES, 'tumors', 'tumor') END AS DISEASES
+               CASE replace({by_tag}, 'tumors', 'tumor') {names} ELSE replace({by_tag}, 'tumors', 'tumor') END AS DISEASES
         FROM report""",
     "sides": """
         SELECT pmid, CD, GP, DS, section = 'F' AS gold FROM triplets""",
     "text_a": "SELECT DISTINCT text FROM documents WHERE lang = 'en'",
     "text_b": """
-        SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
+        SELECT DISTINCT text FROM documents
+        WHERE lang <> 'en' OR doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
+    "grounded": """
+        SELECT DISTINCT PMID, c.CD, 'GP_' || substr(GENE, 5) AS GP, t.DS
+        FROM named JOIN (SELECT p_name, min('CD_' || p_partkey) AS CD FROM part GROUP BY p_name) c ON PROBE = p_name
+        JOIN (SELECT DISTINCT lower(p_type) || ' tumor' AS term, 'DS_' || length(p_type) AS DS FROM part) t
+            ON DISEASES = t.term""",
 }
 
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _cases(values: dict[str, str]) -> str:
+    return " ".join(f"WHEN {_quoted(a)} THEN {_quoted(b)}" for a, b in values.items())
+
+
+_TAGS = [*DISEASE_TAGS, *DISEASE_NAMES]
+PARTS["report"] = PARTS["report"].replace("{tags}", f"[{', '.join(map(_quoted, _TAGS))}]").replace("{n_tags}", str(len(_TAGS)))
+PARTS["named"] = (
+    PARTS["named"].replace("{by_tag}", f"CASE DISEASES {_cases(DISEASE_TAGS)} ELSE DISEASES END").replace("{names}", _cases(DISEASE_NAMES))
+)
+
 _TRIPLET_COLUMNS = "pmid, sentence, date, section, CD, GP, DS"
 _SLOTS = """
     SELECT {keys}, c.v AS CD, g.v AS GP, d.v AS DS
@@ -179,11 +202,11 @@ BODIES = {
     "article_mentions": "SELECT * FROM selected",
     "corpus_article_count": "SELECT count(DISTINCT pmid) AS n_articles FROM mentions",
     "improve_ids": """
-        SELECT DISTINCT m.* REPLACE (coalesce(t.CHEMBLID, m.label_id) AS label_id)
+        SELECT DISTINCT m.* REPLACE (coalesce(t.COMPOUND_KEY, m.label_id) AS label_id)
         FROM mentions m LEFT JOIN label_id_table t ON m.label = t.label""",
     "label_id_counts": """
         SELECT count(*) AS n_annotated, count(*) AS n_improved,
-               count(*) FILTER (WHERE CHEMBLID <> CASE l_returnflag WHEN 'A' THEN 'CD_' || l_partkey
+               count(*) FILTER (WHERE COMPOUND_KEY <> CASE l_returnflag WHEN 'A' THEN 'CD_' || l_partkey
                    WHEN 'N' THEN 'GP_' || l_suppkey ELSE 'DS_' || CAST(l_quantity AS INTEGER) END) AS n_changed
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
              LEFT JOIN label_id_table ON label = p_name || ' ' || p_brand""",
@@ -196,9 +219,9 @@ BODIES = {
     "triplet_prevalence": """
         SELECT CD, GP, DS, count(*) AS n_triplets, count(DISTINCT pmid) AS n_articles
         FROM triplets GROUP BY ALL""",
-    "gene_to_id": "SELECT CHEMBLID, SETID, GENE, symbol, ENS_ID FROM ground",
+    "gene_to_id": "SELECT COMPOUND_KEY, SETID, GENE, symbol, ENS_ID FROM ground",
     "accepted_pairs": f"""
-        SELECT {_TRIPLET_COLUMNS}, SETID, GENE FROM triplets JOIN ground ON CD = CHEMBLID AND GP = ENS_ID""",
+        SELECT {_TRIPLET_COLUMNS}, SETID, GENE FROM triplets JOIN ground ON CD = COMPOUND_KEY AND GP = ENS_ID""",
     "accepted_pairs_once": f"SELECT {_TRIPLET_COLUMNS} FROM accepted",
     "blacklist_filter": f"""
         SELECT {_TRIPLET_COLUMNS} FROM triplets
@@ -208,20 +231,18 @@ BODIES = {
         SELECT * REPLACE (coalesce(allstudyYears, '') AS allstudyYears) FROM lists""",
     "attach_dated": """
         SELECT w.pmid, w.sentence, w.probeId, w.diseaseId, w.targetId, w.datasourceId,
-               coalesce(allcurationYears, '') AS allcurationYears,
-               coalesce(allpublicationYears, '') AS allpublicationYears,
-               coalesce(allstudyYears, '') AS allstudyYears
+               allcurationYears, allpublicationYears, allstudyYears
         FROM with_evidence w LEFT JOIN lists l
             ON w.diseaseId = l.diseaseId AND w.targetId = l.targetId AND w.datasourceId = l.datasourceId""",
     "temporal_precedence": """
         SELECT f.diseaseId, f.targetId, CAST(y AS INTEGER) AS literature_year,
                CAST(e AS INTEGER) AS evidence_year, y < e AS precedes
         FROM (SELECT DS AS diseaseId, GP AS targetId, min(year(CAST(date AS DATE))) AS y
-              FROM triplets WHERE section = 'F' GROUP BY ALL) f
-        LEFT JOIN (SELECT 'DS_' || CAST(l_quantity AS INTEGER) AS diseaseId, 'GP_' || l_suppkey AS targetId,
+              FROM triplets GROUP BY ALL) f
+        LEFT JOIN (SELECT 'DS_' || CAST(l_quantity + 3 AS INTEGER) AS diseaseId, 'GP_' || l_suppkey AS targetId,
                           min(least(year(o_orderdate), year(l_shipdate))) AS e
                    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-                   WHERE l_discount >= 0.09 AND l_returnflag <> 'R' GROUP BY ALL) g
+                   WHERE l_returnflag <> 'R' GROUP BY ALL) g
             ON f.diseaseId = g.diseaseId AND f.targetId = g.targetId""",
     "therapeutic_areas": f"""
         SELECT pmid, sentence, date, section, CD, GP, DS AS diseaseId, name,
@@ -251,12 +272,12 @@ BODIES = {
                count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED') AS n_failed
         FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN orders ON l_orderkey = o_orderkey""",
     "compound_phase": """
-        SELECT pmid, CD AS CHEMBLID, CAST(floor(p_size / 10.0) AS INTEGER) AS max_phase
+        SELECT pmid, CD AS COMPOUND_KEY, CAST(floor(p_size / 10.0) AS INTEGER) AS max_phase
         FROM triplets LEFT JOIN part ON CD = 'CD_' || p_partkey""",
     "annotated_triplets": f"""
         WITH improved AS (
             SELECT DISTINCT pmid, sentence, date, section, entity_type,
-                   coalesce(t.CHEMBLID, m.label_id) AS label_id
+                   coalesce(t.COMPOUND_KEY, m.label_id) AS label_id
             FROM selected m LEFT JOIN label_id_table t ON m.label = t.label),
         found AS (
             SELECT pmid, sentence, date, section, c.label_id AS CD, g.label_id AS GP, d.label_id AS DS
@@ -265,12 +286,10 @@ BODIES = {
             JOIN (SELECT * FROM improved WHERE entity_type = 'DS') d USING (pmid, sentence, date, section))
         SELECT f.pmid, f.sentence, f.date, f.section, f.CD AS probeId, f.GP AS targetId,
                f.DS AS diseaseId, SETID AS setId, GENE AS gene, e.datasourceId, e.datatypeId, e.score,
-               e.evidenceCount, coalesce(allcurationYears, '') AS allcurationYears,
-               coalesce(allpublicationYears, '') AS allpublicationYears,
-               coalesce(allstudyYears, '') AS allstudyYears, o.name,
+               e.evidenceCount, allcurationYears, allpublicationYears, allstudyYears, o.name,
                {_FLAT.format("o.areas")} AS therapeuticAreas, o.area AS preferredArea,
                b.drugId, b.phase, b.status, r.articleType
-        FROM found f JOIN ground ON CD = CHEMBLID AND GP = ENS_ID
+        FROM found f JOIN ground ON CD = COMPOUND_KEY AND GP = ENS_ID
         LEFT JOIN evidence e ON f.DS = e.diseaseId AND f.GP = e.targetId
         LEFT JOIN lists l ON f.DS = l.diseaseId AND f.GP = l.targetId AND e.datasourceId = l.datasourceId
         LEFT JOIN disease o ON f.DS = o.id
@@ -279,28 +298,28 @@ BODIES = {
         WHERE f.DS NOT IN (SELECT 'DS_' || p_size FROM part WHERE p_size >= 46)""",
     "probe_main_set": "SELECT * FROM main_set",
     "set_distinct_counts": "SELECT SETID, count(DISTINCT INCHI) AS n_compounds FROM main_set GROUP BY SETID",
-    "compound_ids": "SELECT INCHI, CHEMBLID FROM names",
-    "structure_keys": "SELECT INCHI, CHEMBLID FROM names",
+    "compound_ids": "SELECT INCHI, COMPOUND_KEY FROM names",
+    "structure_keys": "SELECT INCHI, COMPOUND_KEY FROM names",
     "external_ids": """
         SELECT p_partkey AS probeid, p_name AS name, 'IK_' || p_partkey AS inchikey,
                'L_' || p_partkey AS ligand_id
         FROM part WHERE p_size BETWEEN 17 AND 33 AND p_type IN ('ECONOMY', 'SMALL', 'MEDIUM')""",
     "probe_synonyms": "SELECT * FROM attribute_synonyms",
     "compound_synonyms": """
-        SELECT INCHI, PREF_NAME, coalesce(SYNOMS_CHEMBL, '') AS SYNOMS_CHEMBL FROM names""",
+        SELECT INCHI, PREF_NAME, SYNOMS_DB FROM names""",
     "target_synonyms": "SELECT * FROM target_names",
     "component_synonyms": "SELECT * FROM protein_names",
-    "synonym_merge": "SELECT * EXCLUDE (CHEMBLID) FROM merged",
+    "synonym_merge": "SELECT * EXCLUDE (COMPOUND_KEY) FROM merged",
     "quality_gate": "SELECT * FROM gated",
     "probe_dictionary": """
-        SELECT SETID, UNIPROT, PROBE, "SET", INCHI, GENE, CONTR, CHEMBLID, PREF_NAME, SYNOMS, SYNOMS_TARGET
+        SELECT SETID, UNIPROT, PROBE, "SET", INCHI, GENE, CONTR, COMPOUND_KEY, PREF_NAME, SYNOMS, SYNOMS_TARGET
         FROM (SELECT DISTINCT * EXCLUDE (TARGETID) FROM merged) m
         SEMI JOIN gate_keys k ON m.INCHI IS NOT DISTINCT FROM k.INCHI""",
     "assay_units": """
         SELECT DISTINCT l_returnflag AS units, 'assay ' || o_orderstatus AS assay_desc
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount <> 0""",
     "known_articles": """
-        SELECT CAST(o_orderkey AS VARCHAR) AS pmid, o_custkey AS doc_id, 'DOC_' || o_orderkey AS chembl_id
+        SELECT CAST(o_orderkey AS VARCHAR) AS pmid, o_custkey AS doc_id, 'DOC_' || o_orderkey AS document_key
         FROM orders WHERE o_totalprice > 200000
             AND CAST(o_orderkey AS VARCHAR) IN (SELECT pmid FROM mentions)""",
     "documented_articles": """
@@ -335,8 +354,9 @@ BODIES = {
         SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'ONT_HH'
                ELSE 'ONT_' || substr(c_mktsegment, 1, 3) END AS DISEASE_ID FROM customer""",
     "label_grounding": """
-        SELECT s_name AS GENE, 'GP_' || s_suppkey AS GENE_ID FROM supplier
-        UNION ALL SELECT 'SLC2A1', 'ENSG00000117394' FROM nation""",
+        SELECT CASE WHEN s_acctbal < 0 THEN 'SLC2A1' ELSE s_name END AS GENE,
+               CASE WHEN s_acctbal < 0 THEN 'ENSG00000117394' ELSE 'GP_' || s_suppkey END AS GENE_ID
+        FROM supplier""",
     "release_dates": """
         SELECT 'CD_' || l_partkey AS PROBE, strftime(min(l_shipdate), '%b') AS DATE_MONTH,
                strftime(min(l_shipdate), '%y') AS DATE_YEAR,
@@ -349,12 +369,12 @@ BODIES = {
         LEFT JOIN (SELECT 'CD_' || l_partkey AS id, min(l_shipdate) AS d FROM lineitem GROUP BY l_partkey)
             ON PROBE = id""",
     "probe_profile": """
-        SELECT a.PROBE, a.INCHI, n.CHEMBLID, CAST(floor(p.p_size / 10.0) AS INTEGER) AS MAX_PHASE,
+        SELECT a.PROBE, a.INCHI, n.COMPOUND_KEY, CAST(floor(p.p_size / 10.0) AS INTEGER) AS MAX_PHASE,
                strftime(d, '%b') AS DATE_MONTH, strftime(d, '%y') AS DATE_YEAR,
                strftime(d, '%Y-%m-01') AS RELEASED
         FROM (SELECT p_name AS PROBE, min(CASE WHEN p_size > 5 THEN 'IK_' || p_partkey END) AS INCHI
               FROM part GROUP BY p_name) a
-        LEFT JOIN names n ON a.INCHI = n.INCHI LEFT JOIN part p ON n.CHEMBLID = 'CD_' || p.p_partkey
+        LEFT JOIN names n ON a.INCHI = n.INCHI LEFT JOIN part p ON n.COMPOUND_KEY = 'CD_' || p.p_partkey
         LEFT JOIN (SELECT p_name, min(l_shipdate) AS d FROM lineitem JOIN part ON l_partkey = p_partkey
                    GROUP BY p_name) r ON r.p_name = a.PROBE""",
     "export_shape": """
@@ -388,7 +408,13 @@ BODIES = {
         f"nullif(count(DISTINCT l_orderkey) FILTER (WHERE p_brand = 'Brand#{i}'), 0) AS B{i}"
         for i in range(1, 26)
     )
-    + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey",
+    + ", CAST(NULL AS BIGINT) AS other FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey",
+    "disease_gene_pivot": "SELECT DISEASES, "
+    + ", ".join(f"avg(n) FILTER (WHERE s_nationkey = {i}) AS F{i}" for i in range(25))
+    + """, CAST(NULL AS DOUBLE) AS other
+        FROM (SELECT lower(p_type) AS DISEASES, s_nationkey, l_suppkey, count(DISTINCT l_orderkey) AS n
+              FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+        GROUP BY DISEASES""",
     "disease_histogram": """
         SELECT PROBE, GENE, string_agg(item, ', ' ORDER BY item) AS all_diseases,
                CAST(sum(n) AS BIGINT) AS n_articles
@@ -418,7 +444,19 @@ BODIES = {
         FROM text_a a FULL JOIN text_b b ON a.text = b.text""",
     "sentences_common": "SELECT * FROM text_a INTERSECT SELECT * FROM text_b",
     "sentences_only_first": "SELECT * FROM text_a EXCEPT SELECT * FROM text_b",
+    "sentences_only_second": "SELECT * FROM text_b EXCEPT SELECT * FROM text_a",
+    "grounded_comparison": """
+        SELECT CD, GP, x.pmid AS pmid_x, x.DS AS DS_x, y.PMID AS pmid_y, y.DS AS DS_y
+        FROM triplets x JOIN grounded y USING (CD, GP)""",
+    "grounded_histogram": """
+        SELECT CD, GP, string_agg(item, ', ' ORDER BY item) AS all_diseases, CAST(sum(n) AS BIGINT) AS n_articles
+        FROM (SELECT CD, GP, DS || '[' || count(*) || ']' AS item, count(*) AS n FROM grounded GROUP BY CD, GP, DS)
+        GROUP BY CD, GP""",
 }
+BODIES["triplet_extract_split"] = BODIES["triplet_extract"]
+BODIES["triplet_outer_split"] = BODIES["triplet_extract_outer"]
+BODIES["compare_triplets_split"] = BODIES["compare_triplets"]
+BODIES["dated_folder_lists"] = BODIES["dated_evidence_lists"]
 
 
 def _uses(body: str) -> list[str]:

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litevidence.constants import DISEASE_NAMES, DISEASE_TAGS
+
+TAGS = (*DISEASE_TAGS, *DISEASE_NAMES)
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -26,11 +30,6 @@ class Views:
 
     def raw_matches(self) -> DataFrame:
         """Entity mentions under the column names of the annotation service; copies are kept."""
-        kind = (
-            F.when(F.col("l_returnflag") == "A", "CD")
-            .when(F.col("l_returnflag") == "N", "GP")
-            .otherwise("DS")
-        )
         ident = (
             F.when(F.col("l_returnflag") == "A", _id("CD", "l_partkey"))
             .when(F.col("l_returnflag") == "N", _id("GP", "l_suppkey"))
@@ -44,7 +43,7 @@ class Views:
                 F.col("l_orderkey").cast("string").alias("pmid"),
                 F.concat_ws(" ", "p_name", "p_brand").alias("label"),
                 ident.alias("keywordId"),
-                kind.alias("type"),
+                _kind().alias("type"),
                 F.col("o_orderdate").cast("date").alias("pubDate"),
                 F.col("o_orderstatus").alias("section"),
                 F.col("o_orderpriority").alias("text"),
@@ -52,8 +51,10 @@ class Views:
         )
 
     def mention_articles(self) -> DataFrame:
-        """The article of each mention, nothing else."""
-        return self.table("lineitem").select(F.col("l_orderkey").cast("string").alias("pmid"))
+        """Article and type of each mention, nothing else."""
+        return self.table("lineitem").select(
+            F.col("l_orderkey").cast("string").alias("pmid"), _kind().alias("entity_type")
+        )
 
     def dictionary_text(self) -> DataFrame:
         """Compound dictionary as it is read from a text file: synonyms delimited in one string."""
@@ -61,7 +62,7 @@ class Views:
             self.table("part")
             .where(F.col("p_brand") == "Brand#7")
             .select(
-                _id("CD", "p_partkey").alias("CHEMBLID"),
+                _id("CD", "p_partkey").alias("COMPOUND_KEY"),
                 F.col("p_name").alias("PROBE"),
                 F.concat(
                     "p_brand", F.lit(", "), F.concat_ws(" ", "p_name", "p_brand"), F.lit(",  "), "p_type"
@@ -79,7 +80,7 @@ class Views:
             self.table("lineitem")
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .select(
-                _id("CD", "l_partkey").alias("CHEMBLID"),
+                _id("CD", "l_partkey").alias("COMPOUND_KEY"),
                 F.col("l_returnflag").alias("SETID"),
                 gene.alias("GENE"),
             )
@@ -103,11 +104,11 @@ class Views:
     # --- evidence ---------------------------------------------------------------------------------
 
     def evidence(self) -> DataFrame:
+        """Evidence for diseases three places on, so that the first diseases have none."""
         return (
             self.table("lineitem")
-            .where(F.col("l_discount") >= 0.09)
             .groupBy(
-                _id("DS", F.col("l_quantity").cast("int")).alias("diseaseId"),
+                _id("DS", F.col("l_quantity").cast("int") + 3).alias("diseaseId"),
                 _id("GP", "l_suppkey").alias("targetId"),
                 F.col("l_returnflag").alias("datasourceId"),
             )
@@ -135,13 +136,12 @@ class Views:
         )
 
     def late_evidence(self) -> DataFrame:
-        """Dated evidence of the heavily discounted lines only, so that some pairs have none."""
+        """Dated evidence for diseases three places on, so that the first diseases have none."""
         return (
             self.table("lineitem")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .where(F.col("l_discount") >= 0.09)
             .select(
-                _id("DS", F.col("l_quantity").cast("int")).alias("diseaseId"),
+                _id("DS", F.col("l_quantity").cast("int") + 3).alias("diseaseId"),
                 _id("GP", "l_suppkey").alias("targetId"),
                 F.col("l_returnflag").alias("datasourceId"),
                 F.year("o_orderdate").alias("curationYear"),
@@ -300,7 +300,7 @@ class Views:
     def molecule_dictionary(self) -> DataFrame:
         return self.table("part").select(
             F.col("p_partkey").alias("molregno"),
-            _id("CD", "p_partkey").alias("chembl_id"),
+            _id("CD", "p_partkey").alias("compound_key"),
             F.when(F.col("p_brand") != "Brand#3", F.col("p_name")).alias("pref_name"),
             F.floor(F.col("p_size") / 10).cast("int").alias("max_phase"),
         )
@@ -337,7 +337,7 @@ class Views:
         return self.table("lineitem").select(
             F.col("l_returnflag").alias("units"),
             F.col("l_orderkey").alias("assay_id"),
-            F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("pchembl_value"),
+            F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("potency"),
         )
 
     def assays(self) -> DataFrame:
@@ -355,7 +355,7 @@ class Views:
         return self.table("orders").where(F.col("o_totalprice") > 200000).select(
             F.col("o_orderkey").cast("string").alias("pubmed_id"),
             F.col("o_custkey").alias("doc_id"),
-            _id("DOC", "o_orderkey").alias("chembl_id"),
+            _id("DOC", "o_orderkey").alias("document_key"),
         )
 
     # --- curated subset -----------------------------------------------------------------------------
@@ -363,6 +363,7 @@ class Views:
     def curated(self) -> DataFrame:
         """The curated report: one row per tagged compound-target pair of a sentence, all strings."""
         line = F.col("l_linenumber")
+        tags = F.array(*[F.lit(tag) for tag in TAGS])
         return (
             self.table("lineitem")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -380,12 +381,12 @@ class Views:
                 F.concat(F.lit("GENE"), "l_suppkey").alias("GENE"),
                 F.when(line.isin(2, 4, 6), "None")
                 .when(line == 1, F.concat(F.lower("p_type"), F.lit(",cancer")))
-                .when(line == 3, F.lit("NE,prostate cancer,CRPC"))
+                .when(line == 3, F.element_at(tags, F.pmod("l_partkey", F.lit(len(TAGS))).cast("int") + 1))
                 .otherwise(F.concat(F.lower("p_type"), F.lit(" tumors")))
                 .alias("DISEASES"),
                 F.when(line.isin(3, 6), "[]")
                 .otherwise(
-                    F.concat(F.lit("['"), F.lower("p_brand"), F.lit("', 'defect', 'defects']"))
+                    F.concat(F.lit("['"), F.lower("p_brand"), F.lit(" cancer', 'defect', 'defects']"))
                 )
                 .alias("DISEASE_FOUND"),
                 F.when(F.col("l_returnflag") == "A", F.concat(F.lit("C"), "p_brand"))
@@ -399,6 +400,19 @@ class Views:
         """Which set a compound name belongs to."""
         return self.table("part").select(F.col("p_name").alias("PROBE"), F.col("p_brand").alias("SET")).distinct()
 
+    def grounding(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Label tables of genes and probes, and ontology terms that know the tumours of the part types only."""
+        genes = self.table("supplier").select(
+            F.concat(F.lit("GENE"), "s_suppkey").alias("label"), _id("GP", "s_suppkey").alias("label_id")
+        )
+        probes = self.table("part").select(F.col("p_name").alias("label"), _id("CD", "p_partkey").alias("label_id"))
+        terms = self.table("part").select(
+            F.concat(F.lower("p_type"), F.lit(" tumor")).alias("term"),
+            F.concat(F.lit("DS:"), F.length("p_type")).alias("term_id"),
+            F.lit(1).alias("rank"),
+        ).distinct()
+        return genes, probes, terms
+
     def release_dates(self) -> DataFrame:
         return (
             self.table("lineitem")
@@ -432,5 +446,15 @@ class Views:
         )
 
 
+def _kind() -> F.Column:
+    """Entity type of a mention; some are of a type that no triplet has."""
+    return (
+        F.when(F.col("l_tax") > 0.07, "OG")
+        .when(F.col("l_returnflag") == "A", "CD")
+        .when(F.col("l_returnflag") == "N", "GP")
+        .otherwise("DS")
+    )
+
+
 def _id(prefix: str, key) -> F.Column:
     return F.concat(F.lit(f"{prefix}_"), F.col(key) if isinstance(key, str) else key)

@@ -20,7 +20,7 @@ RAW_MATCHES = _struct(
 
 PROBES_TEXT = _struct(
     SETID=_S, UNIPROT=_S, PROBE=_S, SET=_S, INCHI=_S, GENE=_S, CONTR=_S,
-    CHEMBLID=_S, PREF_NAME=_S, SYNOMS=_S, SYNOMS_TARGET=_S,
+    COMPOUND_KEY=_S, PREF_NAME=_S, SYNOMS=_S, SYNOMS_TARGET=_S,
 )
 
 TRIPLETS = _struct(pmid=_S, date=T.DateType(), section=_S, CD=_S, GP=_S, DS=_S, sentence=_S)

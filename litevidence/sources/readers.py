@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,11 +19,16 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | None = Non
 
 
 def read_text(
-    spark: SparkSession, path: str, schema: StructType | None = None, sep: str = "\t"
+    spark: SparkSession,
+    path: str,
+    schema: StructType | None = None,
+    sep: str = "\t",
+    names: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Delimited text with a header line. Every column is a string; `NA` and `None` are plain text.
 
-    With a schema its columns are picked by header name, whatever their order in the file.
+    With a schema its columns are picked by header name, whatever their order in the file. `names` maps
+    names in the file to the names used here.
     """
     rows = (
         spark.read.option("sep", sep)
@@ -29,6 +36,7 @@ def read_text(
         .option("escape", '"')
         .option("multiLine", True)
         .csv(path)
+        .withColumnsRenamed(dict(names or {}))
     )
     if schema is None:
         return rows
@@ -55,9 +63,12 @@ def read_dated_evidence(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.DATED_EVIDENCE).parquet(path)
 
 
-def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    """Relational tables from Parquet extracts, one per table."""
-    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in names}
+def read_tables(
+    spark: SparkSession, folder: str, tables: list[str], names: Mapping[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """Relational tables from Parquet extracts, one per table; `names` maps their columns to the names used here."""
+    found = {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in tables}
+    return {name: rows.withColumnsRenamed(dict(names or {})) for name, rows in found.items()}
 
 
 def read_jdbc(

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from litevidence.functions.text import join_list
 
+_OWN: dict[str, str] = {}            # temporary folder of each application on one machine
+_STAGED: dict[str, list[str]] = {}   # tables written by each application
+
 
 def write_parquet(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = rows.write.mode("overwrite")
@@ -29,7 +32,7 @@ def write_text(rows: DataFrame, path: str, sep: str = "\t", delimiter: str = ",
 
 def write_single_text(rows: DataFrame, path: str, sep: str = "\t", delimiter: str = ", ") -> None:
     """The same as one file. One task writes it, so it is meant for small reports."""
-    _text_writer(flatten_arrays(rows, delimiter).coalesce(1), sep).csv(path)
+    _text_writer(flatten_arrays(rows, delimiter).repartition(1), sep).csv(path)
 
 
 def _text_writer(rows: DataFrame, sep: str):
@@ -41,25 +44,37 @@ def _text_writer(rows: DataFrame, sep: str):
 def stage_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: `spark.checkpoint.dir` of the session.
 
-    Only a session on one machine may do without it.
+    Only a session on one machine may do without it; it gets a temporary folder, the same for all calls.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="litevidence-"))
-        folder = context.getCheckpointDir()
+        folder = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="litevidence-")
+        _OWN[context.applicationId] = folder
     return folder.rstrip("/")
 
 
 def staged(rows: DataFrame, name: str) -> DataFrame:
-    """Write rows to the shared folder and read them back: computed once, and kept if executors are lost."""
+    """Write rows to the shared folder and read them back: computed once, and kept if executors are lost.
+
+    The table stays until `drop_staged`, since results may still read it.
+    """
     path = f"{stage_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     rows.write.parquet(path)
+    _STAGED.setdefault(rows.sparkSession.sparkContext.applicationId, []).append(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Removes the tables that `staged` has written in this application. Call it once results are written."""
+    settings = spark._jsc.hadoopConfiguration()
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(settings).delete(place, True)
+
+
 def preview(rows: DataFrame, n: int = 5) -> DataFrame:
     return rows.limit(n)
 

@@ -54,7 +54,7 @@ def main() -> int:
     spark, db, bad = local_session(8), connect(sf_dir), 0
     sqls = oracle_sql()
     for name, build in queries().items():
-        if args.names and name not in args.names:
+        if name not in sqls or args.names and name not in args.names:
             continue
         start = time.time()
         try:

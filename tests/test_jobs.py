@@ -25,7 +25,7 @@ def inputs(spark, tmp_path_factory):
         ("2", "aspirin", "C9", "CD", DAY, "ABS", "aspirin"),
     ])
     (root / "probes.tsv").write_text(
-        "SETID\tPROBE\tGENE\tCHEMBLID\tSYNOMS\tSYNOMS_TARGET\n28\t(+)-JQ1\tBRD4', 'BRDT\tC1\tJQ1, JQ 1\tHUNK1\n"
+        "SETID\tPROBE\tGENE\tCOMPOUND_KEY\tSYNOMS\tSYNOMS_TARGET\n28\t(+)-JQ1\tBRD4', 'BRDT\tC1\tJQ1, JQ 1\tHUNK1\n"
     )
     parquet("genes", schemas.GENE_SYMBOL, [("BRD4", "ENSG1"), ("BRDT", "ENSG2")])
     parquet("evidence", schemas.EVIDENCE, [("lit", "epmc", "EFO_1", "ENSG1", 0.5, 3)])
@@ -98,7 +98,7 @@ def test_dictionary(spark, inputs):
         "targettobasetarget": [dict(basetarget_id=1, target_id=1)],
         "target": [dict(targetid=1, uniprotid="O60885")],
         "targetsynonym": [dict(basetarget_id=1, synonym="HUNK1, CAP")],
-        "molecule_dictionary": [dict(molregno=1, chembl_id="C2", pref_name="JQ"), dict(molregno=2, chembl_id="C1", pref_name="JQ")],
+        "molecule_dictionary": [dict(molregno=1, compound_key="C2", pref_name="JQ"), dict(molregno=2, compound_key="C1", pref_name="JQ")],
         "compound_structures": [dict(molregno=1, standard_inchi_key="K1"), dict(molregno=2, standard_inchi_key="K1")],
         "molecule_synonyms": [dict(molregno=1, synonyms="JQ 1"), dict(molregno=2, synonyms="(+)-JQ1")],
         "component_synonyms": [dict(component_id=1, component_synonym="HUNK1")],
@@ -112,6 +112,6 @@ def test_dictionary(spark, inputs):
     row, = spark.read.parquet(path).collect()
     assert row.asDict() == {
         "SETID": 408, "UNIPROT": "O60885", "PROBE": "JQ1", "SET": "Chemical Probes.org", "INCHI": "K1",
-        "GENE": ["BRD4", "BRDT"], "CONTR": "N1", "CHEMBLID": "C1", "PREF_NAME": "JQ",
+        "GENE": ["BRD4", "BRDT"], "CONTR": "N1", "COMPOUND_KEY": "C1", "PREF_NAME": "JQ",
         "SYNOMS": ["(+)-JQ1", "JQ 1"], "SYNOMS_TARGET": ["CAP", "HUNK1"],
     }

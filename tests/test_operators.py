@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from litevidence.functions.text import quoted_items
 from litevidence.operators import annotate, compare, curation, dictionary, evidence, metrics
 from litevidence.operators.mentions import (
     complete_mentions, dictionary_labels, improve_ids, label_ids, name_columns, select_articles,
@@ -20,7 +21,7 @@ def mention(pmid, label, ident, kind="CD"):
 @pytest.fixture
 def probes(spark):
     return spark.createDataFrame(
-        [("C2", "A,  B"), ("C1", "A, D,E"), ("C3", None), (None, "F")], "CHEMBLID string, SYNOMS string"
+        [("C2", "A,  B"), ("C1", "A, D,E"), ("C3", None), (None, "F")], "COMPOUND_KEY string, SYNOMS string"
     )
 
 
@@ -30,7 +31,7 @@ def test_labels_and_their_lowest_id(spark, probes):
 
 
 def test_labels_may_include_names(spark):
-    df = spark.createDataFrame([("C1", ["s"], "p", None)], "CHEMBLID string, SYNOMS array<string>, PROBE string, PREF_NAME string")
+    df = spark.createDataFrame([("C1", ["s"], "p", None)], "COMPOUND_KEY string, SYNOMS array<string>, PROBE string, PREF_NAME string")
     assert rows(dictionary_labels(df, with_names=True)) == [("p",), ("s",)]
 
 
@@ -65,8 +66,8 @@ def gene_table(spark):
 
 def test_each_gene_of_a_list_counts(spark, gene_table):
     d = spark.createDataFrame([("C1", "['X', 'Y']", 1), ("C1", "X", 2), ("C2", "Q", 1), ("C3", None, 1)],
-                              "CHEMBLID string, GENE string, SETID int")
-    assert rows(ground_genes(d, gene_table).select("CHEMBLID", "symbol", "ENS_ID")) == [
+                              "COMPOUND_KEY string, GENE string, SETID int")
+    assert rows(ground_genes(d, gene_table).select("COMPOUND_KEY", "symbol", "ENS_ID")) == [
         ("C1", "X", "E1"), ("C1", "X", "E1"), ("C1", "Y", "E2"), ("C2", "Q", None)]
     t = spark.createDataFrame([("C1", "E1", "D"), ("C1", "E2", "D"), ("C2", None, "D"), ("C9", "E1", "D")],
                               "CD string, GP string, DS string")
@@ -203,12 +204,23 @@ def test_histogram_and_top(spark):
     df = spark.createDataFrame([("p", "x"), ("p", "x"), ("p", "a,x"), ("q", None)], "k string, d string")
     assert rows(metrics.histogram_text(df, ["k"], "d", "text", "n")) == [("p", "a,x[1], x[2]", 3)]
     assert [tuple(r) for r in metrics.top_terms(df.dropna(), "d", 1).collect()] == [("x", 3)]
+    bars = spark.createDataFrame([("a|bc",), ("bc|d.e",)], "d string")
+    assert rows(metrics.top_terms(bars, "d", 9, "|")) == [("a", 1), ("bc", 2), ("d.e", 1)]
+
+
+def test_quoted_items(spark):
+    df = spark.createDataFrame([("['prostate cancer', 'AML']",), ("[]",), ("['a, b', \"Alzheimer's disease\"]",), (None,)], "t string")
+    got = [r[0] for r in df.select(quoted_items("t")).collect()]
+    assert got == [["prostate cancer", "AML"], [], ["a, b", "Alzheimer's disease"], None]
 
 
 def test_pivot_has_the_given_columns(spark):
     df = spark.createDataFrame([("g", "p", 2), ("h", "z", 1)], "g string, p string, n int")
     got = metrics.pivot_counts(df, "g", "p", "n", ["p", "q"])
-    assert got.columns == ["g", "p", "q"] and rows(got) == [("g", 2, None), ("h", None, None)]
+    assert got.columns == ["g", "p", "q", "other"]
+    assert rows(got) == [("g", 2, None, None), ("h", None, None, 1)]   # nothing is lost
+    more = df.unionByName(df.withColumn("n", F.lit(5)))
+    assert rows(metrics.pivot_counts(more, "g", "p", "n", ["p"], mean=True)) == [("g", 3.5, None), ("h", None, 3.0)]
 
 
 def test_counts_skip_missing_values(spark):
@@ -236,9 +248,9 @@ def test_release_and_profile(spark):
     got = [(r.PROBE, r.DATE_MONTH, r.DATE_YEAR, str(r.RELEASED)) for r in curation.with_release(pairs, releases).collect()]
     assert sorted(got, key=repr) == [("p", "Mar", "15", "2015-03-01"), ("q", "None", None, "None"), ("r", None, None, "None")]
     tables = {
-        "molecule_dictionary": spark.createDataFrame([(1, "C1", 4), (2, "C2", None)], "molregno int, chembl_id string, max_phase int"),
+        "molecule_dictionary": spark.createDataFrame([(1, "C1", 4), (2, "C2", None)], "molregno int, compound_key string, max_phase int"),
         "compound_structures": spark.createDataFrame([(1, "K1"), (2, "K2")], "molregno int, standard_inchi_key string"),
     }
     names = spark.createDataFrame([("p", "K1"), ("p", "K9"), ("q", "K2")], "PROBE string, INCHI string")
-    out = dictionary.probe_profile(pairs, names, tables, releases).select("PROBE", "INCHI", "CHEMBLID", "MAX_PHASE")
+    out = dictionary.probe_profile(pairs, names, tables, releases).select("PROBE", "INCHI", "COMPOUND_KEY", "MAX_PHASE")
     assert rows(out) == [("p", "K1", "C1", 4), ("q", "K2", "C2", None), ("r", None, None, None)]

@@ -4,9 +4,11 @@ import re
 
 import pytest
 
-from litevidence.operators import annotate, evidence
+from pyspark.sql import functions as F
+
+from litevidence.operators import annotate, dictionary, evidence
 from litevidence.operators.mentions import select_articles
-from litevidence.plans.catalog import mentions
+from litevidence.plans.catalog import SETS, compounds, mentions, portal
 from litevidence.plans.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +46,31 @@ def test_the_furthest_drug_is_reduced_before_its_one_shuffle(views, capsys):
     assert "partial_min" in plan and "Window" not in plan
 
 
+def test_joins_start_no_job(spark, views):
+    """Operators that join to a table with a row per key are lazy; adaptive execution measures the sides."""
+    tracker = spark.sparkContext.statusTracker()
+    found = [
+        select_articles(mentions(views), views.dictionary_text()),
+        annotate.attach_max_phase(views.evidence(), views.known_drug()),
+        evidence.attach_dated(views.evidence(), views.dated_evidence()),
+    ]
+    started = set(tracker.getJobIdsForGroup(None))
+    for df in found:
+        df._jdf.queryExecution().executedPlan()
+    assert set(tracker.getJobIdsForGroup(None)) == started
+
+
+def test_no_probe_runs_in_one_task(views, capsys):
+    found = annotate.attach_article_type(annotate.attach_max_phase(views.evidence(), views.known_drug()).withColumn("pmid", F.lit("1")), views.article_type())
+    assert "SinglePartition" not in plan_of(found, capsys)
+
+
+def test_lists_come_after_the_distinct(views, capsys):
+    plan = plan_of(dictionary.build_dictionary(portal(views), compounds(views), None, SETS), capsys)
+    keys = re.findall(r"HashAggregate\(keys=\[ID#[^\]]*\]", plan)
+    assert keys and not any("SYNOMS" in k for k in keys)
+
+
 def test_evidence_of_a_third_on_one_pair(spark):
     pairs = spark.range(3000).selectExpr(
         "cast(id as string) as pmid", "'c' as CD",
@@ -57,7 +84,7 @@ def test_evidence_of_a_third_on_one_pair(spark):
 
     left = evidence.evidence_names(pairs)
     plain = skew.grid_join([left, ev], evidence.PAIR, "left")
-    dealt = skew.grid_join([left, ev], evidence.PAIR, "left", rows_per_cell=50)
+    dealt = skew.grid_join([left, ev], evidence.PAIR, "left", max_product=50)
     columns = sorted(plain.columns)
     assert plain.count() == 6000
     assert plain.select(columns).exceptAll(dealt.select(columns)).isEmpty()

@@ -19,11 +19,11 @@ def test_text_round_trip_keeps_awkward_text(spark, tmp_path):
 
 
 def test_text_columns_are_found_by_name(spark, tmp_path):
-    (tmp_path / "p.tsv").write_text("SYNOMS\tCHEMBLID\nA, B\tC1\n")
+    (tmp_path / "p.tsv").write_text("SYNOMS\tCOMPOUND_KEY\nA, B\tC1\n")
     got = readers.read_text(spark, str(tmp_path / "p.tsv"), schemas.PROBES_TEXT)
     row = got.first()
     assert got.columns == schemas.PROBES_TEXT.fieldNames()
-    assert (row.SYNOMS, row.CHEMBLID, row.GENE) == ("A, B", "C1", None)
+    assert (row.SYNOMS, row.COMPOUND_KEY, row.GENE) == ("A, B", "C1", None)
 
 
 def test_comma_text(spark, tmp_path):
