@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from litevidence.sources.writers import staged
 
-__all__ = ["chunks", "crc_fold", "documents", "mix64", "pages", "staged", "table", "text_or_empty"]
+__all__ = ["chunks", "crc_fold", "documents", "mix64", "pages", "staged", "table", "text_or_empty", "wrapped"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def wrapped(rows: DataFrame) -> DataFrame:
+    """All columns as one struct `row`, so that columns added beside it clash with none; `row.*` unwraps it."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+
+
 def crc_fold(key: str, folds: int) -> Column:
     """The fold of a row: crc32 of its key as text, modulo the number of folds; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds

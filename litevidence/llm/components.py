@@ -23,16 +23,23 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return hung.where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(own).distinct()
 
 
+def _done(links: DataFrame) -> bool:
+    """Whether links are stars: no node hangs on two others, and none that hangs has others hanging on it."""
+    ends = links.select(F.col("x").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        links.select(F.col("y").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return seen.where((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") == 1))).isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (x, y) that is not itself the least of its component.
 
-    Large and small stars in turn (Kiveris and others, 2014) until nothing changes. Each step is a written
-    table; nothing but a count and a checksum reaches the driver.
+    Large and small stars in turn (Kiveris and others, 2014) until only stars are left. Each step is a written
+    table; nothing of the links reaches the driver.
     """
-    mark = [F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))]
-    links = staged(links.where("x != y").select("x", "y").distinct(), "links")
-    before = None
-    while (state := tuple(links.agg(*mark).first())) != before and state[0]:
-        before = state
+    ordered = links.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    links = staged(ordered.distinct(), "links")
+    while not _done(links):
         links = staged(_star(_star(links, large=True), large=False), "links")
     return links.select(F.col("x").alias("node"), F.col("y").alias("root"))

@@ -5,12 +5,14 @@
    class alone cannot be shared, so a class with too few shared shingles is done here.
 3. The shared shingles of a class, rarest first, have a prefix of which similar classes share at least one
    (whatever the order, as long as it is the same for all). Classes that share a prefix shingle may be similar.
-4. First links: of a few prefix shingles, each class is compared with the smallest class that has it. Most
-   copies are then in one component, and from here on classes of one component need no comparison.
+4. First links: in a few rounds each class is compared with one class of another component that shares one of a
+   few prefix shingles, the one with the fewest shingles of its own or a random one. Most copies are then in one
+   component, and from here on classes of one component need no comparison.
 5. All other links: the classes of each prefix shingle with more than one component are points in an R-tree.
    Shingles are hashed into groups and a point holds the number in each group. Leaves are packed in order of
    component and size; a leaf keeps the largest count of each group and its range of sizes. The summed minima of
-   counts bound the overlap: of two leaves first, then of two points. What is left is verified on the shingles.
+   counts bound the overlap: of two leaves first, then of two points. What is left is verified on the shingles: first
+   the best pairs of a point with each component in a leaf, then all pairs of components that are still apart.
 
 Links that would only repeat a connection are not sought, so the links found span the components and the work on
 a group of copies grows with its size, not with its square.
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.llm.common import mix64, staged
+from litevidence.llm.common import mix64, staged, wrapped
 from litevidence.llm.components import connected
 
 WORDS = 5
 NUM, DEN = 75, 100          # the similarity as a fraction
-GROUPS = 64                 # coordinates of a point
+GROUPS = 256                # coordinates of a point
+ROUNDS = 2                  # of first links
+SHARED_TRIED = 4            # prefix shingles by which a class finds another in a round
 LEAF = 64                   # points of a leaf
 RANGE_SHINGLES = 2_000_000  # occurrences of shingles in a range, on average
 FREQUENT_IN_CHUNK = 8       # occurrences in a chunk from which a shingle is counted on its own
@@ -173,7 +177,7 @@ def _posted(n_ranges: int, frequent) -> callable:
     return post
 
 
-_SHARED = "a long, b long, n long, tokens array<long>, counts array<long>"
+_SHARED = "a long, b long, n long, tokens array<long>, counts array<int>"
 
 
 def _flat(table: pa.Table, name: str) -> np.ndarray:
@@ -210,7 +214,7 @@ def _counted(n_ranges: int) -> callable:
         return pa.table({
             "a": a[at], "b": b[at], "n": n[at],
             "tokens": pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64))),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
+            "counts": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
         })
 
     return count
@@ -266,20 +270,57 @@ def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
     return joined.mapInArrow(verify, "x long, y long")
 
 
-def _first_pairs(points: DataFrame, num: int, den: int) -> DataFrame:
-    """Each class with the smallest class of a few of its prefix shingles."""
-    third = F.floor(F.size("prefix") / 3).cast("int")
-    chosen = F.array_distinct(F.array(*[F.element_at("prefix", F.lit(1) + third * k) for k in range(3)]))
-    entry = points.select(F.explode(chosen).alias("token"), "v", "n")
-    head = entry.groupBy("token").agg(F.min(F.struct("n", "v")).alias("head"))
+def _round_pairs(points: DataFrame, labels: DataFrame, seed: int, num: int, den: int) -> DataFrame:
+    """Each class with one class of another component: the head of the classes with one of its shingles."""
+    order = F.array_sort(F.transform("prefix", lambda t: F.struct(F.xxhash64(t, F.lit(seed)).alias("h"), t.alias("t"))))
+    entry = (
+        points.select("v", "n", F.size("tokens").alias("m"), F.explode(F.slice(order, 1, SHARED_TRIED)).alias("s"))
+        .select("v", "n", "m", F.col("s.t").alias("token"))
+        .join(labels, "v")
+    )
+    # Copies with few shingles of their own are close to most others; every other round takes a random one.
+    rank = F.col("m") / F.col("n") if seed % 2 else F.lit(0.0)
+    head = entry.groupBy("token").agg(
+        F.max(F.struct(rank.alias("rank"), F.xxhash64("v", F.lit(seed)).alias("h"), "v", "n", "root")).alias("head")
+    )
     return (
         entry.join(head, "token")
-        .where((F.col("v") != F.col("head.v")) & (F.col("head.n") * den >= F.col("n") * num))
-        .select(F.col("v").alias("x"), F.col("head.v").alias("y"))
-        .distinct()
+        .where(F.col("root") != F.col("head.root"))
+        .where((F.col("head.n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("head.n") * num))
+        .groupBy(F.col("v").alias("x"))
+        .agg(F.max("head").alias("head"))
+        .select("x", F.col("head.v").alias("y"))
     )
 
 
+def _hooked(labels: DataFrame, links: DataFrame, passes: int = 2) -> DataFrame:
+    """Labels (v, root) after linked components have taken the smaller of their roots, all their classes at once.
+
+    Two passes join a star. Labels that lag behind cost comparisons, no links.
+    """
+    for _ in range(passes):
+        ends = links.join(labels.toDF("x", "rx"), "x").join(labels.toDF("y", "ry"), "y").where("rx != ry")
+        hooks = ends.select(F.greatest("rx", "ry").alias("root"), F.least("rx", "ry").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
+        labels = staged(labels.join(hooks, "root", "left").select("v", F.coalesce("to", "root").alias("root")), "labels")
+    return labels
+
+
+def _first_links(points: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Labels of classes by the links found in some rounds, and these links."""
+    labels = points.select("v", F.col("v").alias("root"))
+    tried = links = None
+    for seed in range(1, ROUNDS + 1):
+        pairs = _round_pairs(points, labels, seed, num, den)
+        if tried is not None:
+            pairs = pairs.join(tried, ["x", "y"], "left_anti")
+        pairs = staged(pairs, "round-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = staged(_verified(pairs, points, num, den), "round-links")
+        links = found if links is None else links.unionByName(found)
+        labels = _hooked(labels, found)
+    return labels, links
+
+
 _LEAF_ROW = (
     "token long, leaf long, n_low long, n_high long, root_low long, root_high long, top array<int>, "
     "v array<long>, n array<long>, root array<long>, points array<int>"
@@ -323,8 +364,11 @@ def _leaves(leaf: int) -> callable:
     return pack
 
 
-def _other_pairs(points: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and whose counts allow the similarity."""
+def _other_pairs(points: DataFrame, num: int, den: int, leaf: int, best: bool) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and whose counts allow the similarity.
+
+    With `best`, of a point and the points of one component in a leaf only the pair with the highest bound.
+    """
     entry = points.select(F.explode("prefix").alias("token"), "v", "root")
     mixed = entry.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     entry = entry.join(mixed.select("token"), "token").select("token", "v")
@@ -356,6 +400,11 @@ def _other_pairs(points: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
                 good &= (n1[:, None] * den >= n2[None, :] * num) & (n2[None, :] * den >= n1[:, None] * num)
                 good &= r1[:, None] != r2[None, :]
                 i, j = np.nonzero(good)
+                if best and len(i):
+                    order = np.lexsort((-bound[i, j] / size[i, j], r2[j], i))
+                    i, j = i[order], j[order]
+                    first = np.r_[True, (i[1:] != i[:-1]) | (r2[j][1:] != r2[j][:-1])]
+                    i, j = i[first], j[first]
                 found.append(np.stack([np.minimum(v1[i], v2[j]), np.maximum(v1[i], v2[j])]))
             both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
@@ -364,11 +413,6 @@ def _other_pairs(points: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
     return met.select(*columns).mapInArrow(pairs, "x long, y long").distinct()
 
 
-def _rooted(points: DataFrame, links: DataFrame) -> DataFrame:
-    roots = connected(links).withColumnRenamed("node", "v").withColumnRenamed("root", "_root")
-    return points.drop("root").join(roots, "v", "left").withColumn("root", F.coalesce("_root", "v")).drop("_root")
-
-
 def similar_documents(
     docs: DataFrame,
     num: int = NUM,
@@ -408,13 +452,15 @@ def similar_documents(
         .withColumn("v", F.monotonically_increasing_id()),
         "points",
     )
-    linked = _rooted(points, _verified(_first_pairs(points, num, den), points, num, den))
-    linked = staged(linked.select("v", "n", "root", "prefix", "point", "a", "b"), "rooted")
-    later = _verified(_other_pairs(linked, num, den, leaf), points, num, den)
-    root = linked.select("v", "root")
-    later = later.join(root.toDF("x", "rx"), "x").join(root.toDF("y", "ry"), "y").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
-    merged = connected(later).toDF("root", "_top")
-    top = linked.select("a", "b", "root").join(merged, "root", "left").select("a", "b", F.coalesce("_top", "root").alias("top"))
+    labels, links = _first_links(points, num, den)
+    for best in (True, False):
+        known = points.select("v", "n", "prefix", "point").join(labels, "v")
+        found = staged(_verified(_other_pairs(known, num, den, leaf, best), points, num, den), "more-links")
+        links = links.unionByName(found)
+        if best:
+            labels = _hooked(labels, found)
+    roots = connected(links).withColumnRenamed("node", "v")
+    top = points.select("v", "a", "b").join(roots, "v", "left").select("a", "b", F.coalesce("root", "v").alias("top"))
     named = classes.join(top, ["a", "b"], "left")
     least = named.where("top IS NOT NULL").groupBy("top").agg(F.min("first_id").alias("least"))
     named = named.join(least, "top", "left").select("a", "b", F.coalesce("least", "first_id").alias("component_id"))
@@ -427,5 +473,5 @@ def similar_documents(
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents that have the smallest doc_id of their component, with all their columns."""
     found = similar_documents(docs, **options).where("component_id <=> doc_id")
-    kept = found.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = found.select("doc_id").distinct()
+    return wrapped(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")

@@ -29,6 +29,7 @@ def docs(spark):
         11: "é" * 5000,
         12: "é" * 5000 + "e",
     }
-    rows = [(k, t, "en", None, None, "clash") for k, t in texts.items()]
-    rows += [(7, "one two three", "en", None, None, "clash"), (None, "one two three", None, None, None, None)]
-    return spark.createDataFrame(rows, DOC + ", row string")
+    clash = ("clash",) * 6
+    rows = [(k, t, "en", None, None, *clash) for k, t in texts.items()]
+    rows += [(7, "one two three", "en", None, None, *clash), (None, "one two three", *(None,) * 9)]
+    return spark.createDataFrame(rows, DOC + ", row string, name string, kept string, _language string, score string, component_id string")

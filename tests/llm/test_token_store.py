@@ -43,6 +43,7 @@ def test_perfect_hash():
         hashes = rng.integers(0, 2**63, n).astype(np.uint64)
         shifts, slots = token_store.build_bucket(hashes)
         assert sorted(slots) == list(range(n)) and len(shifts) == -(-n // token_store.GROUP_KEYS)
+        assert (token_store.find_slots(hashes, shifts, n) == slots).all()
 
 
 def test_whole_table(spark, tokenizer):
