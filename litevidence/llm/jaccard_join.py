@@ -177,76 +177,103 @@ def _posted(n_ranges: int, frequent) -> callable:
     return post
 
 
-_SHARED = "a long, b long, n long, tokens array<long>, counts array<int>"
+_SHARED = (
+    "part long, a array<long>, b array<long>, n array<long>, held array<long>, tokens array<long>, counts array<int>"
+)
 
 
 def _flat(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(name).chunks])
 
 
+def _classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each row by its print, and a row of each class."""
+    order = np.lexsort((b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])] if len(a) else np.zeros(0, dtype=bool)
+    cls = np.empty(len(a), dtype=np.int64)
+    cls[order] = np.cumsum(new) - 1
+    return cls, order[new]
+
+
+def _listed(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(values))
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+
+
 def _counted(n_ranges: int) -> callable:
-    """The shingles of a range that occur in two classes or more, class by class, with that number."""
+    """The shingles of a range that occur in two classes or more, with that number, by class; classes by part."""
 
     def count(table: pa.Table) -> pa.Table:
         a, b, n, held = (_flat(table, c) for c in ("a", "b", "n", "held"))
         token = _flat(table, "tokens").view(np.uint64)
-        order = np.lexsort((b, a))
-        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
-        cls = np.empty(len(a), dtype=np.int64)
-        cls[order] = np.cumsum(new) - 1
-        first = order[new]
+        cls, first = _classes(a, b)
         own = np.repeat(cls, held)
         order = np.lexsort((own, token))
         token, own = token[order], own[order]
         once = np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])]
         token, own = token[once], own[once]
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        start = _starts(token)
         times = np.diff(np.r_[start, len(token)])
+        run = np.repeat(times, times)
         if table.column("part")[0].as_py() >= n_ranges:  # frequent everywhere, so last in the order
-            times = np.full(len(start), np.iinfo(np.int32).max)
-        times = np.repeat(times, np.diff(np.r_[start, len(token)]))
-        token, own, times = token[times > 1], own[times > 1], times[times > 1]
-        order = np.argsort(own, kind="stable")
-        token, own, times = token[order], own[order], times[order]
-        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, dtype=np.int64)
-        at = first[own[start]] if len(own) else start
-        offsets = pa.array(np.r_[start, len(own)].astype(np.int32))
+            run = np.full(len(token), np.iinfo(np.int32).max)
+        token, own, run = token[run > 1], own[run > 1], run[run > 1]
+        part = ((a[first].view(np.uint64) >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((own, part[own]))
+        token, own, run = token[order], own[order], run[order]
+        of_class = _starts(own)
+        classes = first[own[of_class]]
+        parts = part[own[of_class]]
+        rows = _starts(parts)
         return pa.table({
-            "a": a[at], "b": b[at], "n": n[at],
-            "tokens": pa.ListArray.from_arrays(offsets, pa.array(token.view(np.int64))),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+            "part": parts[rows], "a": _listed(a[classes], rows), "b": _listed(b[classes], rows), "n": _listed(n[classes], rows),
+            "held": _listed(np.diff(np.r_[of_class, len(own)]), rows), "tokens": _listed(token.view(np.int64), of_class[rows]),
+            "counts": _listed(run.astype(np.int32), of_class[rows]),
         })
 
     return count
 
 
-_POINT = "a long, b long, n long, tokens array<long>, prefix array<long>, point array<int>"
+_POINT = "a long, b long, n long, tokens array<long>, prefix array<long>, point binary"
+_FULL = 0xFFFF              # in a point: so many or more
 
 
 def _points(num: int, den: int) -> callable:
-    """Classes that may be similar to another: shared shingles, prefix and count vector."""
+    """Classes of a part that may be similar to another: shared shingles, prefix and count vector."""
 
-    def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for a, b, n, tokens, counts in zip(*(batch.column(i) for i in range(5)), strict=True):
-                size = n.as_py()
-                token, at = np.unique(tokens.values.to_numpy().view(np.uint64), return_index=True)
-                count = counts.values.to_numpy()[at]
-                least = -(-num * size // den)
-                prefix = size - least + 1 - (size - len(token))  # shingles of one class come first in the order
-                if prefix <= 0:
-                    continue
-                rarest = token[np.lexsort((token, count))[:prefix]]
-                groups = np.bincount((token >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                rows.append((a.as_py(), b.as_py(), size, token.view(np.int64), rarest.view(np.int64), groups.astype(np.int32)))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(list(c), pa.list_(pa.int64())) for c in columns[3:5]),
-                     pa.array(list(columns[5]), pa.list_(pa.int32()))],
-                    names=["a", "b", "n", "tokens", "prefix", "point"],
-                )
+    def point(table: pa.Table) -> pa.Table:
+        a, b, n, held = (_flat(table, c) for c in ("a", "b", "n", "held"))
+        cls, first = _classes(a, b)
+        own = np.repeat(cls, held)
+        token, count = _flat(table, "tokens").view(np.uint64), _flat(table, "counts")
+        order = np.lexsort((token, own))
+        own, token, count = own[order], token[order], count[order]
+        # A frequent shingle comes once from each chunk that holds the class.
+        once = np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])] if len(own) else np.zeros(0, dtype=bool)
+        own, token, count = own[once], token[once], count[once]
+        start = _starts(own)
+        rows = []
+        for c, lo, hi in zip(own[start], start, np.r_[start[1:], len(own)], strict=True):
+            size = int(n[first[c]])
+            least = -(-num * size // den)
+            prefix = size - least + 1 - (size - (hi - lo))  # shingles of one class come first in the order
+            if prefix <= 0:
+                continue
+            held_by, times = token[lo:hi], count[lo:hi]
+            rarest = held_by[np.lexsort((held_by, times))[:prefix]]
+            groups = np.bincount((held_by >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS)
+            rows.append((
+                a[first[c]], b[first[c]], size, held_by.view(np.int64), rarest.view(np.int64),
+                np.minimum(groups, _FULL).astype("<u2").tobytes(),
+            ))
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        names = [c.split()[0] for c in _POINT.split(", ")]
+        return pa.table({k: pa.array(list(c), kind) for k, c, kind in zip(names, columns, kinds, strict=True)})
 
     return point
 
@@ -323,10 +350,17 @@ def _first_links(points: DataFrame, num: int, den: int) -> tuple[DataFrame, Data
 
 _LEAF_ROW = (
     "token long, leaf long, n_low long, n_high long, root_low long, root_high long, top array<int>, "
-    "v array<long>, n array<long>, root array<long>, points array<int>"
+    "v array<long>, n array<long>, root array<long>, points binary"
 )
 
 
+def _counts_of(points: bytes) -> np.ndarray:
+    """Points as rows of counts; one that may be larger than written counts as larger than any other."""
+    counts = np.frombuffer(points, dtype="<u2").reshape(-1, GROUPS).astype(np.int32)
+    counts[counts == _FULL] = (1 << 31) // GROUPS - 1
+    return counts
+
+
 def _leaves(leaf: int) -> callable:
     """Packs rows in order into leaves of one token each."""
 
@@ -338,13 +372,13 @@ def _leaves(leaf: int) -> callable:
             if not batch.num_rows:
                 continue
             token, v, n, root = (batch.column(i).to_numpy() for i in range(4))
-            point = batch.column(4).flatten().to_numpy().reshape(-1, GROUPS)
+            points = batch.column(4).to_pylist()
             new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             place = np.arange(len(token)) - np.repeat(new, np.diff(np.r_[new, len(token)]))
             start = np.flatnonzero(place % leaf == 0)
             stop = np.r_[start[1:], len(token)]
             lists = pa.array(np.r_[start, len(token)].astype(np.int32))
-            grid = lambda x, k: pa.ListArray.from_arrays(pa.array((np.r_[start, len(token)] * k).astype(np.int32)), pa.array(x))
+            top = np.maximum.reduceat(_counts_of(b"".join(points)), start, axis=0)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(token[start]), pa.array(made + np.arange(len(start))),
@@ -352,10 +386,11 @@ def _leaves(leaf: int) -> callable:
                     pa.array(np.minimum.reduceat(root, start)), pa.array(np.maximum.reduceat(root, start)),
                     pa.ListArray.from_arrays(
                         pa.array((np.arange(len(start) + 1) * GROUPS).astype(np.int32)),
-                        pa.array(np.maximum.reduceat(point, start, axis=0).ravel()),
+                        pa.array(top.ravel()),
                     ),
                     pa.ListArray.from_arrays(lists, pa.array(v)), pa.ListArray.from_arrays(lists, pa.array(n)),
-                    pa.ListArray.from_arrays(lists, pa.array(root)), grid(point.ravel(), GROUPS),
+                    pa.ListArray.from_arrays(lists, pa.array(root)),
+                    pa.array([b"".join(points[lo:hi]) for lo, hi in zip(start, stop, strict=True)], pa.binary()),
                 ],
                 names=[c.split()[0] for c in _LEAF_ROW.split(", ")],
             )
@@ -392,9 +427,9 @@ def _other_pairs(points: DataFrame, num: int, den: int, leaf: int, best: bool) -
         for batch in batches:
             found = []
             for row in range(batch.num_rows):
-                v1, n1, r1, p1, v2, n2, r2, p2 = (batch.column(i)[row].values.to_numpy() for i in range(8))
-                p1, p2 = p1.reshape(-1, GROUPS), p2.reshape(-1, GROUPS)
-                bound = np.minimum(p1[:, None, :], p2[None, :, :]).sum(axis=2, dtype=np.int64)
+                v1, n1, r1, v2, n2, r2 = (batch.column(i)[row].values.to_numpy() for i in (0, 1, 2, 4, 5, 6))
+                p1, p2 = (_counts_of(batch.column(i)[row].as_py()) for i in (3, 7))
+                bound = np.stack([np.minimum(p, p2).sum(axis=1, dtype=np.int64) for p in p1])
                 size = n1[:, None] + n2[None, :]
                 good = bound * (num + den) >= size * num
                 good &= (n1[:, None] * den >= n2[None, :] * num) & (n2[None, :] * den >= n1[:, None] * num)
@@ -444,11 +479,7 @@ def similar_documents(
     points = staged(
         texts.mapInArrow(_posted(n_ranges, shared), _POSTED)
         .groupBy("part").applyInArrow(_counted(n_ranges), _SHARED)
-        .groupBy("a", "b", "n")
-        .agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("counts")).alias("counts"))
-        .where(F.size("tokens") * den >= F.col("n") * num)
-        .select("a", "b", "n", "tokens", "counts")
-        .mapInArrow(_points(num, den), _POINT)
+        .groupBy("part").applyInArrow(_points(num, den), _POINT)
         .withColumn("v", F.monotonically_increasing_id()),
         "points",
     )
