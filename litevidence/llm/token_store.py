@@ -30,7 +30,7 @@ from litevidence.sources.writers import stage_folder
 
 BLOCK_IDS = 1 << 18       # ids after which a block ends
 BUCKET_KEYS = 4096        # keys of a bucket, on average
-GROUP_KEYS = 4            # keys that share a displacement, on average
+GROUP_KEYS = 2            # keys that share a displacement, on average
 WIDTH = 2                 # bytes of an id; 4 for vocabularies beyond 65,536
 _COLUMNS = ["shard", "block", "first", "n", "ids", "doc_ids", "copies", "offsets", "lengths"]
 _BLOCKS = (
@@ -50,7 +50,11 @@ def _slot(hashes: np.ndarray, shift: np.ndarray, size: int) -> np.ndarray:
 
 
 def build_bucket(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements of the groups and the slot of every key; hashes must differ."""
+    """Displacements of the groups and the slot of every key; hashes must differ.
+
+    Groups are placed from the largest down; all groups of a size try one displacement after the other at a time, and
+    those that meet no taken slot and no other group stay. A group of one key takes a free slot, noted as -1 - slot.
+    """
     size = len(hashes)
     if len(np.unique(hashes)) < size:
         raise ValueError("two keys have one 64-bit hash")
@@ -58,29 +62,37 @@ def build_bucket(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     group = ((hashes >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(groups + 1))
+    counts = np.diff(bounds)
     taken = np.zeros(size, dtype=bool)
     shifts, slots = np.zeros(groups, dtype=np.int64), np.zeros(size, dtype=np.int64)
-    for g in np.argsort(-(bounds[1:] - bounds[:-1]), kind="stable"):
-        members = order[bounds[g] : bounds[g + 1]]
-        if not len(members):
-            break
+    for count in range(int(counts.max(initial=0)), 1, -1):
+        left = np.flatnonzero(counts == count)
         shift = 0
-        while True:
-            tries = np.arange(shift, shift + 64)
-            at = _slot(hashes[members][:, None], tries[None, :], size)
-            good = ~taken[at].any(axis=0)
-            if len(members) > 1:
-                ranked = np.sort(at, axis=0)
-                good &= (ranked[1:] != ranked[:-1]).all(axis=0)
-            if good.any():
-                k = int(good.argmax())
-                break
-            shift += 64
-        shifts[g], slots[members] = tries[k], at[:, k]
-        taken[at[:, k]] = True
+        while len(left):
+            members = order[bounds[left][:, None] + np.arange(count)]
+            at = _slot(hashes[members], np.array(shift), size)
+            ranked = np.sort(at, axis=1)
+            good = ~taken[at].any(axis=1) & (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
+            _, first = np.unique(at[good].ravel(), return_index=True)
+            free = np.zeros(int(good.sum()) * count, dtype=bool)
+            free[first] = True
+            good[np.flatnonzero(good)[~free.reshape(-1, count).all(axis=1)]] = False
+            shifts[left[good]], slots[members[good]] = shift, at[good]
+            taken[at[good]] = True
+            left = left[~good]
+            shift += 1
+    single = np.flatnonzero(counts == 1)
+    slots[order[bounds[single]]] = np.flatnonzero(~taken)
+    shifts[single] = -1 - np.flatnonzero(~taken)
     return shifts, slots
 
 
+def find_slots(hashes: np.ndarray, shifts: np.ndarray, size: int) -> np.ndarray:
+    """The slot of each hash by the displacements of its bucket, whether it is in the bucket or not."""
+    shift = shifts[((hashes >> np.uint64(32)) % np.uint64(len(shifts))).astype(np.int64)]
+    return np.where(shift < 0, -1 - shift, _slot(hashes, np.maximum(shift, 0), size))
+
+
 def _blocks(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, block_ids: int) -> DataFrame:
     """Blocks of a table that is in order; a partition is a shard."""
     kind = np.dtype(f"<u{width}")
@@ -192,8 +204,7 @@ def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
             return pd.DataFrame({c: pd.Series(dtype="Int64") for c in columns})
         own = bucket.iloc[0]
         hashes = found["hash"].to_numpy(np.int64).view(np.uint64)
-        group = ((hashes >> np.uint64(32)) % np.uint64(len(own["shifts"]))).astype(np.int64)
-        slot = _slot(hashes, np.asarray(own["shifts"])[group], len(own["prints"]))
+        slot = find_slots(hashes, np.asarray(own["shifts"]), len(own["prints"]))
         known = np.asarray(own["prints"])[slot] == mix64(hashes).view(np.int64)
         out = pd.DataFrame({"doc_id": found["doc_id"].astype("Int64"), "copy": found["copy"]})
         for name, field in (("shard", "shards"), ("block", "blocks"), ("offset", "offsets"), ("n", "lengths")):

@@ -12,13 +12,16 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-KEPT_WORDS = 400_000   # words whose ids a process keeps
-KEPT_LENGTH = 40       # only words up to this length
+KEPT_WORDS = 600_000   # words of a generation; a process keeps the ids of two generations
+KEPT_PARTS = 300_000   # and pieces of words
+KEPT_LENGTH = 40       # only those up to this length
 # The normaliser and pattern of the one kind of file that is encoded word by word.
 _STEPS = ["NFC", "Replace", "Lowercase"]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -26,6 +29,28 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CONTROLS = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0]").search   # libraries differ in which of these are blanks
 
 
+class Generations:
+    """A bounded store: what was not asked for since the store was last full is forgotten."""
+
+    def __init__(self, learn: Callable[[str], bytes], kept: int) -> None:
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.learn = learn
+        self.kept = kept
+
+    def __call__(self, key: str) -> bytes:
+        ids = self.recent.get(key)
+        if ids is None:
+            ids = self.older.get(key)
+            if ids is None:
+                ids = self.learn(key)
+            if len(key) <= KEPT_LENGTH:
+                if len(self.recent) >= self.kept:
+                    self.recent, self.older = {}, self.recent
+                self.recent[key] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as arrays of unsigned 32-bit integers."""
 
@@ -41,48 +66,61 @@ class Encoder:
         self.by_word = steps == _STEPS and bool(cuts) and cuts[0].get("pattern") == {"Regex": _PATTERN}
         self.special = [x["content"] for x in made.get("added_tokens", [])]
         self.pieces = regex.compile(_PATTERN).findall
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Generations(self._word, KEPT_WORDS), Generations(self._part, KEPT_PARTS)
+        if self.by_word:
+            self.tokenize = _model(made["model"]).tokenize
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        # Latin letters lower-case and compose one by one, whatever stands around them.
-        plain = (word.isascii() or max(word) < "İ") and not _CONTROLS(word)
-        if not plain or any(x in word for x in self.special):
+        if not word.isascii():
+            if max(word) >= "İ":
+                return self._whole(word)
+            # Latin letters lower-case and compose one by one, whatever stands around them.
+            word = unicodedata.normalize("NFC", word)
+        word = word.lower()
+        if word.isalpha():
+            return self.parts(word)
+        if word[:-1].isalpha() and word[-1] in ".,":
+            return self.parts(word[:-1]) + self.parts(word[-1])
+        return b"".join(map(self.parts, self.pieces(word)))
+
+    def _rare(self, word: str) -> bytes:
+        """A word of a text in which there are control characters or special tokens."""
+        if _CONTROLS(word) or any(x in word for x in self.special):
             return self._whole(word)
-        return b"".join(map(self._part, self.pieces(unicodedata.normalize("NFC", word).lower())))
+        return self._word(word)
 
     def _part(self, piece: str) -> bytes:
-        ids = self.parts.get(piece)
-        if ids is None:
-            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(spelt)], dtype=np.uint32).tobytes()
-            if len(piece) <= KEPT_LENGTH:
-                if len(self.parts) >= KEPT_WORDS:
-                    self.parts.clear()
-                self.parts[piece] = ids
-        return ids
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_word:
             return np.frombuffer(self._whole(text), dtype=np.uint32)
-        known, out = self.words, []
-        for word in text.replace("\n", " ").split(" "):
-            ids = known.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(word) <= KEPT_LENGTH:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=np.uint32)
+        words = text.replace("\n", " ").split(" ")
+        if _CONTROLS(text) or any(x in text for x in self.special):
+            return np.frombuffer(b"".join(map(self._rare, words)), dtype=np.uint32)
+        found = list(map(self.words.recent.get, words))
+        at = -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                found[at] = self.words(words[at])
+        except ValueError:  # no other
+            return np.frombuffer(b"".join(found), dtype=np.uint32)
+
+
+def _model(made: dict):
+    """The file's BPE model without the cache of its own, as no piece is asked for twice."""
+    from tokenizers.models import BPE
+
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in made["merges"]]
+    options = ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    given = {k: made[k] for k in options if made.get(k)}
+    return BPE(vocab=made["vocab"], merges=merges, cache_capacity=0, **given)
 
 
 def _byte_letters() -> dict[int, str]:
