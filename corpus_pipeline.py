@@ -17,7 +17,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Without documents that no language model takes for its own: no letters, or unlike all languages."""
     folds, out = language_id.HELD_OUT
     model = language_id.train(docs.where(crc_fold("doc_id", folds) != out).select("text", "lang"))
-    return language_id.identify(docs, model).where("NOT _language.rejected").select(*docs.columns)
+    return language_id.known_language(docs, model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

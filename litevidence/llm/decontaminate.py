@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.llm.common import mix64
+from litevidence.llm.common import mix64, wrapped
 
 K1, B = 1.2, 0.75
 OVERLAP = 0.75            # of an item's shingles that must be in the text
@@ -287,5 +287,5 @@ def find_items(
 
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    found = find_items(docs, items, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    found = find_items(docs, items, **options).select("doc_id").distinct()
+    return wrapped(docs).join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")

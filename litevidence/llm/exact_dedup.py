@@ -21,7 +21,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.llm.common import staged, text_or_empty
+from litevidence.llm.common import staged, text_or_empty, wrapped
 
 BLOCK_BYTES = 4096
 
@@ -107,10 +107,12 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, seed: int
     identity = done[0]
     for more in done[1:]:
         identity = identity.unionByName(more)
-    identity = rows.select("row", "doc_id", "text_sha256").join(identity, "row")
+    identity = staged(rows.select("row", "doc_id", "text_sha256").join(identity, "row"), "named-documents")
     groups = identity.groupBy("blocks", "name").agg(
         F.max(F.struct("doc_id", (-F.col("row")).alias("row"))).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
+    # Written, so that the join has an exchange of its own on either side and a large group can be split.
+    groups = staged(groups, "groups")
     return identity.join(groups, ["blocks", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
@@ -122,14 +124,14 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, seed: int
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns; of rows equal in doc_id and text one stays."""
-    sha = F.sha2(text_or_empty().cast("binary"), 256)
+    sha = F.sha2(text_or_empty("row.text").cast("binary"), 256)
     kept = (
         exact_duplicates(docs, **options)
-        .groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-        .agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
-        .where("_stays")
+        .groupBy("doc_id", "text_sha256")
+        .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+        .where("stays")
     )
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha")))
-    once = found.where("_rows = 1").select(*docs.columns)
-    repeated = found.where("_rows > 1").dropDuplicates(["_kept_id", "_kept_sha"]).select(*docs.columns)
-    return once.unionByName(repeated)
+    found = wrapped(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (sha == F.col("text_sha256")))
+    once = found.where("rows = 1").select("row.*")
+    repeated = found.where("rows > 1").dropDuplicates(["doc_id", "text_sha256"]).select("row.*")
+    return once.union(repeated)

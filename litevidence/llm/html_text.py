@@ -22,7 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 2000     # labelled pages that the weights are fitted on
+TRAINING_PAGES = 2000     # labelled pages that the weights are fitted on, at most
+TRAINING_LENGTH = 500_000 # characters of such a page, at most
 WORD = 1.0                # score of a word without other evidence
 TAG = -0.4                # score of a tag without other evidence
 LIMIT = 6.0               # largest size of a word's score, that of the words of an article
@@ -216,7 +217,7 @@ def extract(page: str, weights: Weights) -> str:
 
 def learn(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> dict[str, float]:
     """Weights from at most `training_pages` self-labelled pages, chosen by a hash of their html."""
-    marked = pages.select("html").where(F.lower("html").rlike("<(article|main)[ >]"))
+    marked = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= TRAINING_LENGTH))
     sample = marked.orderBy(F.xxhash64("html"), "html").limit(training_pages)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
