@@ -39,12 +39,6 @@ _BLOCKS = (
 )
 
 
-def key_hash(doc_id: np.ndarray, copy: np.ndarray, missing: np.ndarray) -> np.ndarray:
-    """64-bit hash of (doc_id, copy); a null doc_id is a key of its own."""
-    keyed = mix64(doc_id.astype(np.int64).view(np.uint64)) + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(np.where(missing, ~keyed, keyed) ^ np.uint64(0xA0761D6478BD642F))
-
-
 def _slot(hashes: np.ndarray, shift: np.ndarray, size: int) -> np.ndarray:
     return (mix64(hashes + shift.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
 
@@ -146,7 +140,7 @@ def write_store(
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.octet_length("text"))
     )
     written = _blocks(ordered, tokenizer_path, end_id, width, block_ids)
-    written.write.option("compression", "zstd").parquet(f"{path}/blocks")
+    written.write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = _read_blocks(spark, path)
     totals = blocks.groupBy("shard").agg(F.sum("n").alias("n"))
     totals = totals.withColumn("before", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
@@ -172,11 +166,8 @@ def _read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_bucket(keys: DataFrame, n_buckets: int) -> DataFrame:
     """Adds the key's hash and bucket."""
-    @F.pandas_udf("long")
-    def hashed(doc_id: pd.Series, copy: pd.Series, missing: pd.Series) -> pd.Series:
-        return pd.Series(key_hash(doc_id.to_numpy(np.int64), copy.to_numpy(np.int64), missing.to_numpy(bool)).view(np.int64))
-
-    found = keys.withColumn("hash", hashed(F.coalesce("doc_id", F.lit(0)), "copy", F.col("doc_id").isNull()))
+    key = (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "copy")
+    found = keys.withColumn("hash", F.xxhash64(*key))
     return found.withColumn("bucket", F.pmod("hash", F.lit(n_buckets)))
 
 

@@ -19,8 +19,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-KEPT_WORDS = 600_000   # words of a generation; a process keeps the ids of two generations
-KEPT_PARTS = 300_000   # and pieces of words
+KEPT_WORDS = 900_000   # words of a generation; a process keeps the ids of two generations
+KEPT_PARTS = 500_000   # and pieces of words
 KEPT_LENGTH = 40       # only those up to this length
 # The normaliser and pattern of the one kind of file that is encoded word by word.
 _STEPS = ["NFC", "Replace", "Lowercase"]
@@ -100,8 +100,9 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not self.by_word:
             return np.frombuffer(self._whole(text), dtype=np.uint32)
-        words = text.replace("\n", " ").split(" ")
-        if _CONTROLS(text) or any(x in text for x in self.special):
+        text = text.replace("\n", " ")
+        words = text.split(" ")
+        if not text.isprintable() or any(x in text for x in self.special):
             return np.frombuffer(b"".join(map(self._rare, words)), dtype=np.uint32)
         found = list(map(self.words.recent.get, words))
         at = -1
