@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from litevidence.sources.writers import staged
 
-__all__ = ["chunks", "crc_fold", "documents", "mix64", "pages", "staged", "table", "text_or_empty", "wrapped"]
+__all__ = ["chunks", "crc_fold", "documents", "hash_sample", "mix64", "pages", "staged", "table", "text_or_empty", "wrapped"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def wrapped(rows: DataFrame) -> DataFrame:
     return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
 
 
+def hash_sample(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """All rows if there are at most n, else about n of them, chosen by a hash of their key where they are."""
+    total = rows.count()
+    if total <= n:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int(n / total * (1 << 30)))
+
+
 def crc_fold(key: str, folds: int) -> Column:
     """The fold of a row: crc32 of its key as text, modulo the number of folds; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds

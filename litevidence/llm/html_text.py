@@ -22,7 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 2000     # labelled pages that the weights are fitted on, at most
+from litevidence.llm.common import hash_sample
+
+TRAINING_PAGES = 2000     # labelled pages that the weights are fitted on, about so many at most
 TRAINING_LENGTH = 500_000 # characters of such a page, at most
 WORD = 1.0                # score of a word without other evidence
 TAG = -0.4                # score of a tag without other evidence
@@ -216,9 +218,9 @@ def extract(page: str, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> dict[str, float]:
-    """Weights from at most `training_pages` self-labelled pages, chosen by a hash of their html."""
-    marked = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= TRAINING_LENGTH))
-    sample = marked.orderBy(F.xxhash64("html"), "html").limit(training_pages)
+    """Weights from about `training_pages` self-labelled pages at most, chosen by a hash."""
+    marked = pages.select("page_id", "html").where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= TRAINING_LENGTH))
+    sample = hash_sample(marked, ["page_id", "html"], training_pages).select("html")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -14,10 +14,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.llm.common import staged, text_or_empty
+from litevidence.llm.common import hash_sample, staged, text_or_empty
 from litevidence.llm.trees import Condition, rules_of
 
-TRAINING_ROWS = 20_000    # labelled rows that the model is fitted on, at most
+TRAINING_ROWS = 20_000    # labelled rows that the model is fitted on, about so many at most
 FOLDS = 5                 # rows of fold 0 are held out
 TREES, DEPTH, LASSO = 12, 3, 0.0005
 THRESHOLD = 0.3
@@ -108,7 +108,7 @@ def score_documents(
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Takes documents (doc_id, text) and labels (doc_id, quality); other columns are not read. The model learns from at most
+    Takes documents (doc_id, text) and labels (doc_id, quality); other columns are not read. The model learns from about
     `training_rows` labelled rows outside of fold 0 (crc32 of the doc_id modulo `folds`), chosen by a hash of the doc_id; rows without doc_id
     or label teach nothing and are not held out. Null text counts as empty and is scored. Documents are never
     dropped or repeated, however many labels a doc_id has.
@@ -116,7 +116,7 @@ def score_documents(
     stats = staged(measured(docs), "statistics")
     fold = F.crc32(F.col(_KEY).cast("string").cast("binary")) % folds
     known = labels.select(F.col("doc_id").alias(_KEY), F.col("quality").alias(_TARGET)).where(f"{_TARGET} IN (0, 1)")
-    training = stats.join(known, _KEY).where(fold != 0).orderBy(F.xxhash64(_KEY), _KEY).limit(training_rows)
+    training = hash_sample(stats.join(known, _KEY).where(fold != 0), [_KEY], training_rows)
     model = fit(training)
     return stats.select(
         F.col(_KEY).alias("doc_id"),

@@ -16,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litevidence.llm.common import hash_sample
 from litevidence.llm.trees import boosted_score
 
 # (host, path, verdict)
@@ -24,7 +25,7 @@ SEED_WORDS = (
     "ad", "ads", "adult", "bet", "bets", "casino", "cheap", "gambling", "loan", "loans", "pharma", "pills", "poker", "porn",
     "sex", "spam", "track", "tracker", "viagra", "warez", "xxx",
 )
-TRAINING_ROWS = 20_000   # URLs of each label that the trees are fitted on, at most
+TRAINING_ROWS = 20_000   # URLs of each label that the trees are fitted on, about so many at most
 TREES, DEPTH = 15, 3
 CUT = 0.5                # probability from which a URL is blocked
 SMOOTHING = 20.0         # URLs of the overall rate that each suffix is given beforehand
@@ -107,7 +108,7 @@ def judge(
 
     Takes any table with page_id and url; other columns are not read. `labelled` has url and label (1: block). A null url, or one without
     `://`, has empty host and path, fits no rule and is judged by its form. Rows that repeat are judged one by
-    one. The trees are fitted on at most `training_rows` URLs of each label, chosen by a hash; the suffix
+    one. The trees are fitted on about `training_rows` URLs of each label at most, chosen by a hash; the suffix
     statistics cover all labelled URLs. With one label only, no URL is blocked but by a rule.
     """
     urls = lexical(pages.select("page_id", "url"))
@@ -117,10 +118,11 @@ def judge(
         known = lexical(labelled.select("url", F.col("label").cast("double").alias("label")))
     known = known.where("label IS NOT NULL")
     names = list(FEATURES)
-    rated = with_rates(known, known).select("label", "url", *names)
+    key = [c for c in ("page_id", "url") if c in known.columns]
+    rated = with_rates(known, known).select("label", *key, *names)
     sample = None
     for label in (0.0, 1.0):
-        own = rated.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(training_rows)
+        own = hash_sample(rated.where(F.col("label") == label), key, training_rows)
         sample = own if sample is None else sample.unionByName(own)
     sample = sample.select("label", *[F.col(c).cast("double").alias(c) for c in names]).persist()
     try:
