@@ -108,8 +108,9 @@ def judge(
 
     Takes any table with page_id and url; other columns are not read. `labelled` has url and label (1: block). A null url, or one without
     `://`, has empty host and path, fits no rule and is judged by its form. Rows that repeat are judged one by
-    one. The trees are fitted on about `training_rows` URLs of each label at most, chosen by a hash; the suffix
-    statistics cover all labelled URLs. With one label only, no URL is blocked but by a rule.
+    one. The trees are fitted on about `training_rows` URLs of each label at most, chosen by a hash; each stands for
+    as many URLs of its label as there are for one chosen, so the labels weigh what they do in the whole table. The
+    suffix statistics cover all labelled URLs. With one label only, no URL is blocked but by a rule.
     """
     urls = lexical(pages.select("page_id", "url"))
     if labelled is None:
@@ -126,11 +127,16 @@ def judge(
         sample = own if sample is None else sample.unionByName(own)
     sample = sample.select("label", *[F.col(c).cast("double").alias(c) for c in names]).persist()
     try:
-        if sample.select("label").distinct().count() < 2:
+        chosen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+        if len(chosen) < 2:
             score = F.lit(0.0)
         else:
-            vectors = VectorAssembler(inputCols=names, outputCol="_features").transform(sample)
-            model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(vectors)
+            sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+            weight = F.when(F.col("label") == 1.0, sizes[1.0] / chosen[1.0]).otherwise(sizes[0.0] / chosen[0.0])
+            vectors = VectorAssembler(inputCols=names, outputCol="_features").transform(sample.withColumn("_weight", weight))
+            model = GBTClassifier(
+                featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=TREES, maxDepth=DEPTH, seed=7
+            ).fit(vectors)
             score = boosted_score(model, names)
     finally:
         sample.unpersist()

@@ -94,3 +94,22 @@ def test_given_labels(spark):
     pages = spark.createDataFrame([(1, "http://x999.com/a"), (2, "http://y.com/" + "q" * 52 + "?a=3&b=4")], "page_id long, url string")
     got = url_filter.judge(pages, labelled=spark.createDataFrame(labelled, "url string, label int")).collect()
     assert {r.page_id: r.verdict for r in got} == {1: "allow", 2: "block"}
+
+
+def test_size_does_not_change_verdicts(spark):
+    """Of 120 URLs, 20 of a form of which a fifth is blocked; then 40 times as many, of which a part is sampled."""
+    def mark(i):   # in the fragment, which no feature sees but by its length
+        return "#" + f"{i:06d}".translate(str.maketrans("0123456789", "abcdefghij"))
+
+    def table(times):
+        short = [("http://s.e.com/a" + mark(i), 0) for i in range(100 * times)]
+        long = [("http://t.e.com/" + "q" * 40 + mark(i), int(i % 5 == 0)) for i in range(20 * times)]
+        return spark.createDataFrame(short + long, "url string, label int")
+
+    urls = [(1, "http://s.e.com/a" + mark(0)), (2, "http://t.e.com/" + "q" * 40 + mark(0))]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = [
+        {r.page_id: r for r in url_filter.judge(pages, labelled=table(times), training_rows=200).collect()} for times in (1, 40)
+    ]
+    for small, large in ((got[0][k], got[1][k]) for k in (1, 2)):
+        assert small.verdict == large.verdict == "allow" and abs(small.score - large.score) < 0.1
