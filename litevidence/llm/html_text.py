@@ -7,7 +7,8 @@ that belong to the content against the share of all words, as a log-odds. Pages
 the scores of a prior that states what HTML and common class names mean.
 
 A word counts with the least score of the elements it stands in, so words of a menu or of reader comments are
-negative also inside the region; such words are no text.
+negative also inside the region; such words are no text. Class names of html, body, main and article, and of the elements
+around the content, describe the page and not their words: they do not count.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ _HINTS = frozenset(
     "contentinfo complementary discussion modal overlay gdpr login".split()
 )
 _CONTENT = frozenset(("article", "main"))
+_FRAME = frozenset(("html", "body", *_CONTENT))
 # Elements that end at the next one of their kind, or with the element around them.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _ENDS_P = frozenset(
@@ -58,6 +60,7 @@ _TOKEN = regex.compile(
 )
 _ATTRIBUTE = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.IGNORECASE)
 _PART = regex.compile(r"[a-z]+")
+Element = tuple[str, tuple[str, ...], int]   # name, features, number of its token
 _RAW_END = {name: regex.compile(rf"</{name}[\s/>]|\Z", regex.IGNORECASE) for name in _SILENT}
 
 
@@ -111,15 +114,38 @@ class Weights:
     def word(self, found: tuple[str, ...]) -> float:
         score = self.known.get(found)
         if score is None:
-            score = min(WORD, *map(prior, found), *(self.learned.get(f, WORD) for f in evidence(found)))
+            if found[0] in _FRAME:
+                score = WORD
+            else:
+                score = min(WORD, *map(prior, found), *(self.learned.get(f, WORD) for f in evidence(found)))
             self.known[found] = score
         return score
 
 
-def walk(page: str) -> Iterator[tuple[str, str, list[tuple[str, tuple[str, ...]]]]]:
+class Around:
+    """The elements around the content: around the first <main>, and around an <article> that is the only one."""
+
+    def __init__(self) -> None:
+        self.main: list[int] | None = None
+        self.article: list[int] = []
+        self.articles = 0
+
+    def opened(self, value: str, stack: list[Element]) -> None:
+        if value == "main" and self.main is None:
+            self.main = [number for _, _, number in stack[:-1]]
+        elif value == "article":
+            self.articles += 1
+            if self.articles == 1:
+                self.article = [number for _, _, number in stack[:-1]]
+
+    def numbers(self) -> set[int]:
+        return {*(self.main or ()), *(self.article if self.articles == 1 else ())}
+
+
+def walk(page: str) -> Iterator[tuple[str, str, list[Element]]]:
     """Tags and texts with the elements that are open. Missing end tags are supplied as HTML rules have it."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    for kind, value, found in tokens(page):
+    stack: list[Element] = []
+    for number, (kind, value, found) in enumerate(tokens(page)):
         if kind == "open":
             ends = _CLOSES.get(value, set()) | ({"p"} if value in _ENDS_P else set())
             if ends:
@@ -134,33 +160,45 @@ def walk(page: str) -> Iterator[tuple[str, str, list[tuple[str, tuple[str, ...]]
                 elif value in _ENDS_P:
                     del stack[k:]
             if value not in _VOID:
-                stack.append((value, found))
+                stack.append((value, found, number))
         elif kind == "close":
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == value), None)
             if at is not None:
                 del stack[at:]
-        yield kind, value, stack if kind != "open" or value not in _VOID else [*stack, (value, found)]
+        yield kind, value, stack if kind != "open" or value not in _VOID else [*stack, (value, found, number)]
+
+
+def _own_prior(found: tuple[str, ...], around: bool) -> float:
+    """Score of an element by its prior; of one around the content, its name alone says something."""
+    return WORD if found[0] in _FRAME else prior(found[0]) if around else min(map(prior, found))
 
 
 def label(page: str) -> tuple[Counter, Counter] | None:
     """Words inside and outside the content for each feature; None if the page does not label itself."""
     inside, outside = Counter(), Counter()
-    marks = 0
+    marks, seen = 0, Around()
+    for kind, value, stack in walk(page):
+        if kind == "open" and value in _CONTENT:
+            marks += 1
+            seen.opened(value, stack)
+    if marks != 1:
+        return None
+    around = seen.numbers()
     for kind, value, stack in walk(page):
-        marks += kind == "open" and value in _CONTENT
         if kind != "text":
             continue
         n = len(value.split())
-        to = inside if any(name in _CONTENT for name, _ in stack) else outside
+        to = inside if any(name in _CONTENT for name, _, _ in stack) else outside
         to[""] += n
         counted = set()
-        for _, found in stack:
-            counted.update(evidence(found))
-            if min(map(prior, found)) < 0:
+        for name, found, number in stack:
+            if name not in _FRAME and number not in around:
+                counted.update(evidence(found))
+            if _own_prior(found, number in around) < 0:
                 break  # what stands in a menu says nothing about lists elsewhere
         for feature in counted:
             to[feature] += n
-    return (inside, outside) if marks == 1 and inside[""] else None
+    return (inside, outside) if inside[""] else None
 
 
 def fit(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -184,23 +222,40 @@ def extract(page: str, weights: Weights) -> str:
 
     White space inside a block is one space; blocks without text are left out.
     """
-    pieces: list[tuple[int, float, str, bool]] = []   # block, score, text, positive
-    block = 0
+    # block, words (-1: a tag), score if no element is against it, inside, text, elements that are against it
+    parts: list[tuple[int, int, float, bool, str, list[tuple[int, float, float]]]] = []
+    block, seen = 0, Around()
+
+    def against(elements: list[Element]) -> list[tuple[int, float, float]]:
+        """Number, score, and score if it is around the content, of the elements of negative score."""
+        scored = ((number, weights.word(found), found) for _, found, number in elements)
+        return [(number, score, _own_prior(found, True)) for number, score, found in scored if score <= 0]
+
     for kind, value, stack in walk(page):
-        inside = any(name in _CONTENT for name, _ in stack)
+        inside = any(name in _CONTENT for name, _, _ in stack)
+        if kind == "open" and value in _CONTENT:
+            seen.opened(value, stack)
         if kind == "text":
             text = html.unescape(value)
-            least = min((weights.word(found) for _, found in stack), default=WORD)
-            # Boilerplate inside of an article is no text, and no reason to end the article either.
-            each = (LIMIT if inside else WORD) if least > 0 else 0.0 if inside else least
-            pieces.append((block, len(text.split()) * each, text, least > 0))
+            parts.append((block, len(text.split()), LIMIT if inside else WORD, inside, text, against(stack)))
         elif value in _INLINE:
-            pieces.append((block, 0.0 if inside else TAG / 4, " " if value in ("br", "img") else "", True))
+            parts.append((block, -1, 0.0 if inside else TAG / 4, True, " " if value in ("br", "img") else "", []))
         else:
             block += 1
-            own = weights.word(stack[-1][1]) if kind == "open" and stack else WORD
-            score = EDGE if value in _CONTENT else 0.0 if inside else EDGE if own < 0 else TAG
-            pieces.append((block, score, "", False))
+            score = EDGE if value in _CONTENT else 0.0 if inside else TAG
+            own = against(stack[-1:]) if kind == "open" and not inside else []
+            parts.append((block, -1, score, False, "", own))
+
+    around = seen.numbers()
+    pieces: list[tuple[int, float, str, bool]] = []   # block, score, text, positive
+    for block, words, score, inside, text, found in parts:
+        least = min((named if number in around else own for number, own, named in found), default=WORD)
+        if words < 0:
+            pieces.append((block, EDGE if least < 0 else score, text, inside))
+        else:
+            # Boilerplate inside of an article is no text, and no reason to end the article either.
+            each = score if least > 0 else 0.0 if inside else least
+            pieces.append((block, words * each, text, least > 0))
 
     best, total, start, region = 0.0, 0.0, 0, (0, 0)
     for i, (_, score, _, _) in enumerate(pieces):
@@ -213,7 +268,7 @@ def extract(page: str, weights: Weights) -> str:
     for at, _, text, positive in pieces[region[0] : region[1]]:
         if positive:
             blocks.setdefault(at, []).append(text)
-    cleaned = (" ".join("".join(parts).split()) for parts in blocks.values())
+    cleaned = (" ".join("".join(held).split()) for held in blocks.values())
     return "\n\n".join(text for text in cleaned if text)
 
 

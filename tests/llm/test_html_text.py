@@ -69,3 +69,28 @@ def test_table_edges(spark):
     got = ht.extract_pages(pages, ht.learn(pages)).collect()
     assert [r._text for r in got] == ["", "", ""]
     assert ht.extract_pages(pages.limit(0), {}).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single-post has-sidebar'><article><p>{}</p></article></body>",
+        "<html class='no-menu'><body class=\"no-comments\"><div><p>{}</p></div></body></html>",
+        "<body><main class='with-sidebar'><p>{}</p></main></body>",
+        "<body><article class='post comments-open' id='search-7'><p>{}</p></article></body>",
+        "<body><div class='page has-sidebar'><div><article><p>{}</p></article></div></div></body>",
+        "<body><div id='search-page'><main><p>{}</p></main></div></body>",
+    ],
+)
+def test_class_names_of_the_frame(page):
+    menu = "<div class='sidebar'>" + "<p>Side words of no use.</p>" * 3 + "</div>"
+    comments = "<section class='comments'>" + "<p>I like this very much.</p>" * 3 + "</section></"
+    assert text(page.format(LONG * 2)) == (LONG * 2).strip()
+    assert text(page.replace("<p>{}</p></", "<p>{}</p>" + menu + comments).format(LONG * 2)) == (LONG * 2).strip()
+    assert ht.label(page.format(LONG)) is None or set(ht.label(page.format(LONG))[0]) == {"", "p"}
+
+
+def test_comments_as_articles():
+    comments = "<section class='comments'>" + f"<article class='comment'><p>{LONG}</p></article>" * 4 + "</section>"
+    assert text(f"<body class='comments'><article><p>{LONG * 2}</p></article>{comments}</body>") == (LONG * 2).strip()
+    assert text(f"<body class='comments'><article><p>{LONG * 2}</p>{comments}</article></body>") == (LONG * 2).strip()
