@@ -12,6 +12,10 @@ never miss an item above its threshold:
    a block only if these add up to the lowest threshold of the block;
 3. the items of the blocks left are scored in full.
 
+A text of several passages may hold the parts of an item in different ones, none of which reaches the threshold.
+Each such text is also looked up by shingles: of every item the rarest, so many that a text with the required share
+has one of them. The score of an item found by these alone is that of all its words in the text.
+
 Retrieved items are verified on the whole text: shared 5-word shingles of the question and of the answer.
 
 The index is broadcast. Items beyond `MAX_INDEX_BYTES` of text are dealt into several indexes that are queried in
@@ -67,21 +71,41 @@ class Index:
     lengths: np.ndarray         # words of each item
     block_items: int
     longest: int
+    probes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]   # by length of shingles: codes, bounds, items
 
 
-def shingle_codes(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """64-bit codes of the runs of `size` words; runs with a word outside of the index have none."""
+def shingle_codes(ids: np.ndarray, size: int = SHINGLE, stride: int = 1) -> np.ndarray:
+    """64-bit codes of the runs of `size` words from every `stride`-th on; runs with a word outside of the index have none."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    codes, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
+    runs = -(-n // stride)
+    codes, known = np.zeros(runs, dtype=np.uint64), np.ones(runs, dtype=bool)
     for k in range(size):
-        part = ids[k : k + n]
+        part = ids[k : k + n : stride]
         codes = mix64(codes * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1))
         known &= part >= 0
     return codes[known]
 
 
+def _probes(shingles: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, overlap: float) -> dict:
+    """Of each item the rarest shingles, one more than may be missing, as postings of items."""
+    out = {}
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        n = np.array([len(shingles[i][0]) + len(shingles[i][1]) for i in own])
+        flat, of = np.concatenate([np.concatenate(shingles[i]) for i in own]), np.repeat(np.arange(len(own)), n)
+        _, at, held = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((flat, -held[at], of))
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        need = np.maximum(np.ceil(overlap * n - 1e-9), 1)
+        kept = order[rank >= need[of] - 1]
+        kept = kept[np.argsort(flat[kept], kind="stable")]
+        codes, first = np.unique(flat[kept], return_index=True)
+        out[size] = (codes, np.r_[first, len(kept)], own[of[kept]])
+    return out
+
+
 def split_item(text: str) -> tuple[list[str], list[str]]:
     """Words of the question and of the answer, which is the last sentence."""
     parts = [w for w in (_words(s.lower()) for s in _sentences(text.strip())) if w]
@@ -148,6 +172,7 @@ def build_index(items: list[tuple[int, str]], overlap: float = OVERLAP, block_it
         np.r_[0, np.cumsum([len(s) for s in impacts])], thresholds, pivot_bounds, pivot_blocks, max_bounds, max_blocks,
         max_impacts, np.minimum.reduceat(thresholds, np.arange(0, len(ids), block_items)), post_bounds, post_items, post_impacts, shingles,
         np.array([len(x) for x in ids]), block_items, max(len(x) for x in ids),
+        _probes(shingles, np.array([min(SHINGLE, len(x)) for x in ids]), overlap),
     )
 
 
@@ -210,6 +235,30 @@ def retrieve(index: Index, ids: np.ndarray, owner: np.ndarray, length: int, stri
     return found.groupby(["owner", "item"], as_index=False)["score"].max()
 
 
+def scattered(index: Index, ids: np.ndarray, owner: np.ndarray, length: int) -> pd.DataFrame:
+    """Owner and item for texts of more than one passage that hold one of an item's probes."""
+    several = np.bincount(owner, minlength=1)[owner] > length if len(owner) else np.zeros(0, dtype=bool)
+    ids, owner = ids[several], owner[several]
+    pairs = [np.zeros(0, dtype=np.int64)]
+    for size, (codes, bounds, items) in index.probes.items():
+        n = len(ids) - size + 1
+        if n <= 0:
+            continue
+        whole = owner[:n] == owner[size - 1 :]
+        for k in range(size):
+            whole &= ids[k : k + n] >= 0
+        start = np.flatnonzero(whole)
+        found = shingle_codes(ids[(start[:, None] + np.arange(size)).ravel()], size, size)
+        at = np.searchsorted(codes, found)
+        at[at == len(codes)] = 0
+        hit = codes[at] == found
+        keys = np.unique(owner[start[hit]] * len(codes) + at[hit])
+        place, of = _spread(bounds, keys % len(codes))
+        pairs.append((keys // len(codes))[of] * len(index.item_ids) + items[place])
+    both = np.unique(np.concatenate(pairs))
+    return pd.DataFrame({"owner": both // len(index.item_ids), "item": both % len(index.item_ids)})
+
+
 def _search(index: Index, batch: pd.DataFrame, overlap: float) -> Iterator[pd.DataFrame]:
     length = max(PASSAGE_WORDS, 2 * index.longest)
     stride = length - index.longest
@@ -220,7 +269,10 @@ def _search(index: Index, batch: pd.DataFrame, overlap: float) -> Iterator[pd.Da
         ids = np.concatenate([x for _, x in held])
         owner = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
         rows = []
-        for _, found in retrieve(index, ids, owner, length, stride).groupby("owner"):
+        near = retrieve(index, ids, owner, length, stride)
+        # Rows of the second have no score; those of a pair in both are behind the first's.
+        both = pd.concat([near.astype({"owner": "int64", "item": "int64"}), scattered(index, ids, owner, length)])
+        for _, found in both.drop_duplicates(["owner", "item"]).groupby("owner"):
             key, own = held[int(found["owner"].iloc[0])]
             codes: dict[int, np.ndarray] = {}
             for item, score in zip(found["item"].astype(int), found["score"], strict=True):
@@ -231,6 +283,9 @@ def _search(index: Index, batch: pd.DataFrame, overlap: float) -> Iterator[pd.Da
                 q, a = (int(np.isin(x, codes[size]).sum()) for x in (question, answer))
                 share = (q + a) / (len(question) + len(answer))
                 if share >= overlap:
+                    if np.isnan(score):
+                        terms = slice(index.item_bounds[item], index.item_bounds[item + 1])
+                        score = float(index.item_impacts[terms][np.isin(index.item_terms[terms], own)].sum())
                     rows.append((
                         key, int(index.item_ids[item]), score, float(index.thresholds[item]), share,
                         q / len(question) if len(question) else None, a / len(answer) if len(answer) else None,

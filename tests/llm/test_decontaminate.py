@@ -98,3 +98,24 @@ def test_retrieval_misses_nothing():
 def test_empty(planted):
     docs, items = planted
     assert dc.find_items(docs.limit(0), items).collect() == dc.find_items(docs, items.limit(0)).collect() == []
+
+
+def test_parts_far_apart(spark):
+    """Question and answer, or the quarters of an item, 1,000 words apart; the same words in another order are no item."""
+    items = [(i, f"Question {i} is what a{i} b{i} c{i} d{i} e{i} f{i} have? " + " ".join(f"{c}{i}" for c in "ghijklmno") + ".") for i in range(30)]
+    items += [(40, " ".join(f"q{j}" for j in range(120)))]
+    filler = " ".join(f"z{j} the of" for j in range(400))
+    long = items[30][1].split()
+    docs = [
+        (1, items[3][1].replace("?", "? " + filler)),
+        (2, " ".join(filler + " " + " ".join(long[j : j + 30]) for j in range(0, 120, 30))),
+        (3, filler + " " + items[4][1].split("?")[0]),
+        (4, (filler + " ") * 2 + " ".join(reversed(items[5][1].split()))),
+        (5, items[6][1] + " " + filler),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.find_items(docs, items, overlap=0.6).collect()
+    want = brute(docs.collect(), items.collect(), 0.6)
+    assert {(r.doc_id, r.item_id) for r in got} == want == {(1, 3), (2, 40), (5, 6)} and len(got) == 3
+    assert all(r.score >= r.threshold * (1 - 1e-9) for r in got)
