@@ -30,7 +30,7 @@ TRAINING_LENGTH = 500_000 # characters of such a page, at most
 WORD = 1.0                # score of a word without other evidence
 TAG = -0.4                # score of a tag without other evidence
 LIMIT = 6.0               # largest size of a word's score, that of the words of an article
-EDGE = -40.0              # score of a tag of boilerplate, and of the borders of an article
+EDGE = -40.0              # score of a tag of boilerplate, and of the outer borders of the content
 # Elements whose content is never text, and void elements.
 _SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "title", "select", "option")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -225,6 +225,8 @@ def extract(page: str, weights: Weights) -> str:
     # block, words (-1: a tag), score if no element is against it, inside, text, elements that are against it
     parts: list[tuple[int, int, float, bool, str, list[tuple[int, float, float]]]] = []
     block, seen = 0, Around()
+    within = False                          # the last token was inside of the content
+    ended: tuple[int, int] | None = None    # part and parent of the content's last end, if no word has come since
 
     def against(elements: list[Element]) -> list[tuple[int, float, float]]:
         """Number, score, and score if it is around the content, of the elements of negative score."""
@@ -237,14 +239,26 @@ def extract(page: str, weights: Weights) -> str:
             seen.opened(value, stack)
         if kind == "text":
             text = html.unescape(value)
+            ended = None if text.split() else ended
             parts.append((block, len(text.split()), LIMIT if inside else WORD, inside, text, against(stack)))
         elif value in _INLINE:
             parts.append((block, -1, 0.0 if inside else TAG / 4, True, " " if value in ("br", "img") else "", []))
         else:
             block += 1
-            score = EDGE if value in _CONTENT else 0.0 if inside else TAG
+            nested = inside and any(name in _CONTENT for name, _, _ in stack[:-1])
+            score = EDGE if value in _CONTENT and (not inside or kind == "open" and not nested) else 0.0 if inside else TAG
+            parent = stack[-1][2] if stack and kind == "close" else stack[-2][2] if len(stack) > 1 else -1
+            if kind == "close" and within and not inside:
+                ended = len(parts), parent
+            elif kind == "open" and value in _CONTENT and not nested:
+                # Content that follows its sibling goes on with it.
+                if ended and ended[1] == parent:
+                    at, score = ended[0], 0.0
+                    parts[at] = (*parts[at][:2], 0.0, *parts[at][3:])
+                ended = None
             own = against(stack[-1:]) if kind == "open" and not inside else []
             parts.append((block, -1, score, False, "", own))
+        within = inside
 
     around = seen.numbers()
     pieces: list[tuple[int, float, str, bool]] = []   # block, score, text, positive

@@ -94,3 +94,17 @@ def test_comments_as_articles():
     comments = "<section class='comments'>" + f"<article class='comment'><p>{LONG}</p></article>" * 4 + "</section>"
     assert text(f"<body class='comments'><article><p>{LONG * 2}</p></article>{comments}</body>") == (LONG * 2).strip()
     assert text(f"<body class='comments'><article><p>{LONG * 2}</p>{comments}</article></body>") == (LONG * 2).strip()
+
+
+def test_borders_are_outermost():
+    parts = "Short title", LONG.strip(), "The end."
+    assert text("<main><h1>{}</h1><article><p>{}</p></article><p>{}</p></main>".format(*parts)).split("\n\n") == list(parts)
+    assert text("<article><article><p>{1}</p></article><p>{2}</p></article>".format(*parts)).split("\n\n") == list(parts[1:])
+
+
+def test_articles_side_by_side():
+    some = ["One short one.", LONG.strip(), "Another.", (LONG * 2).strip(), "The last of all."]
+    page = "<body><div>{}</div></body>".format("\n<hr>\n".join(f"<article class='post'><p>{t}</p></article>" for t in some))
+    assert text(page).split("\n\n") == some
+    apart = f"<article><p>{LONG}</p></article><p>Words between.</p><article><p>Few words.</p></article>"
+    assert text(apart) == LONG.strip()
