@@ -56,14 +56,20 @@ def stage_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed by `drop_staged`."""
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def staged(rows: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write rows to the shared folder and read them back: computed once, and kept if executors are lost.
 
     The table stays until `drop_staged`, since results may still read it.
     """
-    path = f"{stage_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    rows.write.parquet(path)
-    _STAGED.setdefault(rows.sparkSession.sparkContext.applicationId, []).append(path)
+    path = staged_path(rows.sparkSession, name)
+    write_parquet(rows, path, partition_by)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
