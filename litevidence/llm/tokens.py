@@ -2,7 +2,7 @@
 
 Encoding a text is the dear part, and the words of a corpus repeat. The tokenizers used here never join
 characters across a blank, so a text's ids are those of its blank-separated words in turn, and each process
-keeps the ids of words it has met. Words of plain Latin letters, digits and signs are cut by the tokenizer's own
+keeps the ids of frequent words, in a bounded number of bytes. Words of plain Latin letters, digits and signs are cut by the tokenizer's own
 pattern and their pieces go to its BPE model; any other word goes through the whole tokenizer. A tokenizer of
 another kind encodes whole texts.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -19,37 +20,57 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-KEPT_WORDS = 900_000   # words of a generation; a process keeps the ids of two generations
-KEPT_PARTS = 500_000   # and pieces of words
-KEPT_LENGTH = 40       # only those up to this length
+KEPT_BYTES = 64 << 20  # of a generation of pieces; a process keeps two
+WORD_BYTES = 12 << 20  # and of a generation of words, where they are cut one by one
+KEPT_LENGTH = 40       # only words and pieces up to this length
+_ENTRY_BYTES = 200     # of an entry besides its characters and ids, with its share of the table
+_SEEN_BITS = 22        # of the filter of words met before
 # The normaliser and pattern of the one kind of file that is encoded word by word.
 _STEPS = ["NFC", "Replace", "Lowercase"]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# A full stop or comma after another sign: the two are one piece.
+_RUN = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])").search
 _CONTROLS = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0]").search   # libraries differ in which of these are blanks
 
 
-class Generations:
-    """A bounded store: what was not asked for since the store was last full is forgotten."""
+class Generations(dict):
+    """A store bounded in bytes: what was not asked for since the store was last full is forgotten.
 
-    def __init__(self, learn: Callable[[str], bytes], kept: int) -> None:
-        self.recent: dict[str, bytes] = {}
+    A key is kept from the second time on that it is learnt, as most words of a corpus are rare.
+    """
+
+    def __init__(self, learn: Callable[[str], bytes], kept_bytes: int) -> None:
+        super().__init__()
         self.older: dict[str, bytes] = {}
         self.learn = learn
-        self.kept = kept
+        self.kept_bytes = kept_bytes
+        self.held = 0
+        self.seen = bytearray(1 << _SEEN_BITS)
+        self.marked = 0
 
-    def __call__(self, key: str) -> bytes:
-        ids = self.recent.get(key)
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
         if ids is None:
-            ids = self.older.get(key)
-            if ids is None:
-                ids = self.learn(key)
-            if len(key) <= KEPT_LENGTH:
-                if len(self.recent) >= self.kept:
-                    self.recent, self.older = {}, self.recent
-                self.recent[key] = ids
+            ids = self.learn(key)
+            at = hash(key) & ((1 << _SEEN_BITS) - 1)
+            if not self.seen[at]:
+                self.marked += 1
+                if self.marked > len(self.seen) // 4:
+                    self.seen, self.marked = bytearray(len(self.seen)), 0
+                self.seen[at] = 1
+                return ids
+        if len(key) <= KEPT_LENGTH:
+            if self.held >= self.kept_bytes:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[key] = ids
+            self.held += _ENTRY_BYTES + len(key) + len(ids)
         return ids
 
+    def joined(self, keys: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, keys))
+
 
 class Encoder:
     """Ids of texts as arrays of unsigned 32-bit integers."""
@@ -66,7 +87,7 @@ class Encoder:
         self.by_word = steps == _STEPS and bool(cuts) and cuts[0].get("pattern") == {"Regex": _PATTERN}
         self.special = [x["content"] for x in made.get("added_tokens", [])]
         self.pieces = regex.compile(_PATTERN).findall
-        self.words, self.parts = Generations(self._word, KEPT_WORDS), Generations(self._part, KEPT_PARTS)
+        self.words, self.parts = Generations(self._word, WORD_BYTES), Generations(self._token, KEPT_BYTES)
         if self.by_word:
             self.tokenize = _model(made["model"]).tokenize
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
@@ -82,10 +103,10 @@ class Encoder:
             word = unicodedata.normalize("NFC", word)
         word = word.lower()
         if word.isalpha():
-            return self.parts(word)
+            return self.parts[word]
         if word[:-1].isalpha() and word[-1] in ".,":
-            return self.parts(word[:-1]) + self.parts(word[-1])
-        return b"".join(map(self.parts, self.pieces(word)))
+            return self.parts[word[:-1]] + self.parts[word[-1]]
+        return self.parts.joined(self.pieces(word))
 
     def _rare(self, word: str) -> bytes:
         """A word of a text in which there are control characters or special tokens."""
@@ -93,6 +114,13 @@ class Encoder:
             return self._whole(word)
         return self._word(word)
 
+    def _token(self, token: str) -> bytes:
+        """A piece, or what stands between blanks, as the pieces of it; lower-cased and composed."""
+        if token.isalpha():
+            return self._part(token)
+        pieces = self.pieces(token)
+        return self._part(token) if len(pieces) == 1 else self.parts.joined(pieces)
+
     def _part(self, piece: str) -> bytes:
         spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
@@ -101,17 +129,27 @@ class Encoder:
         if not self.by_word:
             return np.frombuffer(self._whole(text), dtype=np.uint32)
         text = text.replace("\n", " ")
-        words = text.split(" ")
         if not text.isprintable() or any(x in text for x in self.special):
-            return np.frombuffer(b"".join(map(self._rare, words)), dtype=np.uint32)
-        found = list(map(self.words.recent.get, words))
-        at = -1
-        try:
-            while True:
-                at = found.index(None, at + 1)
-                found[at] = self.words(words[at])
-        except ValueError:  # no other
-            return np.frombuffer(b"".join(found), dtype=np.uint32)
+            return np.frombuffer(b"".join(map(self._rare, text.split(" "))), dtype=np.uint32)
+        plain = self._plain(text)
+        if plain is not None:
+            return np.frombuffer(self.parts.joined(plain), dtype=np.uint32)
+        words = text.split(" ")
+        return np.frombuffer(self.words.joined(words), dtype=np.uint32)
+
+    def _plain(self, text: str) -> list[str] | None:
+        """The text of Latin-1 characters cut at blanks and before its full stops and commas; None if that will not do.
+
+        These characters lower-case one by one and compose with none, so this is done for the text at once.
+        """
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        if _RUN(text):
+            return None
+        return (text.lower() + " ").replace(". ", " . ").replace(", ", " , ").split(" ")
 
 
 def _model(made: dict):
