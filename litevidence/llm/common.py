@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litevidence.sources.writers import staged
 
-__all__ = ["chunks", "crc_fold", "documents", "hash_sample", "mix64", "pages", "staged", "table", "text_or_empty", "wrapped"]
+__all__ = ["chunks", "crc_fold", "documents", "hash_sample", "mix64", "pages", "releasing", "staged", "table", "text_or_empty", "wrapped"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,23 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def releasing(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back when it ends, as workers are kept between tasks and stages."""
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def wrapped(rows: DataFrame) -> DataFrame:
     """All columns as one struct `row`, so that columns added beside it clash with none; `row.*` unwraps it."""
     return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))

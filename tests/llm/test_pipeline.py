@@ -17,7 +17,7 @@ def test_like_brute_force(spark, tokenizer):
     folds, out = language_id.HELD_OUT
     model = language_id.train(docs.where(crc_fold("doc_id", folds) != out))
     rows = docs.collect()
-    judged = language_id.classify(model, [r.text for r in rows], 1.0, 8.0)["rejected"]
+    judged = language_id.classify(model, [r.text for r in rows])["rejected"]
     rows = [r for r, bad in zip(rows, judged, strict=True) if not bad]
     last = {}
     for r in sorted(rows, key=lambda r: r.doc_id):
