@@ -30,20 +30,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.llm.common import mix64, wrapped
+from litevidence.llm.common import mix64, releasing, staged, wrapped
 
 K1, B = 1.2, 0.75
 OVERLAP = 0.75            # of an item's shingles that must be in the text
+PART_OVERLAP = 0.5        # and of those of its question and of its answer apart
 SHINGLE = 5
 PASSAGE_WORDS = 128       # least length of a passage
 BLOCK_ITEMS = 16
-MAX_INDEX_BYTES = 32 << 20
+MAX_INDEX_BYTES = 4 << 20  # of the texts of items; the index takes some ten times that
 _BATCH_WORDS = 400_000
 FOUND = (
-    "doc_id long, item_id long, score double, threshold double, overlap double, question_overlap double, "
+    "doc_id long, text_key long, item_id long, score double, threshold double, overlap double, question_overlap double, "
     "answer_overlap double"
 )
 _words = re.compile(r"[^\W_]+").findall
@@ -259,11 +260,11 @@ def scattered(index: Index, ids: np.ndarray, owner: np.ndarray, length: int) ->
     return pd.DataFrame({"owner": both // len(index.item_ids), "item": both % len(index.item_ids)})
 
 
-def _search(index: Index, batch: pd.DataFrame, overlap: float) -> Iterator[pd.DataFrame]:
+def _search(index: Index, batch: pd.DataFrame, overlap: float, part_overlap: float) -> Iterator[pd.DataFrame]:
     length = max(PASSAGE_WORDS, 2 * index.longest)
     stride = length - index.longest
     lookup = index.terms.get
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[tuple[int, int], np.ndarray]] = []
 
     def searched() -> pd.DataFrame:
         ids = np.concatenate([x for _, x in held])
@@ -282,21 +283,21 @@ def _search(index: Index, batch: pd.DataFrame, overlap: float) -> Iterator[pd.Da
                     codes[size] = np.unique(shingle_codes(own, size))
                 q, a = (int(np.isin(x, codes[size]).sum()) for x in (question, answer))
                 share = (q + a) / (len(question) + len(answer))
-                if share >= overlap:
+                if share >= overlap and q >= part_overlap * len(question) and a >= part_overlap * len(answer):
                     if np.isnan(score):
                         terms = slice(index.item_bounds[item], index.item_bounds[item + 1])
                         score = float(index.item_impacts[terms][np.isin(index.item_terms[terms], own)].sum())
                     rows.append((
-                        key, int(index.item_ids[item]), score, float(index.thresholds[item]), share,
+                        *key, int(index.item_ids[item]), score, float(index.thresholds[item]), share,
                         q / len(question) if len(question) else None, a / len(answer) if len(answer) else None,
                     ))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"doc_id": "Int64"})
 
     size = 0
-    for key, text in zip(batch["doc_id"], batch["text"], strict=True):
+    for doc_id, text_key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
         words = _words(text.lower())
         ids = np.array([lookup(w, -1) for w in words], dtype=np.int64)
-        held.append((key, ids))
+        held.append(((doc_id, text_key), ids))
         size += len(ids)
         if size >= _BATCH_WORDS:
             yield searched()
@@ -306,41 +307,61 @@ def _search(index: Index, batch: pd.DataFrame, overlap: float) -> Iterator[pd.Da
         held = []
 
 
+def text_key(text) -> Column:
+    """With the doc_id, what a verdict on a row belongs to: rows that agree in both are judged alike."""
+    return F.xxhash64(text)
+
+
+def _found(docs: DataFrame, items: DataFrame, overlap: float, part_overlap: float, max_index_bytes: int) -> DataFrame:
+    texts = docs.select("doc_id", text_key("text").alias("text_key"), "text").where("text IS NOT NULL")
+    asked = items.select("item_id", "text").where("text IS NOT NULL")
+    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // max_index_bytes))
+    shared = []
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        index = build_index([(r[0], r[1]) for r in own.collect()], overlap)  # at most about max_index_bytes
+        if index is not None:
+            shared.append(docs.sparkSession.sparkContext.broadcast(index))
+            del index
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one in shared:
+                yield from _search(one.value, batch, overlap, part_overlap)
+                if len(shared) > 1:
+                    vars(one).pop("_value", None)  # one index in memory at a time
+
+    return texts.mapInPandas(releasing(search), FOUND) if shared else docs.sparkSession.createDataFrame([], FOUND)
+
+
 def find_items(
     docs: DataFrame,
     items: DataFrame,
     overlap: float = OVERLAP,
+    part_overlap: float = PART_OVERLAP,
     max_index_bytes: int = MAX_INDEX_BYTES,
 ) -> DataFrame:
     """Test items found in training texts: doc_id, item_id, score, threshold, overlap, question_overlap, answer_overlap.
 
     Takes documents (doc_id, text) and items (item_id, text); other columns are not read. A row for each pair of
-    which the text holds at least `overlap` of the item's shingles; a clean document has none. Case and signs
+    which the text holds at least `overlap` of the item's shingles, and at least `part_overlap` of those of its question and of its
+    answer (the last sentence), where there are such; a clean document has none. Case and signs
     do not count. Null and empty texts hold no item, items without words are in no text, and an empty table on either
-    side gives no rows. Rows that repeat are searched one by one.
+    side gives no rows. Rows that repeat are searched one by one. Items of more than `max_index_bytes` of text make several indexes,
+    which tasks load one after the other for each batch of texts; a single item is never split, however long.
     """
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    asked = items.select("item_id", "text").where("text IS NOT NULL")
-    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // max_index_bytes))
-    found = None
-    for part in range(parts):
-        own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        index = build_index([(r[0], r[1]) for r in own.collect()], overlap)  # at most about max_index_bytes
-        if index is None:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield from _search(shared.value, batch, overlap)
+    return _found(docs, items, overlap, part_overlap, max_index_bytes).drop("text_key")
 
-        one = texts.mapInPandas(search, FOUND)
-        found = one if found is None else found.unionByName(one)
-    return found if found is not None else docs.sparkSession.createDataFrame([], FOUND)
 
+def without_items(
+    docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, part_overlap: float = PART_OVERLAP, max_index_bytes: int = MAX_INDEX_BYTES
+) -> DataFrame:
+    """The documents in which no item is found, with all their columns.
 
-def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
-    found = find_items(docs, items, **options).select("doc_id").distinct()
-    return wrapped(docs).join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
+    Each row is judged by its own text: others with the same doc_id, or without one, stay.
+    """
+    found = _found(docs, items, overlap, part_overlap, max_index_bytes).select("doc_id", "text_key").distinct()
+    found = staged(found, "rows-with-items")  # its size is known then, and texts need no shuffle if it is small
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (text_key("row.text") == F.col("text_key"))
+    return wrapped(docs).join(found, same, "left_anti").select("row.*")

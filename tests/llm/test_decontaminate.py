@@ -119,3 +119,23 @@ def test_parts_far_apart(spark):
     want = brute(docs.collect(), items.collect(), 0.6)
     assert {(r.doc_id, r.item_id) for r in got} == want == {(1, 3), (2, 40), (5, 6)} and len(got) == 3
     assert all(r.score >= r.threshold * (1 - 1e-9) for r in got)
+
+
+def test_question_or_answer_alone(spark):
+    """Most of an item's shingles are not enough if one of its parts is missing."""
+    question = "What is the " + " ".join(f"a{j}" for j in range(40)) + "?"
+    answer = " ".join(f"b{j}" for j in range(8)) + "."
+    items = spark.createDataFrame([(1, f"{question} {answer}")], "item_id long, text string")
+    texts = [question, answer, f"{question} {answer}", f"{question} and then {answer}", f"{question} b0 b1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in dc.find_items(docs, items).collect()) == [2, 3]
+    assert sorted(r.doc_id for r in dc.find_items(docs, items, part_overlap=0.0).collect()) == [0, 2, 3, 4]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    items = spark.createDataFrame([(1, "What is a b c d e f g h? It is i j k l m n o p.")], "item_id long, text string")
+    bad, good = "x What is a b c d e f g h? It is i j k l m n o p. y", "a clean text"
+    rows = [(None, bad), (None, good), (None, None), (4, bad), (4, good), (4, good), (5, bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in dc.without_items(docs, items).collect()), key=repr)
+    assert left == sorted([r for r in rows if r[1] != bad], key=repr)
