@@ -24,13 +24,14 @@ over all documents and go to no range; they come last in the order, so no range
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.llm.common import mix64, staged, wrapped
+from litevidence.llm.common import mix64, releasing, staged, wrapped
 from litevidence.llm.components import connected
 
 WORDS = 5
@@ -39,9 +40,9 @@ GROUPS = 256                # coordinates of a point
 ROUNDS = 2                  # of first links
 SHARED_TRIED = 4            # prefix shingles by which a class finds another in a round
 LEAF = 64                   # points of a leaf
-RANGE_SHINGLES = 2_000_000  # occurrences of shingles in a range, on average
-FREQUENT_IN_CHUNK = 8       # occurrences in a chunk from which a shingle is counted on its own
-_CHUNK_BYTES = 4 << 20
+RANGE_SHINGLES = 1_000_000  # occurrences of shingles in a range, on average
+FREQUENT_IN_CHUNK = 4       # occurrences in a chunk from which a shingle is counted on its own
+_CHUNK_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -50,7 +51,21 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+@lru_cache(maxsize=2)
+def _kept_powers(base: int) -> np.ndarray:
+    out = np.full(_CHUNK_BYTES * 5 // 4, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def _powers(n: int, base: np.uint64) -> np.ndarray:
+    """The powers 0 to n - 1; those for a chunk are computed once in a process."""
+    kept = _kept_powers(int(base))
+    if n <= len(kept):
+        return kept[:n]
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
@@ -66,10 +81,9 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
         edge = np.r_[0, edge]
     starts, ends = edge[0::2], edge[1::2]
     # Polynomial hash of each word from running sums, moved to a common origin.
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     total = np.cumsum(_BYTE[raw] * _powers(len(raw), _BASE), dtype=np.uint64)
     before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    word = mix64((total[ends - 1] - before) * _powers(len(raw), inverse)[starts] + (ends - starts).astype(np.uint64))
+    word = mix64((total[ends - 1] - before) * _powers(len(raw), _INVERSE)[starts] + (ends - starts).astype(np.uint64))
     bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     n = len(word) - words + 1
     code = np.zeros(max(n, 0), dtype=np.uint64)
@@ -90,10 +104,10 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """doc_ids and shingle sets, a few megabytes of text at a time."""
+    """doc_ids with text keys and shingle sets, about a megabyte of text at a time."""
     keys, texts, size = [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True), batch.column(1), strict=True):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             keys.append(key)
             texts.append(raw)
@@ -123,11 +137,11 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, k = len(keys), len(token)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(keys + [None] * k, pa.int64()), pa.array(np.r_[n, np.zeros(k, np.int64)]),
+                pa.array([d for d, _ in keys] + [None] * k, pa.int64()), pa.array([t for _, t in keys] + [None] * k, pa.int64()), pa.array(np.r_[n, np.zeros(k, np.int64)]),
                 pa.array(np.r_[a, np.zeros(k, np.int64)]), pa.array(np.r_[b, np.zeros(k, np.int64)]),
                 pa.array(np.r_[np.zeros(m, np.int64), token.view(np.int64)]), pa.array(np.r_[np.zeros(m, np.int64), times]),
             ],
-            names=["doc_id", "n", "a", "b", "token", "times"],
+            names=["doc_id", "text_key", "n", "a", "b", "token", "times"],
         )
 
 
@@ -294,7 +308,7 @@ def _verified(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
     left = points.select(F.col("v").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
     right = points.select(F.col("v").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
     joined = pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", "tx", "ty")
-    return joined.mapInArrow(verify, "x long, y long")
+    return joined.mapInArrow(releasing(verify), "x long, y long")
 
 
 def _round_pairs(points: DataFrame, labels: DataFrame, seed: int, num: int, den: int) -> DataFrame:
@@ -410,7 +424,7 @@ def _other_pairs(points: DataFrame, num: int, den: int, leaf: int, best: bool) -
     entry = staged(entry.join(points.select("v", "n", "root", "point"), "v").select("token", "v", "n", "root", "point"), "entries")
     order = ["token", "root", "n", "v"]
     leaves = staged(
-        entry.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_leaves(leaf), _LEAF_ROW), "leaves"
+        entry.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(releasing(_leaves(leaf)), _LEAF_ROW), "leaves"
     )
     one = leaves.select("token", *[F.col(c).alias(f"{c}_1") for c in leaves.columns if c != "token"])
     two = leaves.select("token", *[F.col(c).alias(f"{c}_2") for c in leaves.columns if c != "token"])
@@ -445,29 +459,35 @@ def _other_pairs(points: DataFrame, num: int, den: int, leaf: int, best: bool) -
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
 
     columns = [f"{c}_{k}" for k in (1, 2) for c in ("v", "n", "root", "points")]
-    return met.select(*columns).mapInArrow(pairs, "x long, y long").distinct()
+    return met.select(*columns).mapInArrow(releasing(pairs), "x long, y long").distinct()
 
 
-def similar_documents(
-    docs: DataFrame,
-    num: int = NUM,
-    den: int = DEN,
-    range_shingles: int = RANGE_SHINGLES,
-    leaf: int = LEAF,
-) -> DataFrame:
+def similar_documents(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Takes any table with doc_id and text; other columns are not read. A-Z count as lower case, words end at
     blanks, a text of fewer than five words is one shingle. Documents link when den * shared >= num * union;
     component_id is the smallest doc_id reachable by links. Documents without words (null and empty texts
     among them) have no shingles, no links and their own doc_id. Rows with equal sets link, repeated rows too;
-    null doc_ids are never the smallest unless there is no other. An empty table gives no rows.
+    null doc_ids are never the smallest unless there is no other. An empty table gives no rows. Options are those of `_members`.
     """
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return _members(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def text_key(text) -> Column:
+    """With the doc_id, what says which row of a table is meant."""
+    return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
+
+
+def _members(
+    docs: DataFrame, num: int = NUM, den: int = DEN, range_shingles: int = RANGE_SHINGLES, leaf: int = LEAF
+) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and a key of the component (null without words) for every row."""
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_key("text").alias("text_key"))
     found = staged(
-        texts.mapInArrow(_documents, "doc_id long, n long, a long, b long, token long, times long"), "shingle-sets"
+        texts.mapInArrow(releasing(_documents), "doc_id long, text_key long, n long, a long, b long, token long, times long"), "shingle-sets"
     )
-    rows = found.where("times = 0").select("doc_id", "n", "a", "b")
+    rows = found.where("times = 0").select("doc_id", "text_key", "n", "a", "b")
     # Each has more than range_shingles occurrences, so there are no more of them than ranges.
     frequent = found.where("times > 0").groupBy("token").agg(F.sum("times").alias("t")).where(F.col("t") > range_shingles)
     frequent = np.sort(np.array([r["token"] for r in frequent.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
@@ -477,7 +497,7 @@ def similar_documents(
     classes = staged(rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first_id")), "classes")
 
     points = staged(
-        texts.mapInArrow(_posted(n_ranges, shared), _POSTED)
+        texts.mapInArrow(releasing(_posted(n_ranges, shared)), _POSTED)
         .groupBy("part").applyInArrow(_counted(n_ranges), _SHARED)
         .groupBy("part").applyInArrow(_points(num, den), _POINT)
         .withColumn("v", F.monotonically_increasing_id()),
@@ -494,15 +514,38 @@ def similar_documents(
     top = points.select("v", "a", "b").join(roots, "v", "left").select("a", "b", F.coalesce("root", "v").alias("top"))
     named = classes.join(top, ["a", "b"], "left")
     least = named.where("top IS NOT NULL").groupBy("top").agg(F.min("first_id").alias("least"))
-    named = named.join(least, "top", "left").select("a", "b", F.coalesce("least", "first_id").alias("component_id"))
-    with_words = rows.where("n > 0").join(named, ["a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = named.join(least, "top", "left").select(
+        "a", "b", F.coalesce("least", "first_id").alias("component_id"),
+        # What the rows of one component share, with or without doc_ids.
+        F.coalesce("top", "a").alias("part_a"), F.when(F.col("top").isNull(), F.col("b")).otherwise(F.lit(0)).alias("part_b"),
+    )
+    columns = ["doc_id", "text_key", F.col("n").alias("n_shingles")]
+    with_words = rows.where("n > 0").join(named, ["a", "b"]).select(*columns, "component_id", "part_a", "part_b")
+    none = F.lit(None).cast("long")
     return with_words.unionByName(
-        rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        rows.where("n = 0").select(*columns, F.col("doc_id").alias("component_id"), none.alias("part_a"), none.alias("part_b"))
     )
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that have the smallest doc_id of their component, with all their columns."""
-    found = similar_documents(docs, **options).where("component_id <=> doc_id")
-    kept = found.select("doc_id").distinct()
-    return wrapped(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
+    """One document of each component, with all its columns: the one with the smallest doc_id.
+
+    A null doc_id is larger than any other; of several rows with that doc_id (or none), the one with the smallest
+    hash of its text stays, and of rows equal in both one. Documents without words are alone in their component, but of those equal in
+    doc_id and text one stays as well.
+    """
+    found = _members(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    linked = found.where("part_a IS NOT NULL").groupBy("part_a", "part_b").agg(first).select("first.doc_id", "first.text_key")
+    kept = linked.unionByName(found.where("part_a IS NULL").select("doc_id", "text_key")).distinct()
+    # Which rows share doc_id and text is known from narrow rows, so that only those are reduced.
+    times = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    both = kept.withColumn("stays", F.lit(1)).withColumn("times", F.lit(0)).unionByName(times.withColumn("stays", F.lit(0)))
+    kept = staged(
+        both.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.sum("times").alias("times")).where("stays = 1"), "representatives"
+    )
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & text_key("row.text").eqNullSafe(F.col("text_key"))
+    rows = wrapped(docs).join(kept, same)
+    once = rows.where("times = 1").select("row.*")
+    repeated = rows.where("times > 1").dropDuplicates(["doc_id", "text_key"]).select("row.*")
+    return once.unionByName(repeated)

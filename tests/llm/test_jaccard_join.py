@@ -104,3 +104,22 @@ def test_shingle_hashes_tell_texts_apart():
     assert sets[2] == sets[3] and sets[2][0] in sets[0]
     assert sets[4] != sets[2] and sets[5] != sets[2] and sets[6] == sets[7] == []
     assert set(sets[8]) & set(sets[0]) == set(sets[0]) - set(sets[2])
+
+
+def test_one_row_of_each_component(spark):
+    """Also where doc_ids are missing or repeated."""
+    base = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(base), " ".join(base[:58] + ["x", "y"]), " ".join(f"v{i}" for i in range(30))
+    rows = [
+        (None, one), (None, near), (None, other), (7, other + " end"), (7, "alone in the world of words"), (7, "alone in the world of words"),
+        (3, None), (3, ""), (None, None), (9, ""), (9, ""), (2, " ".join(f"u{i}" for i in range(9))), (1, " ".join(f"u{i}" for i in range(9))),
+    ]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, text_key string")
+    left = jaccard_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert [r for r in got if r[1] in (one, near)] in ([(None, one)], [(None, near)])
+    assert [r for r in got if r[1] and r[1] not in (one, near)] == sorted(
+        [(7, other + " end"), (7, "alone in the world of words"), (1, " ".join(f"u{i}" for i in range(9)))], key=repr
+    )
+    assert sorted((r for r in got if not r[1]), key=repr) == sorted([(3, None), (3, ""), (None, None), (9, "")], key=repr)
