@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litevidence.llm.common import text_or_empty
+from litevidence.llm.common import releasing, staged, text_or_empty
 from litevidence.llm.tokens import encoder
 
 CAPACITY = 2048
-SHARD_DOCUMENTS = 16_384   # documents of a shard, on average
+SHARD_PIECES = 16_384   # documents of a shard, on average
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -93,7 +93,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> Dat
                 {"doc_id": "Int64"}
             )
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(pieces, PIECES)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(releasing(pieces), PIECES)
 
 
 def pack(
@@ -101,15 +101,17 @@ def pack(
     tokenizer_path: str,
     end_id: int = 0,
     capacity: int = CAPACITY,
-    shard_documents: int = SHARD_DOCUMENTS,
+    shard_pieces: int = SHARD_PIECES,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Takes any table with doc_id and text; other columns are not read. Null text counts as empty: such a document
-    is one piece that holds the end id. Rows with the same or no doc_id are documents of their own. Ties are
-    decided by length, doc_id, piece and checksum, so the same rows give the same sequences. An empty table gives no rows.
+    is one piece that holds the end id. Rows with the same or no doc_id are documents of their own. Pieces are numbered where
+    they are written and dealt to shards of about `shard_pieces` by a hash of the number, so a shard is bounded however many
+    rows are equal or long. An empty table gives no rows.
     """
-    shards = max(1, -(-docs.count() // shard_documents))
+    cuts = staged(cut(docs, tokenizer_path, end_id, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    shards = max(1, -(-cuts.count() // shard_pieces))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -127,9 +129,5 @@ def pack(
             ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
         ]
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
-    return (
-        cut(docs, tokenizer_path, end_id, capacity)
-        .groupBy(shard.alias("shard"))
-        .applyInPandas(lambda key, rows: packed(key, rows.drop(columns="shard", errors="ignore")), PACKED)
-    )
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    return cuts.groupBy(shard.alias("shard")).applyInPandas(packed, PACKED)

@@ -14,7 +14,6 @@ Layout, under one folder of any file system that Spark can write:
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litevidence.llm.common import mix64, text_or_empty
+from litevidence.llm.common import mix64, releasing, text_or_empty
 from litevidence.llm.tokens import encoder
-from litevidence.sources.writers import stage_folder
+from litevidence.sources.writers import staged_path
 
 BLOCK_IDS = 1 << 18       # ids after which a block ends
 BUCKET_KEYS = 4096        # keys of a bucket, on average
 GROUP_KEYS = 2            # keys that share a displacement, on average
-WIDTH = 2                 # bytes of an id; 4 for vocabularies beyond 65,536
 _COLUMNS = ["shard", "block", "first", "n", "ids", "doc_ids", "copies", "offsets", "lengths"]
 _BLOCKS = (
     "shard int, block int, first long, n long, ids binary, "
@@ -116,7 +114,7 @@ def _blocks(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, block
         if entries:
             yield closed()
 
-    return docs.mapInPandas(blocks, _BLOCKS)
+    return docs.mapInPandas(releasing(blocks), _BLOCKS)
 
 
 def write_store(
@@ -124,16 +122,20 @@ def write_store(
     path: str,
     tokenizer_path: str,
     end_id: int = 1,
-    width: int = WIDTH,
+    width: int | None = None,
     block_ids: int = BLOCK_IDS,
     bucket_keys: int = BUCKET_KEYS,
 ) -> None:
     """Encode all documents and write them as a store.
 
     Takes any table with doc_id and text. Null text counts as empty; such a document holds the end id alone.
-    Null doc_ids come first. Rows of one doc_id follow each other in an order that depends on their text only.
+    `width` is the bytes of an id, by default as many as the vocabulary needs; fewer are refused. Null doc_ids come first. Rows of one doc_id follow each other in an order that depends on their text only.
     """
     spark = docs.sparkSession
+    least = 2 if max(encoder(tokenizer_path).largest, end_id) < 1 << 16 else 4
+    width = width or least
+    if width < least:
+        raise ValueError(f"ids of this vocabulary need {least} bytes")
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     ordered = (
         texts.repartitionByRange(F.col("doc_id").asc_nulls_first())
@@ -248,4 +250,5 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_folder(spark: SparkSession) -> str:
-    return f"{stage_folder(spark)}/token-store-{uuid.uuid4().hex}"
+    """A new folder; `drop_staged` removes it."""
+    return staged_path(spark, "token-store")

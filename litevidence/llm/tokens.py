@@ -84,6 +84,7 @@ class Encoder:
             made = json.load(file)
         steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
         cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.by_word = steps == _STEPS and bool(cuts) and cuts[0].get("pattern") == {"Regex": _PATTERN}
         self.special = [x["content"] for x in made.get("added_tokens", [])]
         self.pieces = regex.compile(_PATTERN).findall

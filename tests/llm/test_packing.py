@@ -94,7 +94,7 @@ def check(found, docs, tokenizer, capacity):
 
 @pytest.mark.parametrize(("capacity", "shard"), [(2048, 16384), (64, 3)])
 def test_fixture(docs, tokenizer, capacity, shard):
-    found = packing.pack(docs, tokenizer, capacity=capacity, shard_documents=shard).collect()
+    found = packing.pack(docs, tokenizer, capacity=capacity, shard_pieces=shard).collect()
     check(found, docs.collect(), tokenizer, capacity)
 
 
@@ -106,3 +106,14 @@ def test_whole_table(spark, tokenizer):
 
 def test_empty(docs, tokenizer):
     assert packing.pack(docs.limit(0), tokenizer).collect() == []
+
+
+def test_equal_and_long_rows_fill_shards_evenly(spark, tokenizer):
+    """Thousands of equal rows without doc_id, and texts of many pieces, are spread over shards."""
+    rows = [(None, "")] * 3000 + [(i, "many words of a text " * 400) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = packing.pack(table, tokenizer, capacity=16, shard_pieces=500).toPandas()
+    assert (found["doc_id"].isna()).sum() == 3000
+    per_shard = found["sequence_id"].floordiv(1 << 32).value_counts()
+    assert len(per_shard) == -(-len(found) // 500) and per_shard.max() < 700
+    assert (found.groupby("sequence_id")["length"].sum() <= 16).all()

@@ -55,3 +55,11 @@ def test_empty(spark, docs, tokenizer):
     path = token_store.store_folder(spark)
     token_store.write_store(docs.limit(0), path, tokenizer)
     assert token_store.read_all(spark, path).collect() == []
+
+
+def test_width_of_ids(spark, docs, tokenizer):
+    with pytest.raises(ValueError, match="4 bytes"):
+        token_store.write_store(docs, token_store.store_folder(spark), tokenizer, end_id=70_000, width=2)
+    path = token_store.store_folder(spark)
+    token_store.write_store(docs.limit(2), path, tokenizer, end_id=70_000)
+    assert spark.read.parquet(f"{path}/meta").first()["width"] == 4
