@@ -31,12 +31,14 @@ def evidence_columns(evidence: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def attach_evidence(triplets: DataFrame, evidence: DataFrame) -> DataFrame:
+def attach_evidence(triplets: DataFrame, evidence: DataFrame, copies: bool = True) -> DataFrame:
     """Every triplet once per evidence source of its pair; without evidence, once with nulls.
 
-    Copies of triplets count once. A pair has a row or two per source.
+    Copies of triplets count once; with `copies=False` the caller states that there are none, as in triplets just
+    extracted, and whole rows are not shuffled to find them. A pair has a row or two per source.
     """
-    return evidence_names(triplets).distinct().join(evidence_columns(evidence), list(PAIR), "left")
+    found = evidence_names(triplets)
+    return (found.distinct() if copies else found).join(evidence_columns(evidence), list(PAIR), "left")
 
 
 def dated_lists(dated: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litevidence.sources.writers import staged
+
 
 def distinct_counts(rows: DataFrame, counts: Mapping[str, Sequence[str]]) -> DataFrame:
     """Several distinct counts in one pass: output name -> columns. Rows missing any of them do not count.
@@ -99,3 +101,38 @@ def listing(rows: DataFrame, keys: Sequence[str], column: str, name: str) -> Dat
         .groupBy(*keys)
         .agg(F.array_join(F.array_sort(F.collect_list(column)), ", ").alias(name))
     )
+
+
+def class_bitmaps(rows: DataFrame, columns: Sequence[str], classes: Mapping[str, Column]) -> DataFrame:
+    """class, bucket, bitmap: which distinct key tuples belong to each, possibly overlapping, class.
+
+    Tuples get integers that are dense within the tasks that number them, so a bitmap of 4 KB stands for up to 32,768 of them.
+    The table is a state: bitmaps of other classes over the same numbering add rows to it, and any union of classes
+    is counted from it without the rows.
+    """
+    marked = rows.groupBy(*columns).agg(
+        *[F.max(F.coalesce(condition, F.lit(False))).alias(f"in_{i}") for i, condition in enumerate(classes.values())]
+    )
+    numbered = staged(marked.select(F.monotonically_increasing_id().alias("id"), *[f"in_{i}" for i in range(len(classes))]), "numbered")
+    held = F.array_compact(F.array(*[F.when(F.col(f"in_{i}"), F.lit(name)) for i, name in enumerate(classes)]))
+    return (
+        numbered.select("id", F.explode(held).alias("class"))
+        .groupBy("class", F.expr("bitmap_bucket_number(id)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(id))").alias("bitmap"))
+    )
+
+
+def union_counts(bitmaps: DataFrame, unions: Mapping[str, Sequence[str]]) -> DataFrame:
+    """union, n: exact numbers of tuples that are in any of the classes of each union; 0 for none.
+
+    Bitmaps are joined bucket by bucket, in part before the shuffle.
+    """
+    names = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in sorted({c for own in unions.values() for c in own})]),
+        F.array(*[F.array(*[F.lit(u) for u, own in unions.items() if c in own]) for c in sorted({c for own in unions.values() for c in own})]),
+    )
+    dealt = bitmaps.select(F.explode(F.element_at(names, F.col("class"))).alias("union"), "bucket", "bitmap")
+    joined = dealt.groupBy("union", "bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+    counted = joined.groupBy("union").agg(F.sum(F.expr("bitmap_count(bitmap)")).alias("n"))
+    listed = bitmaps.sparkSession.createDataFrame([(u,) for u in unions], "union string")
+    return listed.join(counted, "union", "left").select("union", F.coalesce("n", F.lit(0)).alias("n"))

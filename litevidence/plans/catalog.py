@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from litevidence.functions.text import (
     control_class, differs, join_list, quoted_items, redelimit, strip_literal,
 )
 from litevidence.operators import annotate, compare, curation, dictionary, evidence, metrics
+from litevidence.operators.fuzzy import fuzzy_ground_terms
+from litevidence.operators.incremental import PrevalenceState
 from litevidence.operators.mentions import (
     article_ids, complete_mentions, count_articles, dictionary_labels, improve_ids, label_ids,
     labelled_mentions, name_columns, select_articles,
@@ -29,7 +32,7 @@ from litevidence.operators.triplets import extract_triplets, triplet_counts
 from litevidence.plans.literature import annotated_triplets
 from litevidence.plans.views import Views
 from litevidence.sources import readers
-from litevidence.sources.writers import stage_folder, staged, write_parquet
+from litevidence.sources.writers import stage_folder, staged, staged_path, write_merged_text, write_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,8 +67,7 @@ def triplets(v: Views) -> DataFrame:
 
 
 def accepted(v: Views, once: bool = True) -> DataFrame:
-    found = staged(triplets(v), "triplets")
-    return accepted_triplets(found, v.dictionary_targets(), v.gene_symbol(), once)
+    return accepted_triplets(triplets(v), v.dictionary_targets(), v.gene_symbol(), once)
 
 
 def portal(v: Views) -> dict[str, DataFrame]:
@@ -177,6 +179,17 @@ def triplet_prevalence(v: Views) -> DataFrame:
     return triplet_counts(triplets(v))
 
 
+@query
+def prevalence_in_batches(v: Views) -> DataFrame:
+    """The same, fed by sections one after the other, articles given twice among them, and compacted on the way."""
+    state = PrevalenceState(v.spark, staged_path(v.spark, "prevalence"), fan_in=2)
+    found = mentions(v)
+    for sections in (["F"], ["F", "O"], ["O", "P"]):
+        state.add(found.where(F.col("section").isin(sections)))
+    state.add(found)
+    return state.counts()
+
+
 @query
 def gene_to_id(v: Views) -> DataFrame:
     return ground_genes(v.dictionary_targets(), v.gene_symbol())
@@ -202,7 +215,7 @@ def blacklist_filter(v: Views) -> DataFrame:
 
 @query
 def attach_evidence(v: Views) -> DataFrame:
-    return evidence.attach_evidence(staged(accepted(v), "accepted"), v.evidence())
+    return evidence.attach_evidence(accepted(v), v.evidence(), copies=False)
 
 
 @query
@@ -220,7 +233,7 @@ def dated_folder_lists(v: Views) -> DataFrame:
 
 @query
 def attach_dated(v: Views) -> DataFrame:
-    with_sources = evidence.attach_evidence(staged(accepted(v), "accepted"), v.evidence())
+    with_sources = evidence.attach_evidence(accepted(v), v.evidence(), copies=False)
     narrow = with_sources.select("pmid", "sentence", "probeId", *evidence.SOURCE_PAIR)
     return evidence.attach_dated(staged(narrow, "with-sources"), v.dated_evidence())
 
@@ -263,7 +276,7 @@ def attach_max_phase(v: Views) -> DataFrame:
 
 @query
 def article_type(v: Views) -> DataFrame:
-    return annotate.attach_article_type(staged(triplets(v), "triplets"), v.article_type())
+    return annotate.attach_article_type(triplets(v), v.article_type())
 
 
 @query
@@ -424,6 +437,12 @@ def term_grounding(v: Views) -> DataFrame:
     return curation.ground_terms(rows, "c_mktsegment", v.terms(), overrides={"HOUSEHOLD": "ONT_HH"})
 
 
+@query
+def fuzzy_grounding(v: Views) -> DataFrame:
+    """Misspelt and reordered names of all parts, grounded in the names of part families."""
+    return fuzzy_ground_terms(v.free_terms(), "TERM", v.family_terms())
+
+
 @query
 def label_grounding(v: Views) -> DataFrame:
     """Gene names, the override gene among them, grounded with the hand-made entries winning."""
@@ -435,6 +454,15 @@ def label_grounding(v: Views) -> DataFrame:
     return curation.ground_labels(genes, "GENE", table, "GENE_ID")
 
 
+@query
+def merged_export(v: Views) -> DataFrame:
+    """The report as one file that all tasks write, read back."""
+    path = staged_path(v.spark, "report").removesuffix(".parquet") + ".tsv"
+    rows = report(v)
+    write_merged_text(rows, path)
+    return readers.read_lines(v.spark, path, rows.schema)
+
+
 @query
 def release_dates(v: Views) -> DataFrame:
     return curation.dated_releases(v.release_dates())
@@ -473,6 +501,15 @@ def disease_coverage(v: Views) -> DataFrame:
     )
 
 
+@query
+def coverage_by_bitmap(v: Views) -> DataFrame:
+    """Every class of rows and every union of two or more of them."""
+    tagged, annotated = F.col("DISEASES").isNotNull(), F.col("DISEASE_FOUND").isNotNull()
+    classes = {"tagged": tagged, "untagged": ~tagged, "annotated": annotated, "dosed": F.col("DOSAGE").isNotNull()}
+    unions = {"+".join(own): own for k in range(1, 5) for own in combinations(classes, k)}
+    return metrics.union_counts(staged(metrics.class_bitmaps(report(v), curation.MATCH, classes), "bitmaps"), unions)
+
+
 @query
 def section_counts(v: Views) -> DataFrame:
     return metrics.count_per(curation.named_sections(report(v)), ["SECTION"], "TEXT", "n_sentences")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from litevidence.constants import DISEASE_NAMES, DISEASE_TAGS
 
+_CLASSES = {
+    "tagged": "DISEASES IS NOT NULL", "untagged": "DISEASES IS NULL", "annotated": "DISEASE_FOUND IS NOT NULL",
+    "dosed": "DOSAGE IS NOT NULL",
+}
 # Named parts: each may use those before it.
 PARTS = {
     "mentions": """
@@ -353,6 +359,44 @@ BODIES = {
     "term_grounding": """
         SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'ONT_HH'
                ELSE 'ONT_' || substr(c_mktsegment, 1, 3) END AS DISEASE_ID FROM customer""",
+    "fuzzy_grounding": """
+        WITH free AS (
+            SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' ' || upper(p_name || ' ' || lower(p_type))
+                WHEN 1 THEN replace(p_name, 'i', '') || ' ' || lower(p_type) WHEN 2 THEN lower(p_type) || ' ' || p_name
+                WHEN 3 THEN p_name || 's of the ' || lower(p_type) || ' family'
+                WHEN 4 THEN 'matter no. ' || p_partkey END AS TERM FROM part),
+        known AS (
+            SELECT DISTINCT p_name || ' ' || lower(p_type) AS name, 1 AS rank,
+                   'FAM_' || replace(p_name, ' ', '-') || '-' || lower(p_type) AS id FROM part
+            UNION SELECT DISTINCT p_name, 2, 'FAM_' || replace(p_name, ' ', '-') FROM part),
+        asked AS (SELECT DISTINCT lower(trim(TERM)) AS name FROM free WHERE TERM IS NOT NULL),
+        grams AS (
+            SELECT DISTINCT side, name, substr('  ' || name || ' ', i, 3) AS gram
+            FROM (SELECT side, name, unnest(range(1, length(name) + 2)) AS i
+                  FROM (SELECT 'known' AS side, name FROM known UNION ALL SELECT 'asked', name FROM asked))),
+        frequency AS (SELECT gram, count(*) AS df FROM grams WHERE side = 'known' GROUP BY gram),
+        weights AS (
+            SELECT gram, CAST(pow(floor(100 * ln(1 + (SELECT count(DISTINCT name) FROM known) / greatest(coalesce(df, 1), 1))), 2) AS BIGINT) AS square
+            FROM (SELECT DISTINCT gram FROM grams) LEFT JOIN frequency USING (gram)),
+        norms AS (SELECT side, name, CAST(sum(square) AS DOUBLE) AS norm FROM grams JOIN weights USING (gram) GROUP BY ALL),
+        dots AS (
+            SELECT x.name AS asked, y.name AS known, CAST(sum(square) AS DOUBLE) AS dot
+            FROM (SELECT * FROM grams WHERE side = 'asked') x JOIN (SELECT * FROM grams WHERE side = 'known') y USING (gram)
+                 JOIN weights USING (gram) GROUP BY ALL),
+        hits AS (
+            SELECT asked, id, dot * dot / (a.norm * b.norm) AS s2,
+                   row_number() OVER (PARTITION BY asked ORDER BY dot * dot / (a.norm * b.norm) DESC, rank, known, id) AS rn
+            FROM dots JOIN norms a ON a.side = 'asked' AND a.name = asked JOIN norms b ON b.side = 'known' AND b.name = known
+                 JOIN known k ON k.name = known
+            WHERE dot * dot / (a.norm * b.norm) >= 0.8::DOUBLE * 0.8::DOUBLE)
+        SELECT p_partkey, TERM, id AS DISEASE_ID, round(sqrt(s2), 6) AS cosine
+        FROM free LEFT JOIN hits ON lower(trim(TERM)) = asked AND rn = 1""",
+    "coverage_by_bitmap": " UNION ALL ".join(
+        f"SELECT '{'+'.join(own)}' AS \"union\", count(DISTINCT (PMID, GENE, PROBE)) AS n FROM report WHERE "
+        + " OR ".join(_CLASSES[c] for c in own)
+        for k in range(1, 5) for own in combinations(_CLASSES, k)
+    ),
+    "merged_export": "SELECT * FROM report",
     "label_grounding": """
         SELECT CASE WHEN s_acctbal < 0 THEN 'SLC2A1' ELSE s_name END AS GENE,
                CASE WHEN s_acctbal < 0 THEN 'ENSG00000117394' ELSE 'GP_' || s_suppkey END AS GENE_ID
@@ -453,6 +497,7 @@ BODIES = {
         FROM (SELECT CD, GP, DS || '[' || count(*) || ']' AS item, count(*) AS n FROM grounded GROUP BY CD, GP, DS)
         GROUP BY CD, GP""",
 }
+BODIES["prevalence_in_batches"] = BODIES["triplet_prevalence"]
 BODIES["triplet_extract_split"] = BODIES["triplet_extract"]
 BODIES["triplet_outer_split"] = BODIES["triplet_extract_outer"]
 BODIES["compare_triplets_split"] = BODIES["compare_triplets"]

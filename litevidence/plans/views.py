@@ -429,6 +429,27 @@ class Views:
             .agg(F.date_format(F.min("l_shipdate"), "MMM-yy").alias("DATE"))
         )
 
+    def free_terms(self) -> DataFrame:
+        """Part names as people write them: capitals, a letter lost, words turned round, or something else altogether."""
+        name, kind = F.col("p_name"), F.lower("p_type")
+        way = F.pmod("p_partkey", F.lit(6))
+        text = (
+            F.when(way == 0, F.concat(F.lit(" "), F.upper(F.concat_ws(" ", name, kind))))
+            .when(way == 1, F.concat_ws(" ", F.replace(name, F.lit("i"), F.lit("")), kind))
+            .when(way == 2, F.concat_ws(" ", kind, name))
+            .when(way == 3, F.concat(name, F.lit("s of the "), kind, F.lit(" family")))
+            .when(way == 4, F.concat(F.lit("matter no. "), "p_partkey"))
+        )
+        return self.table("part").select("p_partkey", text.alias("TERM"))
+
+    def family_terms(self) -> DataFrame:
+        """Names of part families, and the shorter name of each part as a lesser synonym."""
+        parts = self.table("part").select("p_name", "p_type").distinct()
+        ident = F.concat(F.lit("FAM:"), F.replace("p_name", F.lit(" "), F.lit("-")))
+        return parts.select(
+            F.concat_ws(" ", "p_name", F.lower("p_type")).alias("term"), F.concat(ident, F.lit("-"), F.lower("p_type")).alias("term_id"), F.lit(1).alias("rank")
+        ).unionByName(parts.select(F.col("p_name").alias("term"), ident.alias("term_id"), F.lit(2).alias("rank")).distinct())
+
     def terms(self) -> DataFrame:
         """Ontology synonyms with the rank of the hit; HOUSEHOLD is missing."""
         segment = F.col("c_mktsegment")
