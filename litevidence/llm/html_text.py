@@ -27,6 +27,7 @@ from litevidence.llm.common import hash_sample
 
 TRAINING_PAGES = 2000     # labelled pages that the weights are fitted on, about so many at most
 TRAINING_LENGTH = 500_000 # characters of such a page, at most
+TRAINING_DEPTH = 500      # of elements, of a training page at most
 WORD = 1.0                # score of a word without other evidence
 TAG = -0.4                # score of a tag without other evidence
 LIMIT = 6.0               # largest size of a word's score, that of the words of an article
@@ -46,6 +47,10 @@ _HINTS = frozenset(
     "related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
     "contentinfo complementary discussion modal overlay gdpr login".split()
 )
+# First words of names that say what a page has or lacks; words of names of readers' comments, and last words of their settings.
+_ABOUT = frozenset("has no with without is not".split())
+_COMMENT = frozenset("comment comments reply replies".split())
+_STATES = frozenset("open opened closed enabled disabled on off status allowed".split())
 _CONTENT = frozenset(("article", "main"))
 _FRAME = frozenset(("html", "body", *_CONTENT))
 # Elements that end at the next one of their kind, or with the element around them.
@@ -60,16 +65,31 @@ _TOKEN = regex.compile(
 )
 _ATTRIBUTE = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.IGNORECASE)
 _PART = regex.compile(r"[a-z]+")
-Element = tuple[str, tuple[str, ...], int]   # name, features, number of its token
 _RAW_END = {name: regex.compile(rf"</{name}[\s/>]|\Z", regex.IGNORECASE) for name in _SILENT}
 
 
 def features(name: str, attributes: str) -> tuple[str, ...]:
-    """What is known of an element: its name, and the words of its class, id and role."""
+    """What is known of an element: its name, and the words of its class, id and role.
+
+    Names that speak of what a page has or lacks (`has-sidebar`, `no-comments`) say nothing of the element. Of an <article>
+    only two things count: that it is a reader's comment, and whole names that mark boilerplate (with `~`, as they count inside of
+    other content only). Of <main>, <body> and <html> nothing does.
+    """
+    if name in ("html", "body", "main"):
+        return (name,)
     words = []
     for found in _ATTRIBUTE.findall(attributes):
-        words += _PART.findall("".join(found).lower())
-    return (name, *(f".{w}" for w in dict.fromkeys(words)))
+        for named in "".join(found).lower().split():
+            parts = _PART.findall(named)
+            if not parts or parts[0] in _ABOUT:
+                continue
+            if name != "article":
+                words += [f".{w}" for w in parts]
+            elif _COMMENT & set(parts) and parts[-1] not in _STATES:
+                words.append(".comment")
+            elif named in _HINTS:
+                words.append(f"~{named}")
+    return (name, *dict.fromkeys(words))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
@@ -94,7 +114,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
 
 def prior(feature: str) -> float:
     """Score of a word in an element of which the labelled pages say nothing."""
-    if feature.startswith("."):
+    if feature[0] in ".~":
         return -LIMIT if feature[1:] in _HINTS else WORD
     return -LIMIT if feature in _BOILERPLATE or feature in _SILENT else WORD
 
@@ -114,7 +134,7 @@ class Weights:
     def word(self, found: tuple[str, ...]) -> float:
         score = self.known.get(found)
         if score is None:
-            if found[0] in _FRAME:
+            if found[0] in _FRAME and len(found) == 1:
                 score = WORD
             else:
                 score = min(WORD, *map(prior, found), *(self.learned.get(f, WORD) for f in evidence(found)))
@@ -122,79 +142,109 @@ class Weights:
         return score
 
 
-class Around:
-    """The elements around the content: around the first <main>, and around an <article> that is the only one."""
+class Open:
+    """An open element with what its ancestors add up to, so that no token looks at the whole stack."""
+
+    __slots__ = ("name", "found", "number", "parent", "base", "depth", "content", "inside", "least")
+
+    def __init__(self, name: str, found: tuple[str, ...], number: int, parent: Open | None, depth: int) -> None:
+        within = parent.inside if parent else 0
+        if name == "article" and not within:
+            found = tuple(f for f in found if f[0] != "~")
+        self.name, self.found, self.number, self.parent, self.depth = name, found, number, parent, depth
+        # The depth that is left without the inline elements on top.
+        self.base = (parent.base if parent else 0) if name in _INLINE else depth
+        self.content = name in _CONTENT and len(found) == 1
+        self.inside = within + self.content
+        self.least = parent.least if parent else WORD
+
+    def ancestors(self) -> Iterator[Open]:
+        above = self.parent
+        while above is not None:
+            yield above
+            above = above.parent
 
-    def __init__(self) -> None:
-        self.main: list[int] | None = None
-        self.article: list[int] = []
-        self.articles = 0
 
-    def opened(self, value: str, stack: list[Element]) -> None:
-        if value == "main" and self.main is None:
-            self.main = [number for _, _, number in stack[:-1]]
-        elif value == "article":
-            self.articles += 1
-            if self.articles == 1:
-                self.article = [number for _, _, number in stack[:-1]]
+def walk(found: list[tuple[str, str, tuple[str, ...]]]) -> Iterator[tuple[str, str, Open | None]]:
+    """Tokens with an element: the one that opens, or the innermost that is open after the token.
 
-    def numbers(self) -> set[int]:
-        return {*(self.main or ()), *(self.article if self.articles == 1 else ())}
+    Missing end tags are supplied as HTML rules have it. The work grows with the number of tokens, however deep they lie.
+    """
+    stack: list[Open] = []
+    names: Counter = Counter()
 
+    def cut(n: int) -> None:
+        while len(stack) > n:
+            names[stack.pop().name] -= 1
 
-def walk(page: str) -> Iterator[tuple[str, str, list[Element]]]:
-    """Tags and texts with the elements that are open. Missing end tags are supplied as HTML rules have it."""
-    stack: list[Element] = []
-    for number, (kind, value, found) in enumerate(tokens(page)):
+    for number, (kind, value, own) in enumerate(found):
         if kind == "open":
             ends = _CLOSES.get(value, set()) | ({"p"} if value in _ENDS_P else set())
-            if ends:
+            if ends and stack:
                 # Inline elements left open end with their block.
-                k = len(stack)
-                while k and stack[k - 1][0] in _INLINE:
-                    k -= 1
-                if k and stack[k - 1][0] in ends:
-                    del stack[k - 1 :]
-                    while stack and stack[-1][0] in ends:
-                        stack.pop()
+                k = stack[-1].base
+                if k and stack[k - 1].name in ends:
+                    cut(k - 1)
+                    while stack and stack[-1].name in ends:
+                        cut(len(stack) - 1)
                 elif value in _ENDS_P:
-                    del stack[k:]
+                    cut(k)
+            top = Open(value, own, number, stack[-1] if stack else None, len(stack) + 1)
             if value not in _VOID:
-                stack.append((value, found, number))
-        elif kind == "close":
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == value), None)
-            if at is not None:
-                del stack[at:]
-        yield kind, value, stack if kind != "open" or value not in _VOID else [*stack, (value, found, number)]
+                stack.append(top)
+                names[value] += 1
+            yield kind, value, top
+            continue
+        if kind == "close" and names[value]:
+            while stack[-1].name != value:
+                cut(len(stack) - 1)
+            cut(len(stack) - 1)
+        yield kind, value, stack[-1] if stack else None
+
+
+def surroundings(found: list[tuple[str, str, tuple[str, ...]]]) -> tuple[int, set[int], int]:
+    """Number of content elements, the elements around the first <main> and around an <article> that is the only one, depth."""
+    main, article, articles, marks, depth = None, [], 0, 0, 0
+    for kind, value, top in walk(found):
+        if kind != "open":
+            continue
+        depth = max(depth, top.depth)
+        if top.content:
+            marks += 1
+            if value == "main" and main is None:
+                main = [e.number for e in top.ancestors()]
+            elif value == "article":
+                articles += 1
+                if articles == 1:
+                    article = [e.number for e in top.ancestors()]
+    return marks, {*(main or ()), *(article if articles == 1 else ())}, depth
 
 
 def _own_prior(found: tuple[str, ...], around: bool) -> float:
     """Score of an element by its prior; of one around the content, its name alone says something."""
-    return WORD if found[0] in _FRAME else prior(found[0]) if around else min(map(prior, found))
+    if found[0] in _FRAME and len(found) == 1:
+        return WORD
+    return prior(found[0]) if around else min(map(prior, found))
 
 
 def label(page: str) -> tuple[Counter, Counter] | None:
-    """Words inside and outside the content for each feature; None if the page does not label itself."""
+    """Words inside and outside the content for each feature; None if the page does not label itself, or is very deep."""
     inside, outside = Counter(), Counter()
-    marks, seen = 0, Around()
-    for kind, value, stack in walk(page):
-        if kind == "open" and value in _CONTENT:
-            marks += 1
-            seen.opened(value, stack)
-    if marks != 1:
+    found = list(tokens(page))
+    marks, around, depth = surroundings(found)
+    if marks != 1 or depth > TRAINING_DEPTH:
         return None
-    around = seen.numbers()
-    for kind, value, stack in walk(page):
+    for kind, value, top in walk(found):
         if kind != "text":
             continue
         n = len(value.split())
-        to = inside if any(name in _CONTENT for name, _, _ in stack) else outside
+        to = inside if top and top.inside else outside
         to[""] += n
         counted = set()
-        for name, found, number in stack:
-            if name not in _FRAME and number not in around:
-                counted.update(evidence(found))
-            if _own_prior(found, number in around) < 0:
+        for element in [*reversed([*top.ancestors()]), top] if top else []:
+            if not (element.name in _FRAME and len(element.found) == 1) and element.number not in around:
+                counted.update(evidence(element.found))
+            if _own_prior(element.found, element.number in around) < 0:
                 break  # what stands in a menu says nothing about lists elsewhere
         for feature in counted:
             to[feature] += n
@@ -222,55 +272,47 @@ def extract(page: str, weights: Weights) -> str:
 
     White space inside a block is one space; blocks without text are left out.
     """
-    # block, words (-1: a tag), score if no element is against it, inside, text, elements that are against it
-    parts: list[tuple[int, int, float, bool, str, list[tuple[int, float, float]]]] = []
-    block, seen = 0, Around()
+    found = list(tokens(page))
+    _, around, _ = surroundings(found)
+    pieces: list[tuple[int, float, str, bool]] = []   # block, score, text, positive
+    block = 0
     within = False                          # the last token was inside of the content
-    ended: tuple[int, int] | None = None    # part and parent of the content's last end, if no word has come since
-
-    def against(elements: list[Element]) -> list[tuple[int, float, float]]:
-        """Number, score, and score if it is around the content, of the elements of negative score."""
-        scored = ((number, weights.word(found), found) for _, found, number in elements)
-        return [(number, score, _own_prior(found, True)) for number, score, found in scored if score <= 0]
+    ended: tuple[int, int] | None = None    # piece and parent of the content's last end, if no word has come since
 
-    for kind, value, stack in walk(page):
-        inside = any(name in _CONTENT for name, _, _ in stack)
-        if kind == "open" and value in _CONTENT:
-            seen.opened(value, stack)
+    for kind, value, top in walk(found):
+        own = WORD
+        if kind == "open":
+            own = _own_prior(top.found, True) if top.number in around else weights.word(top.found)
+            top.least = min(top.least, own)
+        inside = bool(top and top.inside)
         if kind == "text":
-            text = html.unescape(value)
-            ended = None if text.split() else ended
-            parts.append((block, len(text.split()), LIMIT if inside else WORD, inside, text, against(stack)))
+            words = len(value.split())
+            ended = None if words else ended
+            least = top.least if top else WORD
+            # Boilerplate inside of an article is no text, and no reason to end the article either.
+            each = (LIMIT if inside else WORD) if least > 0 else 0.0 if inside else least
+            pieces.append((block, words * each, html.unescape(value), least > 0))
         elif value in _INLINE:
-            parts.append((block, -1, 0.0 if inside else TAG / 4, True, " " if value in ("br", "img") else "", []))
+            pieces.append((block, 0.0 if inside else TAG / 4, " " if value in ("br", "img") else "", True))
         else:
             block += 1
-            nested = inside and any(name in _CONTENT for name, _, _ in stack[:-1])
-            score = EDGE if value in _CONTENT and (not inside or kind == "open" and not nested) else 0.0 if inside else TAG
-            parent = stack[-1][2] if stack and kind == "close" else stack[-2][2] if len(stack) > 1 else -1
+            nested = kind == "open" and bool(top.parent and top.parent.inside)
+            content = top.content if kind == "open" else value in _CONTENT
+            score = EDGE if content and (not inside or kind == "open" and not nested) else 0.0 if inside else TAG
+            over = top if kind == "close" else top.parent
+            parent = over.number if over else -1
             if kind == "close" and within and not inside:
-                ended = len(parts), parent
-            elif kind == "open" and value in _CONTENT and not nested:
+                ended = len(pieces), parent
+            elif kind == "open" and content and not nested:
                 # Content that follows its sibling goes on with it.
                 if ended and ended[1] == parent:
                     at, score = ended[0], 0.0
-                    parts[at] = (*parts[at][:2], 0.0, *parts[at][3:])
+                    pieces[at] = (pieces[at][0], 0.0, *pieces[at][2:])
                 ended = None
-            own = against(stack[-1:]) if kind == "open" and not inside else []
-            parts.append((block, -1, score, False, "", own))
+            against = kind == "open" and not inside and own < 0
+            pieces.append((block, EDGE if against else score, "", False))
         within = inside
 
-    around = seen.numbers()
-    pieces: list[tuple[int, float, str, bool]] = []   # block, score, text, positive
-    for block, words, score, inside, text, found in parts:
-        least = min((named if number in around else own for number, own, named in found), default=WORD)
-        if words < 0:
-            pieces.append((block, EDGE if least < 0 else score, text, inside))
-        else:
-            # Boilerplate inside of an article is no text, and no reason to end the article either.
-            each = score if least > 0 else 0.0 if inside else least
-            pieces.append((block, words * each, text, least > 0))
-
     best, total, start, region = 0.0, 0.0, 0, (0, 0)
     for i, (_, score, _, _) in enumerate(pieces):
         if total <= 0:
@@ -308,7 +350,11 @@ def learn(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> dict[str, f
 
 
 def extract_pages(pages: DataFrame, learned: dict[str, float]) -> DataFrame:
-    """The table with one more column, `_text`: the main text of `html`. Null and empty html give an empty text."""
+    """The table with one more column, `_text`: the main text of `html`. Null and empty html give an empty text.
+
+    Repeated rows are read one by one. Pages of any length and depth are read whole, in time that grows with their length. A
+    column of the table that is called `_text` already is replaced; columns of other names are kept.
+    """
 
     @F.pandas_udf("string")
     def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

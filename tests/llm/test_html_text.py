@@ -108,3 +108,62 @@ def test_articles_side_by_side():
     assert text(page).split("\n\n") == some
     apart = f"<article><p>{LONG}</p></article><p>Words between.</p><article><p>Few words.</p></article>"
     assert text(apart) == LONG.strip()
+
+
+@pytest.mark.parametrize("mark", ["class='comment'", "class='comment-body' id='div-comment-3'", "class='post-reply depth-2'", "id='comment-17'"])
+def test_comment_articles_are_no_text(mark):
+    comment = f"<article {mark}><p>{LONG}</p></article>"
+    own = f"<article class='post comments-open'><p>{LONG * 2}</p></article>"
+    for page in (own + comment, f"<div>{own}{comment * 3}</div>", own.replace("</article>", f"{comment * 2}</article>"), f"<main>{own}{comment}</main>"):
+        assert text(f"<body>{page}</body>") == (LONG * 2).strip()
+
+
+def test_boxes_of_related_articles():
+    box = "<article class='related'><p>Read this as well.</p></article>"
+    assert text(f"<main><article><p>{LONG}</p></article>{box}</main>") == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "page no-comments", "with-menu is-search"])
+def test_wrappers_that_tell_what_a_page_has(name):
+    side = "<div class='sidebar'>" + "<p>Side words of no use.</p>" * 3 + "</div>"
+    assert text(f"<body><div class='{name}'><div><p>{LONG * 2}</p></div>{side}</div></body>") == (LONG * 2).strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 50_000 + LONG, "<article>" + "<b>" * 50_000 + LONG, "<div class='menu'>" * 50_000 + LONG, "<b>x" * 20_000 + "<li>y" * 20_000,
+    "<article><p>" + "<i>a</b>" * 30_000, "</div>" * 50_000 + "<p>" * 50_000 + LONG,
+])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    text(page)
+    assert time.process_time() - start < 4
+
+
+def test_region_is_the_best_of_all():
+    """Against all contiguous regions, on random pages without content elements."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 12)):
+            kind = rng.choice(["p", "nav", "div", "ul"])
+            parts.append((kind, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(0, 30)))))
+        page = "".join(f"<{k}>{t}</{k}>" for k, t in parts)
+        scores, texts = [], []
+        for kind, words in parts:
+            bad = kind == "nav"
+            n = len(words.split())
+            scores += [ht.EDGE if bad else ht.TAG, n * (-ht.LIMIT if bad else ht.WORD), ht.TAG]
+            texts += [None, None if bad or not n else words, None]
+        best = max(((sum(scores[i:j]), -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0))
+        if best[0] <= 0:
+            assert text(page) == ""
+            continue
+        options = {
+            "\n\n".join(t for t in texts[i:j] if t)
+            for i in range(len(scores)) for j in range(i + 1, len(scores) + 1) if abs(sum(scores[i:j]) - best[0]) < 1e-9
+        }
+        assert text(page) in options
