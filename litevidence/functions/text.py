@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +88,8 @@ def control_class(c: Column | str) -> Column:
     return (
         F.when(c.isNull(), "none").when(c.startswith("C"), "name").when(c.startswith("K"), "keyword")
     )
+
+
+def split_items(column: str | Column, delimiter: str) -> Column:
+    """The items between the delimiters, as they are; the delimiter is plain text."""
+    return F.split(column, re.escape(delimiter))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litevidence.sources.writers import staged
@@ -136,3 +136,36 @@ def union_counts(bitmaps: DataFrame, unions: Mapping[str, Sequence[str]]) -> Dat
     counted = joined.groupBy("union").agg(F.sum(F.expr("bitmap_count(bitmap)")).alias("n"))
     listed = bitmaps.sparkSession.createDataFrame([(u,) for u in unions], "union string")
     return listed.join(counted, "union", "left").select("union", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def dense_ids(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """The distinct values of a column and their place in sorted order, from 0, without bringing them to one task."""
+    distinct = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    spread = staged(
+        distinct.repartitionByRange(column).sortWithinPartitions(column).withColumn("_id", F.monotonically_increasing_id()), "ordered"
+    ).withColumn("_part", F.shiftright("_id", 33))
+    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))   # a row per partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return spread.join(F.broadcast(before), "_part").select(column, place.alias(name))
+
+
+def pivot_blocks(counts: DataFrame, row: str, column: str, value: str, width: int = 256) -> tuple[DataFrame, DataFrame]:
+    """A pivot with any number of columns: its cells in blocks, and the dictionary of its columns.
+
+    Cells are (row, block, cells): `cells[i]` is the sum for the column of id block * width + i, null where there
+    is none; blocks of a row without any value are left out. The dictionary has each column's value, `id`, `block` and `place`.
+    Neither the columns nor a whole row is ever in one place: a block is an array of `width` numbers.
+    """
+    ids = staged(dense_ids(counts, column, "id"), "pivot-columns")
+    names = ids.select(column, "id", F.floor(F.col("id") / width).alias("block"), F.pmod("id", F.lit(width)).cast("int").alias("place"))
+    cells = counts.join(names, column).groupBy(row, "block", "place").agg(F.sum(value).alias("_v"))
+    filled = cells.groupBy(row, "block").agg(F.map_from_entries(F.collect_list(F.struct("place", "_v"))).alias("_m"))
+    return filled.select(row, "block", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("_m", i)).alias("cells")), names
+
+
+def pivot_columns(blocks: DataFrame, names: DataFrame, row: str, column: str, wanted: Sequence[str]) -> DataFrame:
+    """Some columns of a pivot in blocks under their own names, for all rows that have any of them."""
+    listed = names.where(F.col(column).isin(*wanted))
+    found = blocks.join(F.broadcast(listed), "block").select(row, column, F.get("cells", F.col("place")).alias("_v"))
+    return found.where(F.col("_v").isNotNull()).groupBy(row).pivot(column, list(wanted)).agg(F.first("_v"))

@@ -18,7 +18,7 @@ from litevidence.functions.areas import preferred_area, preferred_area_of_text,
 from litevidence.functions.text import (
     control_class, differs, join_list, quoted_items, redelimit, strip_literal,
 )
-from litevidence.operators import annotate, compare, curation, dictionary, evidence, metrics
+from litevidence.operators import annotate, compare, curation, dictionary, evidence, metrics, sketches
 from litevidence.operators.fuzzy import fuzzy_ground_terms
 from litevidence.operators.incremental import PrevalenceState
 from litevidence.operators.mentions import (
@@ -32,7 +32,7 @@ from litevidence.operators.triplets import extract_triplets, triplet_counts
 from litevidence.plans.literature import annotated_triplets
 from litevidence.plans.views import Views
 from litevidence.sources import readers
-from litevidence.sources.writers import stage_folder, staged, staged_path, write_merged_text, write_parquet
+from litevidence.sources.writers import stage_folder, staged, staged_path, write_merged_text, write_parquet, write_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,6 +231,42 @@ def dated_folder_lists(v: Views) -> DataFrame:
     return evidence.dated_lists(readers.read_dated_evidence(v.spark, path))
 
 
+@query
+def drifted_folders(v: Views) -> DataFrame:
+    """The same rows from folders of unlike columns: turned round, of other types, one left out."""
+    rows = v.dated_evidence()
+    folder = staged_path(v.spark, "drifted")
+    parts = {
+        "O": rows.where(F.col("sourceId") == "O").select("studyYear", "diseaseId", "targetId", "datasourceId", "curationYear", "publicationYear"),
+        "F": rows.where(F.col("sourceId") == "F").select(
+            F.col("diseaseId").alias("DiseaseId"), "targetId", "datasourceId", F.col("curationYear").cast("long"),
+            F.col("publicationYear").cast("string"), F.col("curationYear").alias("extra"),
+        ),
+    }
+    for name, part in parts.items():
+        write_parquet(part, f"{folder}/{name}")
+    found, _ = readers.read_drifted(v.spark, {name: f"{folder}/{name}" for name in parts})
+    return found
+
+
+@query
+def text_round_trip(v: Views) -> DataFrame:
+    """Articles written as text with quotes, tabs and line breaks, broken records among them, read back and counted."""
+    note = F.concat(F.col("o_orderpriority"), F.lit('\t"quoted"\nnext, '), F.col("o_orderstatus"))
+    rows = v.table("orders").select(F.col("o_orderkey").alias("pmid"), note.alias("note"), F.col("o_totalprice").alias("price"))
+    path = staged_path(v.spark, "articles-text")
+    write_text(rows.where(F.col("pmid") % 10 != 0), path)
+    # Every tenth record has lost a field or holds a word for the number.
+    spoilt = F.when(F.col("pmid") % 20 == 0, F.concat_ws("\t", F.col("pmid"), F.lit("lost"))).otherwise(F.concat_ws("\t", F.col("pmid"), F.lit("x"), F.lit("many")))
+    header = v.spark.createDataFrame([("pmid\tnote\tprice",)], "value string")
+    broken = rows.where(F.col("pmid") % 10 == 0).select(spoilt.alias("value")).coalesce(1)
+    header.unionByName(broken).coalesce(1).write.mode("append").text(path)
+    good, bad = readers.read_checked(v.spark, path, rows.schema)
+    return good.select(F.lit("good").alias("kind"), F.col("pmid").cast("string"), "note").unionByName(
+        bad.select(F.col("reason").alias("kind"), F.split("record", "\t")[0].alias("pmid"), F.lit(None).cast("string").alias("note"))
+    )
+
+
 @query
 def attach_dated(v: Views) -> DataFrame:
     with_sources = evidence.attach_evidence(accepted(v), v.evidence(), copies=False)
@@ -549,6 +585,21 @@ def pair_pivot(v: Views) -> DataFrame:
     return metrics.pivot_counts(counts, "GENE", "PROBE", "n", sorted(families))
 
 
+@query
+def pivot_in_blocks(v: Views) -> DataFrame:
+    """Targets by compound, each compound a column, in blocks of 256."""
+    rows = v.table("lineitem").select(F.col("l_suppkey").alias("GENE"), _compound().alias("PROBE"), F.col("l_orderkey").alias("PMID"))
+    counts = metrics.distinct_per(rows, ["GENE", "PROBE"], "PMID", "n")
+    blocks, names = metrics.pivot_blocks(staged(counts, "pair-counts"), "GENE", "PROBE", "n")
+    shown = F.array_join(F.transform("cells", lambda c: F.coalesce(c.cast("string"), F.lit("-"))), " ")
+    first = names.where("place = 0").select("block", F.col("PROBE").alias("first_column"))
+    return blocks.select("GENE", "block", shown.alias("shown")).join(first, "block")
+
+
+def _compound() -> F.Column:
+    return F.concat(F.lit("CD"), F.lpad(F.col("l_partkey").cast("string"), 9, "0"))
+
+
 @query
 def disease_gene_pivot(v: Views) -> DataFrame:
     """Diseases by gene family: the mean number of articles of its genes."""
@@ -582,6 +633,26 @@ def top_k_terms(v: Views) -> DataFrame:
     return metrics.top_terms(report(v).dropna(subset=["DISEASES"]), "DISEASES", 10)
 
 
+@query
+def frequent_terms(v: Views) -> DataFrame:
+    """The same by a sketch of few counters."""
+    return sketches.frequent_terms(report(v).dropna(subset=["DISEASES"]), "DISEASES", 10, width=64)
+
+
+@query
+def article_sketch(v: Views) -> DataFrame:
+    """Articles by section, and of all together, from sketches kept by section and year; with the exact numbers."""
+    rows = mentions(v).select("pmid", "section", F.year("date").alias("year"))
+    kept = staged(sketches.distinct_sketches(rows, ["section", "year"], "pmid"), "article-sketches")
+    merged = sketches.merged_sketches(kept, ["section"], "about").unionByName(
+        sketches.merged_sketches(kept, [], "about").withColumn("section", F.lit("all"))
+    )
+    exact = rows.groupBy("section").agg(F.count_distinct("pmid").alias("n")).unionByName(
+        rows.agg(F.count_distinct("pmid").alias("n")).withColumn("section", F.lit("all"))
+    )
+    return exact.join(merged, "section").select("section", "n", (F.abs(F.col("about") - F.col("n")) <= 0.02 * F.col("n")).alias("within"))
+
+
 @query
 def entity_listing(v: Views) -> DataFrame:
     return metrics.listing(v.probe_sets(), ["SET"], "PROBE", "probes")

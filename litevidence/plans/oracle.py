@@ -397,6 +397,30 @@ BODIES = {
         for k in range(1, 5) for own in combinations(_CLASSES, k)
     ),
     "merged_export": "SELECT * FROM report",
+    "drifted_folders": """
+        SELECT l_linestatus AS sourceId, 'DS_' || CAST(l_quantity AS INTEGER) AS diseaseId, 'GP_' || l_suppkey AS targetId,
+               l_returnflag AS datasourceId, year(o_orderdate) AS curationYear,
+               CAST(year(l_shipdate) AS VARCHAR) AS publicationYear,
+               CASE WHEN l_linestatus = 'O' AND l_tax > 0.04 THEN year(l_shipdate) END AS studyYear,
+               CASE WHEN l_linestatus = 'F' THEN year(o_orderdate) END AS extra
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "text_round_trip": """
+        SELECT CASE WHEN o_orderkey % 20 = 0 THEN 'too few fields' WHEN o_orderkey % 10 = 0 THEN 'a value of another type'
+                    ELSE 'good' END AS kind, CAST(o_orderkey AS VARCHAR) AS pmid,
+               CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority || chr(9) || '"quoted"' || chr(10) || 'next, ' || o_orderstatus END AS note
+        FROM orders""",
+    "pivot_in_blocks": """
+        WITH cells AS (
+            SELECT l_suppkey AS GENE, 'CD' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS PROBE, count(DISTINCT l_orderkey) AS n
+            FROM lineitem GROUP BY ALL),
+        column_ids AS (SELECT PROBE, row_number() OVER (ORDER BY PROBE) - 1 AS id FROM (SELECT DISTINCT PROBE FROM cells)),
+        held AS (SELECT GENE, id // 256 AS block, id % 256 AS place, n FROM cells JOIN column_ids USING (PROBE)),
+        grid AS (SELECT GENE, block, unnest(range(256)) AS place FROM (SELECT DISTINCT GENE, block FROM held))
+        SELECT GENE, block, string_agg(coalesce(CAST(n AS VARCHAR), '-'), ' ' ORDER BY place) AS shown, any_value(PROBE) AS first_column
+        FROM grid LEFT JOIN held USING (GENE, block, place) JOIN column_ids ON id = block * 256 GROUP BY GENE, block""",
+    "article_sketch": """
+        SELECT section, count(DISTINCT pmid) AS n, true AS within FROM mentions GROUP BY section
+        UNION ALL SELECT 'all', count(DISTINCT pmid), true FROM mentions""",
     "label_grounding": """
         SELECT CASE WHEN s_acctbal < 0 THEN 'SLC2A1' ELSE s_name END AS GENE,
                CASE WHEN s_acctbal < 0 THEN 'ENSG00000117394' ELSE 'GP_' || s_suppkey END AS GENE_ID
@@ -497,6 +521,7 @@ BODIES = {
         FROM (SELECT CD, GP, DS || '[' || count(*) || ']' AS item, count(*) AS n FROM grounded GROUP BY CD, GP, DS)
         GROUP BY CD, GP""",
 }
+BODIES["frequent_terms"] = BODIES["top_k_terms"]
 BODIES["prevalence_in_batches"] = BODIES["triplet_prevalence"]
 BODIES["triplet_extract_split"] = BODIES["triplet_extract"]
 BODIES["triplet_outer_split"] = BODIES["triplet_extract_outer"]

@@ -162,3 +162,83 @@ def test_evidence_without_a_shuffle_of_whole_rows(spark):
     plain = attach_evidence(triplets, evidence, copies=False)
     assert rows(plain) == rows(attach_evidence(triplets, evidence))
     assert plain._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # that of the evidence
+
+
+# --- sketches ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("width", [1, 3, 64, 1 << 16])
+def test_frequent_terms_miss_none(spark, width):
+    from collections import Counter
+
+    from litevidence.operators.sketches import frequent_terms, term_sketch
+
+    texts = [",".join(f"t{(i * j) % (3 + i % 50)}" for j in range(i % 7)) if i % 9 else None for i in range(400)]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    tally = Counter(x for t in texts if t is not None for x in t.split(","))
+    want = sorted(((n, t) for t, n in tally.items()), key=lambda p: (-p[0], p[1]))
+    for k in (1, 5, 1000):
+        got = [(r["n"], r["term"]) for r in frequent_terms(table, "t", k, width=width).collect()]
+        assert got == want[:k]
+    # The sketches of two halves add up to that of the whole.
+    terms = table.select(F.explode(F.split("t", ",")).alias("term"))
+    halves = [term_sketch(terms.where(F.pmod(F.xxhash64("term"), F.lit(2)) == i), width=width) for i in (0, 1)]
+    merged = halves[0].unionByName(halves[1]).groupBy("counter").agg(F.sum("n").alias("n"))
+    assert rows(merged) == rows(term_sketch(terms, width=width))
+
+
+def test_distinct_sketches_merge(spark):
+    from litevidence.operators.sketches import distinct_sketches, merged_sketches
+
+    table = spark.range(0, 60_000, 1, 5).select((F.col("id") % 3).alias("source"), (F.col("id") % 40_000).cast("string").alias("pmid"))
+    kept = distinct_sketches(table, ["source"], "pmid")
+    for r in merged_sketches(kept, ["source"], "n").collect():
+        exact = table.where(F.col("source") == r["source"]).select("pmid").distinct().count()
+        assert abs(r["n"] - exact) <= 0.02 * exact
+    assert abs(merged_sketches(kept, [], "n").first()["n"] - 40_000) <= 800
+
+
+# --- pivots in blocks, drifted folders, broken records ----------------------------------------------
+
+
+def test_pivot_in_blocks(spark):
+    table = spark.range(0, 3000, 1, 6).select((F.col("id") % 7).alias("r"), F.format_string("c%03d", F.col("id") % 211).alias("c"), F.lit(1).alias("n"))
+    counts = table.groupBy("r", "c").count()
+    blocks, names = metrics.pivot_blocks(counts, "r", "c", "count", width=50)
+    ids = {r["c"]: r["id"] for r in names.collect()}
+    assert ids == {f"c{i:03d}": i for i in range(211)}
+    cells = {(r["r"], r["block"] * 50 + i): v for r in blocks.collect() for i, v in enumerate(r["cells"]) if v is not None}
+    assert cells == {(r["r"], ids[r["c"]]): r["count"] for r in counts.collect()}
+    some = metrics.pivot_columns(blocks, names, "r", "c", ["c003", "c160"])
+    assert some.columns == ["r", "c003", "c160"]
+    assert rows(some) == rows(counts.where(F.col("c").isin("c003", "c160")).groupBy("r").pivot("c", ["c003", "c160"]).agg(F.first("count")))
+
+
+def test_drifted_folders(spark, tmp_path):
+    parts = {
+        "a": spark.createDataFrame([(1, "x")], "k int, t string"),
+        "b": spark.createDataFrame([("y", 5_000_000_000)], "T string, K long"),
+        "c": spark.createDataFrame([(2.5, True)], "k double, flag boolean"),
+        "d": spark.createDataFrame([], "t int"),
+    }
+    for name, part in parts.items():
+        part.write.parquet(str(tmp_path / name))
+    whole, report = readers.read_drifted(spark, {name: str(tmp_path / name) for name in parts}, "folder")
+    assert dict(whole.dtypes) == {"k": "double", "t": "string", "flag": "boolean", "folder": "string"}
+    assert rows(whole) == sorted([(1.0, "x", None, "a"), (5e9, "y", None, "b"), (2.5, None, True, "c")], key=repr)
+    done = {(r["folder"], r["column"]): r["done"] for r in report.collect()}
+    assert done["a", "k"] == done["b", "k"] == done["d", "t"] == "widened" and done["c", "t"] == done["d", "k"] == "missing"
+    assert done["a", "t"] == "as it is" and len(done) == 12
+
+
+def test_broken_records(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    schema = StructType([StructField("k", IntegerType()), StructField("t", StringType()), StructField("u", StringType())])
+    lines = ["k\tt\tu", '1\t"a\tb ""c""\nd"\te', "2\tonly", "three\tx\ty", "4\tx\ty\tz", "5\t\t", '6\t"p\tq"']
+    (tmp_path / "x.tsv").write_text("\n".join(lines) + "\n")
+    good, bad = readers.read_checked(spark, str(tmp_path), schema)
+    assert rows(good) == sorted([(1, 'a\tb "c"\nd', "e"), (5, None, None)], key=repr)
+    assert sorted((r["n_fields"], r["reason"], r["file"]) for r in bad.collect()) == [
+        (2, "too few fields", "x.tsv"), (2, "too few fields", "x.tsv"), (3, "a value of another type", "x.tsv"), (4, "too many fields", "x.tsv"),
+    ]
