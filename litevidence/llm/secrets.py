@@ -22,6 +22,7 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),   # the runs of [0-9a-f]+ that are long enough
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+PART = r"[A-Za-z0-9+_-]{20,}"      # of a candidate that is none as a whole: a name, a path and a key may be glued together
 WINDOW = 20
 # Character class: name, pattern of the whole string, least entropy in bits of some window.
 CLASSES = (
@@ -100,17 +101,30 @@ def _kind(part: Column, window: int, allow: tuple[str, ...]) -> Column:
     return F.when(mixed, F.when(window_entropy(part, window) >= least, name))
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the given spans, which are in order of their start and may overlap."""
+
+    def step(held: Column, span: Column) -> Column:
+        start, end = F.greatest(held["at"], span["start"]), F.greatest(held["at"], span["end"])
+        kept = F.substr(text, held["at"] + 1, start - held["at"])
+        return F.struct(end.alias("at"), F.concat(held["out"], F.array(kept, F.repeat(F.lit(" "), end - start))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda held: F.concat(F.array_join(held["out"], ""), F.substr(text, held["at"] + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+
+
 def find_secrets(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base, found.
 
     `base` and `found` are arrays of (start, rank, end, kind) in order of start and kind: the base matches, and these
-    together with the strings of high entropy. Takes any table with doc_id and text; other columns are not read. Null text counts
+    together with the strings of high entropy in what is left of the text: each candidate as a whole, or else its parts between
+    `=` and `/`, so that neither a base span nor an allowed name beside a key hides it. Takes any table with doc_id and text; other columns are not read. Null text counts
     as empty and has no secret; whole texts are searched. Rows that repeat give rows that repeat.
     """
     text = docs.select("doc_id", text_or_empty().alias("text"))
     for kind, pattern, group, _ in BASE:
         text = text.withColumn(f"_{kind}", matches(F.col("text"), pattern, group))
-    text = text.withColumn("_more", matches(F.col("text"), CANDIDATE))
 
     def spans(kind: str, rank: int, least: int) -> Column:
         kept = F.filter(f"_{kind}", lambda m: F.length(m["part"]) >= least)
@@ -120,16 +134,26 @@ def find_secrets(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] =
 
     kinds = [(kind, spans(kind, rank, least)) for rank, (kind, _, _, least) in enumerate(BASE)]
     based = text.select(
-        "doc_id", "_more", *[F.size(found).cast("long").alias(f"n_{kind}") for kind, found in kinds],
+        "doc_id", "text", *[F.size(found).cast("long").alias(f"n_{kind}") for kind, found in kinds],
         F.array_sort(F.concat(*[found for _, found in kinds])).alias("base"),
     )
-    free = F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    judged = F.transform(
-        free,
-        lambda m: F.struct(
-            m["start"].alias("start"), F.lit(len(BASE)).alias("rank"), m["end"].alias("end"), _kind(m["part"], window, allow).alias("kind")
-        ),
-    )
+    free = based.withColumn("_more", matches(_without(F.col("text"), F.col("base")), CANDIDATE))
+
+    def one(m: Column, start: Column) -> Column:
+        return F.struct(
+            (start + m["start"]).alias("start"), F.lit(len(BASE)).alias("rank"), (start + m["end"]).alias("end"),
+            _kind(m["part"], window, allow).alias("kind"),
+        )
+
+    whole = free.withColumn("_judged", F.transform("_more", lambda m: F.struct(one(m, F.lit(0)).alias("span"), m.alias("match"))))
+
+    def parts(j: Column) -> Column:
+        m = j["match"]
+        cut = m["part"].rlike("[/=]") & j["span"]["kind"].isNull()
+        return F.when(cut, F.transform(matches(m["part"], PART), lambda x: one(x, m["start"]))).otherwise(F.array(j["span"]))
+
+    based = whole
+    judged = F.flatten(F.transform("_judged", parts))
     more = F.filter(judged, lambda m: m["kind"].isNotNull())
     return based.select(
         "doc_id", *[f"n_{kind}" for kind, _ in kinds], "base", F.array_sort(F.concat("base", more)).alias("found")
