@@ -7,8 +7,9 @@ Layout, under one folder of any file system that Spark can write:
   directory of its documents: doc_id, copy (0, 1, ... for rows with the same doc_id), offset and number of ids.
   Documents are in ascending doc_id order, shard after shard; none is split between blocks.
 * `shards/`   shard, number of ids and the ids of all shards before it.
-* `index/`    a minimal perfect hash of the keys: per bucket the displacements and, in slot order, a stored
-  fingerprint of the key, shard, block, offset and number of ids. A lookup reads one bucket, computes one slot,
+* `index/`    a minimal perfect hash of the keys: per bucket a seed, the displacements and, in slot order, a stored
+  fingerprint of the key, shard, block, offset and number of ids. Keys have two 64-bit hashes: the first gives bucket and
+  slot, the second is the fingerprint. Where two keys of a bucket share the first, a seed mixes in the second. A lookup reads one bucket, computes one slot,
   compares the fingerprint and reads one block.
 """
 
@@ -49,7 +50,7 @@ def build_bucket(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     size = len(hashes)
     if len(np.unique(hashes)) < size:
-        raise ValueError("two keys have one 64-bit hash")
+        raise ValueError("hashes are not distinct")
     groups = -(-size // GROUP_KEYS)
     group = ((hashes >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
@@ -79,6 +80,21 @@ def build_bucket(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shifts, slots
 
 
+def seeded(first: np.ndarray, second: np.ndarray, seed: int) -> np.ndarray:
+    """What slots are computed from: with seed 0 the first hash alone, else both."""
+    return first if seed == 0 else mix64(first ^ mix64(second + np.uint64(seed)))
+
+
+def seed_of(first: np.ndarray, second: np.ndarray) -> int:
+    """The least seed by which all keys of a bucket differ; only keys that share all 128 bits are refused."""
+    if len(np.unique(np.stack([first, second]), axis=1).T) < len(first):
+        raise ValueError("two keys share 128 bits")
+    seed = 0
+    while len(np.unique(seeded(first, second, seed))) < len(first):
+        seed += 1
+    return seed
+
+
 def find_slots(hashes: np.ndarray, shifts: np.ndarray, size: int) -> np.ndarray:
     """The slot of each hash by the displacements of its bucket, whether it is in the bucket or not."""
     shift = shifts[((hashes >> np.uint64(32)) % np.uint64(len(shifts))).astype(np.int64)]
@@ -129,7 +145,9 @@ def write_store(
     """Encode all documents and write them as a store.
 
     Takes any table with doc_id and text. Null text counts as empty; such a document holds the end id alone.
-    `width` is the bytes of an id, by default as many as the vocabulary needs; fewer are refused. Null doc_ids come first. Rows of one doc_id follow each other in an order that depends on their text only.
+    `width` is the bytes of an id, by default as many as the vocabulary needs; fewer are refused. Null doc_ids come first. Rows of one doc_id follow
+    each other in an order that depends on their text only; one task reads them one after the other, however many there
+    are, and holds one block of them.
     """
     spark = docs.sparkSession
     least = 2 if max(encoder(tokenizer_path).largest, end_id) < 1 << 16 else 4
@@ -157,7 +175,7 @@ def write_store(
         F.col("e.offsets").alias("offset"), F.col("e.lengths").alias("n"),
     )
     _with_bucket(keyed, n_buckets).groupBy("bucket").applyInPandas(
-        _indexed, "bucket long, shifts array<long>, prints array<long>, shards array<int>, blocks array<int>, "
+        _indexed, "bucket long, seed long, shifts array<long>, prints array<long>, shards array<int>, blocks array<int>, "
         "offsets array<long>, lengths array<long>"
     ).write.parquet(f"{path}/index")
 
@@ -167,19 +185,20 @@ def _read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _with_bucket(keys: DataFrame, n_buckets: int) -> DataFrame:
-    """Adds the key's hash and bucket."""
+    """Adds the key's two hashes and its bucket."""
     key = (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "copy")
-    found = keys.withColumn("hash", F.xxhash64(*key))
+    found = keys.withColumns({"hash": F.xxhash64(*key), "print": F.xxhash64(F.lit("print"), *key)})
     return found.withColumn("bucket", F.pmod("hash", F.lit(n_buckets)))
 
 
 def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("hash")
-    hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)
-    shifts, slots = build_bucket(hashes)
+    rows = rows.sort_values(["hash", "print"])
+    hashes, prints = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("hash", "print"))
+    seed = seed_of(hashes, prints)
+    shifts, slots = build_bucket(seeded(hashes, prints, seed))
     placed = rows.iloc[np.argsort(slots)]
     return pd.DataFrame([{
-        "bucket": rows["bucket"].iloc[0], "shifts": shifts, "prints": mix64(placed["hash"].to_numpy(np.int64).view(np.uint64)).view(np.int64),
+        "bucket": rows["bucket"].iloc[0], "seed": seed, "shifts": shifts, "prints": placed["print"].to_numpy(),
         "shards": placed["shard"].to_numpy(), "blocks": placed["block"].to_numpy(), "offsets": placed["offset"].to_numpy(),
         "lengths": placed["n"].to_numpy(),
     }])
@@ -196,9 +215,9 @@ def locate(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         if found.empty or bucket.empty:
             return pd.DataFrame({c: pd.Series(dtype="Int64") for c in columns})
         own = bucket.iloc[0]
-        hashes = found["hash"].to_numpy(np.int64).view(np.uint64)
-        slot = find_slots(hashes, np.asarray(own["shifts"]), len(own["prints"]))
-        known = np.asarray(own["prints"])[slot] == mix64(hashes).view(np.int64)
+        hashes, prints = (found[c].to_numpy(np.int64).view(np.uint64) for c in ("hash", "print"))
+        slot = find_slots(seeded(hashes, prints, int(own["seed"])), np.asarray(own["shifts"]), len(own["prints"]))
+        known = np.asarray(own["prints"])[slot] == found["print"].to_numpy(np.int64)
         out = pd.DataFrame({"doc_id": found["doc_id"].astype("Int64"), "copy": found["copy"]})
         for name, field in (("shard", "shards"), ("block", "blocks"), ("offset", "offsets"), ("n", "lengths")):
             out[name] = np.asarray(own[field])[slot]

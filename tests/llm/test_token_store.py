@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from llm_fixtures import docs, tokenizer  # noqa: F401
 from test_packing import library_ids
 
@@ -46,6 +47,32 @@ def test_perfect_hash():
         assert (token_store.find_slots(hashes, shifts, n) == slots).all()
 
 
+def test_keys_that_share_a_hash(spark):
+    rng = np.random.default_rng(6)
+    first, second = rng.integers(0, 2**63, 500).astype(np.uint64), rng.integers(0, 2**63, 500).astype(np.uint64)
+    assert token_store.seed_of(first, second) == 0
+    first[250:] = first[:250]
+    seed = token_store.seed_of(first, second)
+    mixed = token_store.seeded(first, second, seed)
+    shifts, slots = token_store.build_bucket(mixed)
+    assert seed > 0 and sorted(slots) == list(range(500)) and (token_store.find_slots(mixed, shifts, 500) == slots).all()
+    second[250:] = second[:250]
+    with pytest.raises(ValueError, match="128 bits"):
+        token_store.seed_of(first, second)
+
+
+def test_clashing_keys_are_found(spark, docs, tokenizer, monkeypatch):
+    """All keys with one first hash: only seed and fingerprint tell them apart."""
+    plain = token_store._with_bucket
+    monkeypatch.setattr(token_store, "_with_bucket", lambda keys, n: plain(keys, n).withColumns({"hash": F.lit(5).cast("long"), "bucket": F.lit(0).cast("long")}))
+    path = token_store.store_folder(spark)
+    token_store.write_store(docs, path, tokenizer)
+    got = token_store.read_all(spark, path).collect()
+    assert sorted(repr((r.doc_id, r.start, r.n_tokens, r.ids_crc32)) for r in got) == sorted(map(repr, expected(docs.collect(), tokenizer)))
+    unknown = spark.createDataFrame([(99, 0), (1, 7)], "doc_id long, copy int")
+    assert token_store.locate(spark, path, unknown).collect() == []
+
+
 def test_whole_table(spark, tokenizer):
     got = QUERIES["op8_token_store"](spark, SF).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == expected(documents(spark, SF).collect(), tokenizer)
