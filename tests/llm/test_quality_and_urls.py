@@ -1,8 +1,9 @@
 import zlib
-from math import exp
+from math import exp, log2
 
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from llm_fixtures import docs  # noqa: F401
@@ -113,3 +114,91 @@ def test_size_does_not_change_verdicts(spark):
     ]
     for small, large in ((got[0][k], got[1][k]) for k in (1, 2)):
         assert small.verdict == large.verdict == "allow" and abs(small.score - large.score) < 0.1
+
+
+def mixed_urls(n):
+    """Hosts of three suffixes, `co.uk` among them; blocked ones have long paths with digits and parameters."""
+    rows = []
+    for i in range(n):
+        bad = zlib.crc32(str(i).encode()) % 3 == 0
+        host = f"{'www' if i % 2 else 'm'}.site{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}.{('com', 'info', 'co.uk')[i % 3]}"
+        for k in range(1 + i % 3):
+            rows.append((f"http://{host}/" + (f"{7919 * i + k}/{k}{i}?q={i}&r={k}&s=1" if bad else f"about/page{'x' * k}"), int(bad), i % 2))
+    return rows
+
+
+def test_features_and_rates_by_brute_force(spark):
+    rows = mixed_urls(300)
+    known = url_filter.lexical(spark.createDataFrame([r[:2] for r in rows], "url string, label int"))
+    known = known.withColumn("label", F.col("label").cast("double"))
+    got = [r.asDict() for r in url_filter.with_rates(known, url_filter.suffix_rates(known)).withColumns(
+        {f"_{name}": url_filter._fold(name) for name in ("domain", "name")}).collect()]
+    assert len(got) == len(rows)
+    p = sum(r[1] for r in rows) / len(rows)
+
+    def entropy(text):
+        return -sum(text.count(c) / len(text) * log2(text.count(c) / len(text)) for c in set(text)) if text else 0.0
+
+    for r in got[::7]:
+        url, host, path = r["url"], r["url"].split("/")[2], "/" + r["url"].split("/", 3)[3].split("?")[0]
+        want = {
+            "url_length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"),
+            "labels": host.count(".") + 1, "digit_ratio": sum(c.isdigit() for c in url) / len(url), "hyphens": 0,
+            "host_digits": sum(c.isdigit() for c in host), "host_entropy": entropy(host), "path_entropy": entropy(path),
+            "parameters": url.count("&") + 1 if "?" in url else 0,
+        }
+        for suffix, name, rate in url_filter.SUFFIXES:
+            under = [x for x in got if x[suffix] == r[suffix]]
+            rest = [x["label"] for x in under if x[f"_{name}"] != r[f"_{name}"]]
+            many = len({x[name] for x in under}) >= url_filter.NAMES
+            want[rate] = (sum(rest) + url_filter.SMOOTHING * p) / (len(rest) + url_filter.SMOOTHING) if many else p
+        assert {k: r[k] for k in want} == pytest.approx(want)
+    assert {r["domain"] for r in got if r["domain_rate"] != p} == {"co.uk"}   # a registered domain has no rate
+
+
+def test_score_is_that_of_the_trees(spark):
+    known = url_filter.lexical(spark.createDataFrame([r[:2] for r in mixed_urls(300)], "url string, label int"))
+    known = known.withColumn("label", F.col("label").cast("double"))
+    rated = url_filter.with_rates(known, url_filter.suffix_rates(known))
+    model = url_filter.fit(rated, ["url"])
+    names = list(url_filter.FEATURES)
+    rows = VectorAssembler(inputCols=names, outputCol="_features").transform(rated)
+    both = model.transform(rows).withColumn("score", url_filter.boosted_score(model, names)).select("probability", "score").collect()
+    assert all(r.score == pytest.approx(r.probability[1]) for r in both)
+
+
+def test_own_labels_do_not_enter_a_rate(spark):
+    rows = [(f"http://www.n{i}.com/", float(i % 4 == 0)) for i in range(200)]
+    found = []
+    for own in (0.0, 1.0):
+        table = [(u, own if u == "http://www.n7.com/" else y) for u, y in rows]
+        known = url_filter.lexical(spark.createDataFrame(table, "url string, label double"))
+        _, tables = url_filter.suffix_rates(known, smoothing=0.0)
+        found.append(url_filter.with_rates(known, (0.0, tables)).where("host = 'www.n7.com'").first()["suffix_rate"])
+    assert found[0] == found[1] > 0
+
+
+def test_rates_of_a_large_table_are_joined(spark, capsys):
+    known = url_filter.lexical(spark.createDataFrame([r[:2] for r in mixed_urls(200)], "url string, label int"))
+    rates = url_filter.suffix_rates(known)
+    small, large = url_filter.with_rates(known, rates), url_filter.with_rates(known, rates, broadcast_rates=0)
+    assert small.columns == large.columns
+    assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
+    large.explain()
+    assert "_salt" in capsys.readouterr().out
+
+
+def test_hosts_held_out_whole(spark):
+    """Learnt on odd hosts, judged on even ones, by form alone; and on the table's own hosts."""
+    rows = mixed_urls(400)
+    labelled = spark.createDataFrame([r[:2] for r in rows if r[2]], "url string, label int")
+    pages = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows) if not r[2]], "page_id long, url string")
+    got = url_filter.judge(pages, rules=(), labelled=labelled).collect()
+    assert sum((r.verdict == "block") == bool(rows[r.page_id][1]) for r in got) >= 0.98 * len(got)
+
+    table = url_filter.lexical(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url"))
+    table = table.withColumns({"label": url_filter.seed_label(), "out": F.pmod(F.xxhash64("name"), F.lit(2)) == 0})
+    kept = table.where(~F.col("out") & F.col("label").isNotNull()).select("url", "label")
+    judged = url_filter.judge(table.where("out").select("page_id", "url"), rules=(), labelled=kept)
+    both = judged.join(table.select("page_id", "label"), "page_id").toPandas()
+    assert auc(both["label"], both["score"]) > 0.95
