@@ -6,6 +6,7 @@ Each per-key query of a hand-written loop is one set-based join here.
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,8 +90,8 @@ def external_ids(portal: Tables, sets: Collection[str] = DICTIONARY_SETS) -> Dat
     )
 
 
-def probe_synonyms(portal: Tables) -> DataFrame:
-    """Portal synonyms of each probe as a sorted array."""
+def probe_synonym_members(portal: Tables) -> DataFrame:
+    """Portal synonyms of each probe, a row each: ID, value."""
     attribute = portal["attribute"].where(F.col("type_id") == SYNONYM_ATTRIBUTE_TYPE)
     kinds = portal["attributetype"].select("attributetypeid").distinct()
     return (
@@ -101,21 +102,31 @@ def probe_synonyms(portal: Tables) -> DataFrame:
         .join(attribute, F.col("attribute_id") == F.col("attributeid"))
         .join(kinds, F.col("type_id") == F.col("attributetypeid"), "left_semi")
         .select(F.col("probeid").alias("ID"), F.translate("value", "'", "").alias("value"))
-        .transform(_gather("ID", "value", "SYNOMS"))
+        .transform(_members("ID", "value"))
     )
 
 
-def compound_synonyms(compounds: Tables) -> DataFrame:
-    """Compound-database synonyms of each structure key as a sorted array."""
+def probe_synonyms(portal: Tables) -> DataFrame:
+    """The same as a sorted array per probe."""
+    return _listed(probe_synonym_members(portal), "ID", "value", "SYNOMS")
+
+
+def compound_synonym_members(compounds: Tables) -> DataFrame:
+    """Compound-database synonyms of each structure key, a row each: INCHI, value."""
     return (
         compounds["molecule_synonyms"]
         .join(compounds["molecule_dictionary"].select("molregno"), "molregno", "left_semi")
         .join(compounds["compound_structures"], "molregno")
         .select(F.col("standard_inchi_key").alias("INCHI"), F.col("synonyms").alias("value"))
-        .transform(_gather("INCHI", "value", "SYNOMS_DB"))
+        .transform(_members("INCHI", "value"))
     )
 
 
+def compound_synonyms(compounds: Tables) -> DataFrame:
+    """The same as a sorted array per structure key."""
+    return _listed(compound_synonym_members(compounds), "INCHI", "value", "SYNOMS_DB")
+
+
 def preferred_names(compounds: Tables) -> DataFrame:
     """The preferred name of each structure key: the lowest one when there are several."""
     return (
@@ -139,7 +150,7 @@ def structure_phases(compounds: Tables) -> DataFrame:
 def probe_profile(
     probes: DataFrame, names: DataFrame, compounds: Tables, releases: DataFrame
 ) -> DataFrame:
-    """Structure, id, phase and release of each compound name, earliest release first.
+    """Structure, id, phase and release of each compound name.
 
     `names` maps PROBE to INCHI; a name with several structures gets the lowest.
     """
@@ -150,41 +161,64 @@ def probe_profile(
         .transform(lambda rows: spread_left(rows, compound_ids(compounds).dropna(subset=["INCHI"]), "INCHI"))
         .transform(lambda rows: spread_left(rows, structure_phases(compounds).dropna(subset=["INCHI"]), "INCHI"))
     )
-    return with_release(rows, releases).orderBy("RELEASED", "PROBE")
+    return with_release(rows, releases)
 
 
-def target_synonyms(portal: Tables) -> DataFrame:
-    """Portal synonyms of each base target as a sorted array."""
+def target_synonym_members(portal: Tables) -> DataFrame:
+    """Portal synonyms of each base target, a row each: TARGETID, value."""
     return portal["targetsynonym"].select(
         F.col("basetarget_id").alias("TARGETID"), F.col("synonym").alias("value")
-    ).transform(_gather("TARGETID", "value", "SYNOMS_TARGET"))
+    ).transform(_members("TARGETID", "value"))
 
 
-def component_synonyms(compounds: Tables) -> DataFrame:
-    """Compound-database synonyms of each protein accession as a sorted array."""
+def target_synonyms(portal: Tables) -> DataFrame:
+    """The same as a sorted array per base target."""
+    return _listed(target_synonym_members(portal), "TARGETID", "value", "SYNOMS_TARGET")
+
+
+def component_synonym_members(compounds: Tables) -> DataFrame:
+    """Compound-database synonyms of each protein accession, a row each: UNIPROT, value."""
     return (
         compounds["component_synonyms"]
         .join(compounds["component_sequences"], "component_id")
         .select(F.col("accession").alias("UNIPROT"), F.col("component_synonym").alias("value"))
-        .transform(_gather("UNIPROT", "value", "SYNOMS_TARGET_DB"))
+        .transform(_members("UNIPROT", "value"))
     )
 
 
-def _gather(key: str, value: str, name: str):
-    """Distinct values per key as a sorted array. Copies go before the rows of a key come together.
+def component_synonyms(compounds: Tables) -> DataFrame:
+    """The same as a sorted array per accession."""
+    return _listed(component_synonym_members(compounds), "UNIPROT", "value", "SYNOMS_TARGET_DB")
+
+
+def synonym_members(portal: Tables, compounds: Tables) -> DataFrame:
+    """All synonyms of compounds and targets in long form: source, key, term, without copies.
+
+    No list is made, so a key may have any number of synonyms. `source` says what the key is: probe, structure, target or
+    protein. Rows without a key go.
+    """
+    found = (
+        ("probe", probe_synonym_members(portal)), ("structure", compound_synonym_members(compounds)),
+        ("target", target_synonym_members(portal)), ("protein", component_synonym_members(compounds)),
+    )
+    parts = []
+    for source, rows in found:
+        key, value = rows.columns
+        parts.append(rows.dropna().select(F.lit(source).alias("source"), F.col(key).cast("string").alias("key"), F.col(value).alias("term")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _members(key: str, value: str):
+    """Distinct values per key, a row each.
 
     Values holding a `, ` are taken apart, as they will be when the dictionary is read from text.
     """
+    return lambda rows: rows.select(key, F.explode(split_list(value)).alias(value)).distinct()
 
-    def gather(rows: DataFrame) -> DataFrame:
-        return (
-            rows.select(key, F.explode(split_list(value)).alias(value))
-            .distinct()
-            .groupBy(key)
-            .agg(F.array_sort(F.collect_list(value)).alias(name))
-        )
 
-    return gather
+def _listed(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Distinct values per key as a sorted array. This is the shape of the dictionary, whose keys have few values each."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
 def merged(*columns: str) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litevidence.functions.text import split_list
+from litevidence.operators.bloom import MAX_WORDS, bloom_filter
+from litevidence.sources.writers import staged
 
 
 def name_columns(matches: DataFrame) -> DataFrame:
@@ -72,6 +74,18 @@ def select_articles(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     return probe_articles(mentions, dictionary).distinct()
 
 
+def select_articles_pruned(mentions: DataFrame, dictionary: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """The rows of `select_articles`, for dictionaries and article sets that are too large to broadcast.
+
+    Both scans of the corpus test a filter ahead of their semi-join, of the labels and then of the chosen articles, so most
+    rows that have no part in the result are never shuffled. Starts jobs: labels and chosen articles are written.
+    """
+    labels = staged(dictionary_labels(dictionary), "labels")
+    hits = labelled_mentions(bloom_filter(labels, "label", max_words).possible(mentions, "label"), labels)
+    articles = staged(article_ids(hits), "articles")
+    return mentions_of(bloom_filter(articles, "pmid", max_words).possible(mentions, "pmid"), articles).distinct()
+
+
 def improve_ids(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace the annotated id by the dictionary's id where the label is a known synonym."""
     ids = label_ids(dictionary).select("label", "COMPOUND_KEY")

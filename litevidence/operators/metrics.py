@@ -53,8 +53,11 @@ def pivot_counts(
 ) -> DataFrame:
     """Counts as a table with one column per listed value, summed or as their mean; absent cells are null.
 
-    Values that are not listed come together in the column `other`, so no count is lost.
+    Values that are not listed come together in the column `other`, so no count is lost; a listed value
+    must not have that name.
     """
+    if "other" in columns:
+        raise ValueError("`other` is the column of values that are not listed")
     listed = F.when(F.col(column).isin(*columns), F.col(column)).otherwise(F.lit("other"))
     cells = counts.withColumn(column, listed).groupBy(row).pivot(column, [*columns, "other"])
     return cells.agg(F.avg(value) if mean else F.sum(value))

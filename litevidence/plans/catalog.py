@@ -23,7 +23,7 @@ from litevidence.operators.fuzzy import fuzzy_ground_terms
 from litevidence.operators.incremental import PrevalenceState
 from litevidence.operators.mentions import (
     article_ids, complete_mentions, count_articles, dictionary_labels, improve_ids, label_ids,
-    labelled_mentions, name_columns, select_articles,
+    labelled_mentions, name_columns, select_articles, select_articles_pruned,
 )
 from litevidence.operators.targets import (
     accepted_triplets, ground_genes, with_overrides, without_blacklisted,
@@ -32,6 +32,7 @@ from litevidence.operators.triplets import extract_triplets, triplet_counts
 from litevidence.plans.literature import annotated_triplets
 from litevidence.plans.views import Views
 from litevidence.sources import readers
+from litevidence.sources.layout import read_bucketed, write_bucketed
 from litevidence.sources.writers import stage_folder, staged, staged_path, write_merged_text, write_parquet, write_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {}
 SETS = ("ECONOMY", "SMALL", "MEDIUM")
 PORTAL = "set MEDIUM"
 GROUNDED_SECTIONS = ("F",)
+BUCKETS = 8
 
 
 def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -117,6 +119,12 @@ def article_mentions(v: Views) -> DataFrame:
     return select_articles(mentions(v), v.dictionary_text())
 
 
+@query
+def article_mentions_pruned(v: Views) -> DataFrame:
+    """The same with filters ahead of the semi-joins."""
+    return select_articles_pruned(mentions(v), v.dictionary_text())
+
+
 @query
 def corpus_article_count(v: Views) -> DataFrame:
     return count_articles(mentions(v))
@@ -157,6 +165,14 @@ def triplet_extract_split(v: Views) -> DataFrame:
     return extract_triplets(mentions(v), counted=v.mention_articles(), max_product=2, gathered=3)
 
 
+@query
+def triplet_extract_bucketed(v: Views) -> DataFrame:
+    """The same from mentions in buckets of articles."""
+    path = staged_path(v.spark, "by-article")
+    write_bucketed(staged(mentions(v), "mentions"), path, ["pmid"], BUCKETS)
+    return extract_triplets(read_bucketed(v.spark, path))
+
+
 @query
 def triplet_outer_split(v: Views) -> DataFrame:
     return extract_triplets(mentions(v), outer=True, counted=v.mention_articles(), max_product=2, gathered=3)
@@ -218,6 +234,15 @@ def attach_evidence(v: Views) -> DataFrame:
     return evidence.attach_evidence(accepted(v), v.evidence(), copies=False)
 
 
+@query
+def attach_evidence_bucketed(v: Views) -> DataFrame:
+    """The same from triplets and evidence in buckets of pairs."""
+    found, known = staged_path(v.spark, "triplets-by-pair"), staged_path(v.spark, "evidence-by-pair")
+    write_bucketed(staged(evidence.evidence_names(accepted(v)), "accepted"), found, evidence.PAIR, BUCKETS)
+    write_bucketed(v.evidence(), known, evidence.PAIR, BUCKETS)
+    return evidence.attach_evidence(read_bucketed(v.spark, found), read_bucketed(v.spark, known), copies=False)
+
+
 @query
 def dated_evidence_lists(v: Views) -> DataFrame:
     return evidence.dated_lists(v.dated_evidence())
@@ -388,6 +413,11 @@ def component_synonyms(v: Views) -> DataFrame:
     return dictionary.component_synonyms(compounds(v))
 
 
+@query
+def synonym_members(v: Views) -> DataFrame:
+    return dictionary.synonym_members(portal(v), compounds(v))
+
+
 @query
 def synonym_merge(v: Views) -> DataFrame:
     return dictionary.with_synonyms(dictionary.main_set(portal(v), SETS), portal(v), compounds(v))
@@ -408,7 +438,7 @@ def probe_dictionary(v: Views) -> DataFrame:
 def probe_profile(v: Views) -> DataFrame:
     names = v.compound().select(F.col("name").alias("PROBE"), F.col("inchikey").alias("INCHI"))
     probes = v.table("part").select(F.col("p_name").alias("PROBE"))
-    return dictionary.probe_profile(probes, names, compounds(v), v.name_releases())
+    return dictionary.probe_profile(probes, names, compounds(v), v.name_releases()).orderBy("RELEASED", "PROBE")
 
 
 @query

@@ -521,6 +521,14 @@ BODIES = {
         FROM (SELECT CD, GP, DS || '[' || count(*) || ']' AS item, count(*) AS n FROM grounded GROUP BY CD, GP, DS)
         GROUP BY CD, GP""",
 }
+BODIES["synonym_members"] = """
+    SELECT 'probe' AS source, CAST(ID AS VARCHAR) AS key, unnest(string_split(SYNOMS, '|')) AS term FROM attribute_synonyms
+    UNION ALL SELECT DISTINCT 'structure', INCHI, unnest(string_split(SYNOMS_DB, '|')) FROM names WHERE SYNOMS_DB IS NOT NULL
+    UNION ALL SELECT 'target', CAST(TARGETID AS VARCHAR), unnest(string_split(SYNOMS_TARGET, '|')) FROM target_names
+    UNION ALL SELECT 'protein', UNIPROT, unnest(string_split(SYNOMS_TARGET_DB, '|')) FROM protein_names"""
+BODIES["article_mentions_pruned"] = BODIES["article_mentions"]
+BODIES["triplet_extract_bucketed"] = BODIES["triplet_extract"]
+BODIES["attach_evidence_bucketed"] = BODIES["attach_evidence"]
 BODIES["frequent_terms"] = BODIES["top_k_terms"]
 BODIES["prevalence_in_batches"] = BODIES["triplet_prevalence"]
 BODIES["triplet_extract_split"] = BODIES["triplet_extract"]
