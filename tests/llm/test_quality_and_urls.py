@@ -1,9 +1,11 @@
+import re
 import zlib
-from math import exp, log2
+from math import exp, log, log2
 
 import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from llm_fixtures import docs  # noqa: F401
@@ -42,6 +44,28 @@ def test_rules_are_paths_and_compile(spark):
         assert (r["score"] > 0.5) == (r["_target"] == 1)
 
 
+def test_statistics_by_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    rows += [(90, "A b\tb.\nb | b!  C9\n\nÄ b"), (91, "x" * 9000), (92, "\n\n")]
+    got = sorted(quality.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=repr)
+    want = []
+    for key, text in rows:
+        words, lines, n = re.split("[ \n\t]+", text), text.split("\n"), max(1, len(text))
+
+        def share(signs):
+            return sum(c in signs for c in text) / n
+
+        want.append(Row(_doc=key, **{
+            "log_chars": log(1 + len(text)), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"),
+            "signs": share("#$%&*@^~=+<>/\\_{}[]"), "bars": share("|"), "exclamations": share("!"), "stops": share(".,;:?"),
+            "beyond_ascii": (len(text.encode()) - len(text)) / n, "word_length": n / len(words),
+            "distinct_words": len(set(words)) / len(words), "words_of_a_line": len(words) / len(lines),
+            "distinct_lines": len(set(lines)) / len(lines),
+        }))
+    for one, two in zip(got, sorted(want, key=repr), strict=True):
+        assert one.asDict() == pytest.approx(two.asDict())
+
+
 def test_quality_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (5, None), (None, 0)], "doc_id long, quality int")
     got = quality.score_documents(docs, labels).collect()   # one class only
