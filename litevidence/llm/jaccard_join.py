@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from litevidence.llm.common import mix64, releasing, staged, wrapped
 from litevidence.llm.components import connected
+from litevidence.operators.skew import grid_join
 
 WORDS = 5
 NUM, DEN = 75, 100          # the similarity as a fraction
@@ -40,6 +41,7 @@ GROUPS = 256                # coordinates of a point
 ROUNDS = 2                  # of first links
 SHARED_TRIED = 4            # prefix shingles by which a class finds another in a round
 LEAF = 64                   # points of a leaf
+LEAF_PAIRS = 1 << 20        # pairs of leaves of one shingle that one task may meet
 RANGE_SHINGLES = 1_000_000  # occurrences of shingles in a range, on average
 FREQUENT_IN_CHUNK = 4       # occurrences in a chunk from which a shingle is counted on its own
 _CHUNK_BYTES = 1 << 20
@@ -413,10 +415,11 @@ def _leaves(leaf: int) -> callable:
     return pack
 
 
-def _other_pairs(points: DataFrame, num: int, den: int, leaf: int, best: bool) -> DataFrame:
+def _other_pairs(points: DataFrame, num: int, den: int, leaf: int, leaf_pairs: int, best: bool) -> DataFrame:
     """Pairs of different components that share a prefix shingle and whose counts allow the similarity.
 
-    With `best`, of a point and the points of one component in a leaf only the pair with the highest bound.
+    With `best`, of a point and the points of one component in a leaf only the pair with the highest bound. The leaves of a
+    shingle that very many classes share meet in cells of at most `leaf_pairs` pairs.
     """
     entry = points.select(F.explode("prefix").alias("token"), "v", "root")
     mixed = entry.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
@@ -429,7 +432,7 @@ def _other_pairs(points: DataFrame, num: int, den: int, leaf: int, best: bool) -
     one = leaves.select("token", *[F.col(c).alias(f"{c}_1") for c in leaves.columns if c != "token"])
     two = leaves.select("token", *[F.col(c).alias(f"{c}_2") for c in leaves.columns if c != "token"])
     overlap = F.aggregate(F.zip_with("top_1", "top_2", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
-    met = one.join(two, "token").where(
+    met = grid_join([one, two], ["token"], "inner", leaf_pairs).where(
         (F.col("leaf_1") <= F.col("leaf_2"))
         & (F.least("root_low_1", "root_low_2") < F.greatest("root_high_1", "root_high_2"))
         & (F.col("n_high_1") * den >= F.col("n_low_2") * num)
@@ -480,7 +483,8 @@ def text_key(text) -> Column:
 
 
 def _members(
-    docs: DataFrame, num: int = NUM, den: int = DEN, range_shingles: int = RANGE_SHINGLES, leaf: int = LEAF
+    docs: DataFrame, num: int = NUM, den: int = DEN, range_shingles: int = RANGE_SHINGLES, leaf: int = LEAF,
+    leaf_pairs: int = LEAF_PAIRS,
 ) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and a key of the component (null without words) for every row."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_key("text").alias("text_key"))
@@ -506,7 +510,7 @@ def _members(
     labels, links = _first_links(points, num, den)
     for best in (True, False):
         known = points.select("v", "n", "prefix", "point").join(labels, "v")
-        found = staged(_verified(_other_pairs(known, num, den, leaf, best), points, num, den), "more-links")
+        found = staged(_verified(_other_pairs(known, num, den, leaf, leaf_pairs, best), points, num, den), "more-links")
         links = links.unionByName(found)
         if best:
             labels = _hooked(labels, found)

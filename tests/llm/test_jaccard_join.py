@@ -45,7 +45,7 @@ def found(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"range_shingles": 40, "leaf": 2}, {"num": 50}])
+@pytest.mark.parametrize("options", [{}, {"range_shingles": 40, "leaf": 2}, {"leaf": 1, "leaf_pairs": 2}, {"num": 50}])
 def test_fixture(docs, options):
     assert found(jaccard_join.similar_documents(docs, **options)) == expected(docs.collect(), options.get("num", 75))
 
@@ -69,7 +69,7 @@ def test_chains_of_copies(spark):
     for i in range(80, 140):
         rows.append((i, passage + " " + " ".join(f"u{i}x{j}" for j in range(int(rng.integers(5, 60))))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"range_shingles": 500, "leaf": 4}):
+    for options in ({}, {"range_shingles": 500, "leaf": 4}, {"leaf": 2, "leaf_pairs": 9}):
         assert found(jaccard_join.similar_documents(docs, **options)) == expected(docs.collect())
 
 
