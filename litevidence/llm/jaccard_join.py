@@ -501,9 +501,10 @@ def _members(
     classes = staged(rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first_id")), "classes")
 
     points = staged(
+        # As many tasks as ranges, however many the session would take, so a task's size does not grow with the input.
         texts.mapInArrow(releasing(_posted(n_ranges, shared)), _POSTED)
-        .groupBy("part").applyInArrow(_counted(n_ranges), _SHARED)
-        .groupBy("part").applyInArrow(_points(num, den), _POINT)
+        .repartition(n_ranges + 1, "part").groupBy("part").applyInArrow(_counted(n_ranges), _SHARED)
+        .repartition(n_ranges + 1, "part").groupBy("part").applyInArrow(_points(num, den), _POINT)
         .withColumn("v", F.monotonically_increasing_id()),
         "points",
     )
