@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ SHINGLE = 5
 PASSAGE_WORDS = 128       # least length of a passage
 BLOCK_ITEMS = 16
 MAX_INDEX_BYTES = 4 << 20  # of the texts of items; the index takes some ten times that
-_BATCH_WORDS = 400_000
+_BATCH_WORDS = 100_000    # searched at once: the arrays of a search take some 0.6 KB a word
 FOUND = (
     "doc_id long, text_key long, item_id long, score double, threshold double, overlap double, question_overlap double, "
     "answer_overlap double"
@@ -190,8 +191,8 @@ def retrieve(index: Index, ids: np.ndarray, owner: np.ndarray, length: int, stri
     `ids` are the term of each word (-1: none) of some texts one after the other, `owner` their texts.
     """
     known = np.flatnonzero(ids >= 0)
-    start = np.searchsorted(owner, owner)[known] if len(known) else known
-    place = known - start
+    counts = np.bincount(owner, minlength=1)
+    place = known - (np.cumsum(counts) - counts)[owner[known]]
     # Passage p of a text holds its words from p * stride, so a word is in each of the last length / stride ones.
     last = place // stride
     span = -(-length // stride)
@@ -296,7 +297,7 @@ def _search(index: Index, batch: pd.DataFrame, overlap: float, part_overlap: flo
     size = 0
     for doc_id, text_key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
         words = _words(text.lower())
-        ids = np.array([lookup(w, -1) for w in words], dtype=np.int64)
+        ids = np.fromiter(map(lookup, words, repeat(-1)), dtype=np.int64, count=len(words))
         held.append(((doc_id, text_key), ids))
         size += len(ids)
         if size >= _BATCH_WORDS:
