@@ -156,3 +156,27 @@ def test_held_out(spark):
     assert len(got) == len(lang) and not got["rejected"].any()
     out = got[got["held_out"]]
     assert len(out) > 200 and (out["lang"] == out["lang_pred"]).mean() > 0.98
+
+
+def test_every_document_is_counted_and_calibrates(spark, monkeypatch):
+    """No text is kept from the counts, and one odd text among many moves the limit, whichever it is."""
+    texts = [("x", "abcd efgh " * 30 + chr(0x3B1 + i) * 3) for i in range(24)]
+    model = li.train(spark.createDataFrame(texts, "lang string, text string"))
+    grams = np.unique(np.concatenate([li.ngram_codes(li.symbol_sequence(t)) for _, t in texts]))
+    assert len(model.slices[0].value.levels[0][-1].grams) == len(grams)
+
+    monkeypatch.setattr(li, "LEAST_REACH", -100.0)
+    usual = [("x", "abcd efgh " * 30 + "abcd"[: i % 5] + " " * i + "e") for i in range(40)]
+    plain = li.train(spark.createDataFrame(usual, "lang string, text string")).reach[0]
+    for i in range(3):
+        odd = usual + [("x", "hgdbca" * 50 + chr(0x3B1 + i))]
+        assert li.train(spark.createDataFrame(odd, "lang string, text string")).reach[0] > plain + 0.1
+
+
+def test_excess_limits_like_counting(spark):
+    rng = np.random.default_rng(3)
+    found = [("x", int(b), 1) for b in rng.integers(-50, 400, 3000)] + [("y", 7, 2)]
+    got = li.excess_limits(spark.createDataFrame(found, "lang string, bin int, n int"), 0.01)
+    own = sorted(b for lang, b, _ in found if lang == "x")
+    limit = min(b for b in own if sum(c > b for c in own) <= 30)
+    assert got == {"x": limit / li.BINS, "y": 7 / li.BINS}
