@@ -163,8 +163,16 @@ def pivot_blocks(counts: DataFrame, row: str, column: str, value: str, width: in
     ids = staged(dense_ids(counts, column, "id"), "pivot-columns")
     names = ids.select(column, "id", F.floor(F.col("id") / width).alias("block"), F.pmod("id", F.lit(width)).cast("int").alias("place"))
     cells = counts.join(names, column).groupBy(row, "block", "place").agg(F.sum(value).alias("_v"))
-    filled = cells.groupBy(row, "block").agg(F.map_from_entries(F.collect_list(F.struct("place", "_v"))).alias("_m"))
-    return filled.select(row, "block", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("_m", i)).alias("cells")), names
+    held = cells.groupBy(row, "block").agg(F.array_sort(F.collect_list(F.struct("place", "_v"))).alias("_held"))
+    return held.select(row, "block", _spread("_held", width).alias("cells")), names
+
+
+def _spread(held: str, width: int) -> Column:
+    """An array of `width` values from sorted (place, _v), null between them. Work is done for each value held, not for each place."""
+    none = F.lit(None).cast("long")
+    before = lambda i: F.coalesce(F.get(held, i - 1)["place"], F.lit(-1))
+    parts = F.transform(held, lambda e, i: F.concat(F.array_repeat(none, e["place"] - before(i) - 1), F.array(e["_v"])))
+    return F.concat(F.flatten(parts), F.array_repeat(none, width - 1 - F.element_at(held, -1)["place"]))
 
 
 def pivot_columns(blocks: DataFrame, names: DataFrame, row: str, column: str, wanted: Sequence[str]) -> DataFrame:

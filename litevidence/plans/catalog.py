@@ -625,7 +625,7 @@ def pivot_in_blocks(v: Views) -> DataFrame:
     rows = v.table("lineitem").select(F.col("l_suppkey").alias("GENE"), _compound().alias("PROBE"), F.col("l_orderkey").alias("PMID"))
     counts = metrics.distinct_per(rows, ["GENE", "PROBE"], "PMID", "n")
     blocks, names = metrics.pivot_blocks(staged(counts, "pair-counts"), "GENE", "PROBE", "n")
-    shown = F.array_join(F.transform("cells", lambda c: F.coalesce(c.cast("string"), F.lit("-"))), " ")
+    shown = F.array_join(F.col("cells").cast("array<string>"), " ", "-")
     first = names.where("place = 0").select("block", F.col("PROBE").alias("first_column"))
     return blocks.select("GENE", "block", shown.alias("shown")).join(first, "block")
 
