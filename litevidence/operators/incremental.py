@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litevidence.operators.triplets import ENTITY_TYPES, extract_triplets, triplet_counts
-from litevidence.sources.writers import file_system
+from litevidence.sources.writers import file_system, staged
 
 FAN_IN = 8
 _COUNTS = ", ".join(f"{kind} string" for kind in ENTITY_TYPES) + ", n_triplets long, n_articles long"
@@ -63,9 +63,12 @@ class PrevalenceState:
         return parts.groupBy(*ENTITY_TYPES).agg(F.sum("n_triplets").alias("n_triplets"), F.sum("n_articles").alias("n_articles"))
 
     def add(self, mentions: DataFrame, **options) -> None:
-        """Counts the articles of a batch that are not known yet. Options are those of `extract_triplets`."""
+        """Counts the articles of a batch that are not known yet. Options are those of `extract_triplets`.
+
+        Their mentions are written once: listing the articles, counting and extracting all read them.
+        """
         version = self._last() + 1
-        new = mentions.join(self.articles(), "pmid", "left_anti")
+        new = staged(mentions.join(self.articles(), "pmid", "left_anti"), "new-mentions")
         new.select("pmid").where("pmid IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{self.folder}/articles/v{version}")
         counts = triplet_counts(extract_triplets(new, **options)).select(*ENTITY_TYPES, "n_triplets", "n_articles")
         counts.write.mode("overwrite").parquet(f"{self.folder}/counts/v{version}")
