@@ -33,6 +33,24 @@ def ground_genes(dictionary: DataFrame, gene_table: DataFrame) -> DataFrame:
     return gene_symbols(dictionary).join(ids, "symbol", "left")
 
 
+def accepted_targets(dictionary: DataFrame, gene_table: DataFrame) -> DataFrame:
+    """Distinct dictionary rows that have a compound, once per accepted target GP.
+
+    Symbols are grounded once per distinct gene list, so the dictionary's rows, many more than its lists, are made distinct
+    a single time and only before they are multiplied.
+    """
+    lists = ground_genes(dictionary.select("GENE").distinct(), gene_table).groupBy("GENE").agg(
+        F.collect_set("ENS_ID").alias("_ids")
+    )
+    return (
+        dictionary.dropna(subset=["COMPOUND_KEY"]).distinct()
+        .join(lists, "GENE")
+        .withColumn("GP", F.explode("_ids"))
+        .drop("_ids")
+        .select(*dictionary.columns, "GP")
+    )
+
+
 def accepted_triplets(
     triplets: DataFrame, dictionary: DataFrame, gene_table: DataFrame, once: bool = False
 ) -> DataFrame:
@@ -41,15 +59,11 @@ def accepted_triplets(
     A pair that is in several sets gives one row per dictionary row; with `once` each triplet is kept a
     single time and no dictionary columns are added.
     """
-    pairs = (
-        ground_genes(dictionary, gene_table)
-        .withColumnsRenamed({"COMPOUND_KEY": "CD", "ENS_ID": "GP"})
-        .drop("symbol")
-        .dropna(subset=["CD", "GP"])
-    )
+    rows = dictionary.select("COMPOUND_KEY", "GENE") if once else dictionary
+    pairs = accepted_targets(rows, gene_table).withColumnRenamed("COMPOUND_KEY", "CD")
     if once:
-        pairs = pairs.select("CD", "GP")
-    return triplets.join(pairs.distinct(), ["CD", "GP"], "left_semi" if once else "inner")
+        return triplets.join(pairs.drop("GENE"), ["CD", "GP"], "left_semi")
+    return triplets.join(pairs, ["CD", "GP"])
 
 
 def without_blacklisted(triplets: DataFrame, blacklist: DataFrame, column: str = "DS") -> DataFrame:
