@@ -32,7 +32,7 @@ from litevidence.operators.triplets import extract_triplets, triplet_counts
 from litevidence.plans.literature import annotated_triplets
 from litevidence.plans.views import Views
 from litevidence.sources import readers
-from litevidence.sources.layout import read_bucketed, write_bucketed
+from litevidence.sources.layout import bucket_count, read_bucketed, write_bucketed
 from litevidence.sources.writers import stage_folder, staged, staged_path, write_merged_text, write_parquet, write_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,6 @@ QUERIES: dict[str, Query] = {}
 SETS = ("ECONOMY", "SMALL", "MEDIUM")
 PORTAL = "set MEDIUM"
 GROUNDED_SECTIONS = ("F",)
-BUCKETS = 8
 
 
 def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -175,7 +174,8 @@ def triplet_extract_split(v: Views) -> DataFrame:
 def triplet_extract_bucketed(v: Views) -> DataFrame:
     """The same from mentions in buckets of articles."""
     path = staged_path(v.spark, "by-article")
-    write_bucketed(staged(mentions(v), "mentions"), path, ["pmid"], BUCKETS)
+    found = staged(mentions(v), "mentions")
+    write_bucketed(found, path, ["pmid"], bucket_count(found))
     return extract_triplets(read_bucketed(v.spark, path))
 
 
@@ -244,8 +244,10 @@ def attach_evidence(v: Views) -> DataFrame:
 def attach_evidence_bucketed(v: Views) -> DataFrame:
     """The same from triplets and evidence in buckets of pairs."""
     found, known = staged_path(v.spark, "triplets-by-pair"), staged_path(v.spark, "evidence-by-pair")
-    write_bucketed(staged(evidence.evidence_names(accepted(v)), "accepted"), found, evidence.PAIR, BUCKETS)
-    write_bucketed(v.evidence(), known, evidence.PAIR, BUCKETS)
+    rows, facts = staged(evidence.evidence_names(accepted(v)), "accepted"), staged(v.evidence(), "evidence")
+    buckets = bucket_count(rows, facts)
+    write_bucketed(rows, found, evidence.PAIR, buckets)
+    write_bucketed(facts, known, evidence.PAIR, buckets)
     return evidence.attach_evidence(read_bucketed(v.spark, found), read_bucketed(v.spark, known), copies=False)
 
 

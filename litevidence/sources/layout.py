@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 from litevidence.sources.writers import write_parquet
 
 MAX_SHARE = 4.0    # times the mean that the largest bucket may hold
+MIN_BUCKETS = 8
+BUCKET_ROWS = 1_000_000   # of the largest table, on average
 
 
 def _table(path: str) -> str:
@@ -30,6 +32,14 @@ def _list(names: Sequence[str]) -> str:
     return ", ".join(f"`{n}`" for n in names)
 
 
+def bucket_count(*tables: DataFrame, rows: int = BUCKET_ROWS) -> int:
+    """Buckets for tables that are to meet, so that those of the largest hold about `rows` rows each.
+
+    A bucket is one task's, so their number has to grow with the tables. These are counted, so they should be written ones.
+    """
+    return max(MIN_BUCKETS, -(-max(table.count() for table in tables) // rows))
+
+
 def largest_bucket(rows: DataFrame, keys: Sequence[str], buckets: int) -> float:
     """Rows of the largest bucket, as a multiple of the mean over all buckets; 0 without rows."""
     sizes = rows.groupBy(F.pmod(F.hash(*keys), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
