@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ from litevidence.llm.tokens import encoder
 
 CAPACITY = 2048
 SHARD_PIECES = 16_384   # documents of a shard, on average
+SLICE_ROWS = 256        # documents encoded at once
+KEPT_BYTES = 24 << 20   # of a generation of pieces a process keeps, as workers of earlier stages have grown
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
@@ -80,20 +84,23 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """The pieces of every document: its ids and the end id, cut after each `capacity` of them."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path).encode
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer_path, KEPT_BYTES).encode
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((key, k, at, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype(
-                {"doc_id": "Int64"}
-            )
-
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(releasing(pieces), PIECES)
+            # A few texts at a time are made Python strings, not the whole batch.
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(first, SLICE_ROWS)
+                cuts = []
+                for key, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
+                    ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        cuts.append((key, k, at, len(part), zlib.crc32(part.tobytes())))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, kind) for x, kind in zip(zip(*cuts, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(releasing(pieces), PIECES)
 
 
 def pack(

@@ -75,7 +75,7 @@ class Generations(dict):
 class Encoder:
     """Ids of texts as arrays of unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -88,7 +88,7 @@ class Encoder:
         self.by_word = steps == _STEPS and bool(cuts) and cuts[0].get("pattern") == {"Regex": _PATTERN}
         self.special = [x["content"] for x in made.get("added_tokens", [])]
         self.pieces = regex.compile(_PATTERN).findall
-        self.words, self.parts = Generations(self._word, WORD_BYTES), Generations(self._token, KEPT_BYTES)
+        self.words, self.parts = Generations(self._word, WORD_BYTES), Generations(self._token, kept_bytes)
         if self.by_word:
             self.tokenize = _model(made["model"]).tokenize
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
@@ -171,6 +171,6 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per process and file."""
-    return Encoder(path)
+def encoder(path: str, kept_bytes: int = KEPT_BYTES) -> Encoder:
+    """One encoder per process, file and size of its store."""
+    return Encoder(path, kept_bytes)
