@@ -94,16 +94,17 @@ def grid_join(
     hot = staged(products(sides, on, max_product), "hot-keys")
     if hot.isEmpty():
         return reduce(lambda a, b: a.join(b, on, how), sides)
-    counts = [f"_n{j}" for j in span]
-    coords = [f"_c{j}" for j in span]
+    # A row carries its cell and, where rows may be padded, one number that says which sides have rows of its key.
+    padded = {"inner": [], "left": span[1:], "full_outer": span}[how]
+    cell = [f"_c{j}" for j in span] + (["_sides"] if padded else [])
     dealt = [_deal(side, hot, on, i, len(sides)) for i, side in enumerate(sides)]
-    joined = reduce(lambda a, b: a.join(b, on + counts + coords, how), dealt)
+    dealt = [d.select(*side.columns, *cell, *([f"_hit{i}"] if i in padded else [])) for i, (d, side) in enumerate(zip(dealt, sides, strict=True))]
+    joined = reduce(lambda a, b: a.join(b, on + cell, how), dealt)
 
     # A slice may be empty although the key has rows on that side: its null-padded rows are not ours.
-    padded = {"inner": [], "left": span[1:], "full_outer": span}[how]
     for j in padded:
-        joined = joined.where(F.col(f"_hit{j}").isNotNull() | (F.col(f"_n{j}") == 0))
-    return joined.drop(*counts, *coords, *[f"_hit{j}" for j in span])
+        joined = joined.where(F.col(f"_hit{j}").isNotNull() | (F.col("_sides").bitwiseAND(1 << j) == 0))
+    return joined.drop(*cell, *[f"_hit{j}" for j in padded])
 
 
 def _deal(side: DataFrame, hot: DataFrame, on: list[str], own: int, width: int) -> DataFrame:
@@ -118,5 +119,6 @@ def _deal(side: DataFrame, hot: DataFrame, on: list[str], own: int, width: int)
             out = out.withColumn(f"_c{j}", F.pmod(F.col("_row"), parts.cast("long")).cast("int"))
         else:
             out = out.withColumn(f"_c{j}", F.explode(F.sequence(F.lit(0), parts - 1)))
-        out = out.withColumn(f"_n{j}", F.coalesce(F.col(f"_n{j}"), F.lit(0).cast("long")))
-    return out.withColumn(f"_hit{own}", F.lit(True)).drop("_row", *[f"_s{j}" for j in range(width)])
+    # None for the keys that are not dealt.
+    held = [F.when(F.col(f"_n{j}") > 0, 1 << j).otherwise(0) for j in range(width)]
+    return out.withColumn("_sides", reduce(Column.__add__, held)).withColumn(f"_hit{own}", F.lit(True))
