@@ -28,34 +28,45 @@ def as_is(terms: Column) -> Column:
 
 
 def main_set(portal: Tables, sets: Collection[str] = DICTIONARY_SETS) -> DataFrame:
-    """Reported probes of the chosen sets with their targets; the compound may be missing."""
+    """Reported probes of the chosen sets with their targets; the compound may be missing.
+
+    Probes, targets and their links are made distinct each, so that their combinations, many more and wider, need not be.
+    """
     probe = portal["probe"].where(F.col("origin_id") != CALCULATED_ORIGIN)
     probe = probe.where(F.col("compoundset_id").cast("string").isin(*sets))
     compound = portal["compound"].select("compoundid", F.col("name").alias("PROBE"), "inchikey")
     names = portal["compoundset"].select(
         F.col("compoundsetid").alias("SETID"), F.col("name").alias("SET")
     ).where(F.col("SETID").cast("string").isin(*sets))
-    rows = (
+    probes = (
         probe.join(compound, F.col("compound_id") == F.col("compoundid"), "left")
-        .join(portal["probetobasetarget"], F.col("probe_id") == F.col("probeid"))
-        .join(portal["basetarget"], F.col("basetarget_id") == F.col("basetargetid"))
-        .join(
-            portal["targettobasetarget"].withColumnRenamed("basetarget_id", "tbt_basetarget"),
-            F.col("tbt_basetarget") == F.col("basetargetid"),
-        )
-        .join(portal["target"], F.col("targetid") == F.col("target_id"))
         .select(
             F.col("probeid").alias("ID"),
             F.col("compoundset_id").alias("SETID"),
-            F.col("uniprotid").alias("UNIPROT"),
             "PROBE",
             F.col("inchikey").alias("INCHI"),
-            F.col("gene_name").alias("GENE"),
             F.col("control").alias("CONTR"),
-            F.col("basetarget_id").alias("TARGETID"),
         )
         .distinct()
     )
+    proteins = (
+        portal["targettobasetarget"]
+        .join(portal["target"], F.col("targetid") == F.col("target_id"))
+        .select(F.col("basetarget_id").alias("_protein_of"), F.col("uniprotid").alias("UNIPROT"))
+        .distinct()
+    )
+    targets = (
+        portal["basetarget"].select(F.col("basetargetid").alias("_target"), F.col("gene_name").alias("GENE"))
+        .distinct()
+        .join(proteins, F.col("_protein_of") == F.col("_target"))
+    )
+    rows = (
+        portal["probetobasetarget"].select("probe_id", F.col("basetarget_id").alias("TARGETID"))
+        .distinct()
+        .join(probes, F.col("probe_id") == F.col("ID"))
+        .join(targets, F.col("TARGETID") == F.col("_target"))
+        .select("ID", "SETID", "UNIPROT", "PROBE", "INCHI", "GENE", "CONTR", "TARGETID")
+    )
     return (
         rows.join(names.distinct(), ["SETID"])
         .withColumn("CONTR", strip_literal("CONTR"))
