@@ -137,7 +137,9 @@ def corpus_article_count(v: Views) -> DataFrame:
 
 @query
 def improve_ids_(v: Views) -> DataFrame:
-    return improve_ids(mentions(v), v.dictionary_text()).distinct()
+    rows = improve_ids(mentions(v), v.dictionary_text())
+    # Few are copies: they go after the shuffle, as before it a task would hold its wide rows beside those of the joins.
+    return rows.repartition(*rows.columns).distinct()
 
 
 @query

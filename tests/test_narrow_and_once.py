@@ -42,3 +42,9 @@ def test_a_batch_reads_its_mentions_once(spark, tmp_path):
     state.add(found.withColumn("pmid", F.udf(seen, "string").asNondeterministic()("pmid")))
     assert read.value == 30
     assert sum(r["n_articles"] for r in state.counts().collect()) == 10
+
+
+def test_improved_mentions_are_grouped_after_the_shuffle_only(spark, capsys):
+    QUERIES["improve_ids"](spark, SF).explain()
+    joins = capsys.readouterr().out.partition("Exchange hashpartitioning(")[2]
+    assert joins and not [line for line in joins.splitlines() if "Aggregate(" in line and "sentence" in line]
