@@ -33,17 +33,23 @@ def ground_genes(dictionary: DataFrame, gene_table: DataFrame) -> DataFrame:
     return gene_symbols(dictionary).join(ids, "symbol", "left")
 
 
-def accepted_targets(dictionary: DataFrame, gene_table: DataFrame) -> DataFrame:
+def accepted_targets(dictionary: DataFrame, gene_table: DataFrame, few_copies: bool = False) -> DataFrame:
     """Distinct dictionary rows that have a compound, once per accepted target GP.
 
     Symbols are grounded once per distinct gene list, so the dictionary's rows, many more than its lists, are made distinct
-    a single time and only before they are multiplied.
+    a single time and only before they are multiplied. With `few_copies` the caller states that hardly any row is a copy: copies
+    then go after the shuffle only, in all of the session's shuffle partitions. Ahead of it each task would hold the rows of
+    its whole share of the input to find next to none, and merged partitions would hold many more than they need.
     """
+    rows = dictionary.dropna(subset=["COMPOUND_KEY"])
+    if few_copies:
+        partitions = int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(partitions, *rows.columns)
     lists = ground_genes(dictionary.select("GENE").distinct(), gene_table).groupBy("GENE").agg(
         F.collect_set("ENS_ID").alias("_ids")
     )
     return (
-        dictionary.dropna(subset=["COMPOUND_KEY"]).distinct()
+        rows.distinct()
         .join(lists, "GENE")
         .withColumn("GP", F.explode("_ids"))
         .drop("_ids")
@@ -52,15 +58,15 @@ def accepted_targets(dictionary: DataFrame, gene_table: DataFrame) -> DataFrame:
 
 
 def accepted_triplets(
-    triplets: DataFrame, dictionary: DataFrame, gene_table: DataFrame, once: bool = False
+    triplets: DataFrame, dictionary: DataFrame, gene_table: DataFrame, once: bool = False, few_copies: bool = False
 ) -> DataFrame:
     """Triplets joined to the dictionary rows that accept (compound, target).
 
     A pair that is in several sets gives one row per dictionary row; with `once` each triplet is kept a
-    single time and no dictionary columns are added.
+    single time and no dictionary columns are added. `few_copies` is that of `accepted_targets`.
     """
     rows = dictionary.select("COMPOUND_KEY", "GENE") if once else dictionary
-    pairs = accepted_targets(rows, gene_table).withColumnRenamed("COMPOUND_KEY", "CD")
+    pairs = accepted_targets(rows, gene_table, few_copies).withColumnRenamed("COMPOUND_KEY", "CD")
     if once:
         return triplets.join(pairs.drop("GENE"), ["CD", "GP"], "left_semi")
     return triplets.join(pairs, ["CD", "GP"])

@@ -72,7 +72,7 @@ def triplets(v: Views) -> DataFrame:
 
 
 def accepted(v: Views, once: bool = True) -> DataFrame:
-    return accepted_triplets(triplets(v), v.dictionary_targets(), v.gene_symbol(), once)
+    return accepted_triplets(triplets(v), v.dictionary_targets(), v.gene_symbol(), once, few_copies=True)
 
 
 def portal(v: Views) -> dict[str, DataFrame]:
@@ -216,7 +216,7 @@ def prevalence_in_batches(v: Views) -> DataFrame:
 
 @query
 def gene_to_id(v: Views) -> DataFrame:
-    return ground_genes(v.dictionary_targets(), v.gene_symbol())
+    return ground_genes(v.dictionary_targets().distinct(), v.gene_symbol())
 
 
 @query
@@ -371,6 +371,7 @@ def annotated_triplets_(v: Views) -> DataFrame:
     return annotated_triplets(
         mentions(v), v.dictionary_text(), v.dictionary_targets(), v.gene_symbol(), v.evidence(),
         v.dated_evidence(), v.disease(), v.known_drug(), v.article_type(), v.blacklist(),
+        few_copies=True,
     )
 
 

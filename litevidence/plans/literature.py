@@ -51,19 +51,20 @@ def annotated_triplets(
     known_drug: DataFrame,
     article_type: DataFrame,
     blacklist: DataFrame | None = None,
+    few_copies: bool = False,
 ) -> DataFrame:
     """Accepted triplets with evidence, dated evidence, area, phase and article type.
 
     What is known about a target-disease pair is put together once per pair and meets the triplets in a
     single join, so the wide triplet rows with their sentences are shuffled once. Two tables are written on
-    the way: the chosen mentions and the accepted triplets.
+    the way: the chosen mentions and the accepted triplets. `few_copies` is that of `accepted_targets`.
     """
     triplets = grounded_triplets(mentions, dictionary)
     if blacklist is not None:
         triplets = without_blacklisted(triplets, blacklist)
     # Distinct by construction: triplets of a sentence and accepted pairs both are.
     accepted = staged(
-        evidence_names(accepted_triplets(triplets, dictionary_targets, gene_table)), "accepted"
+        evidence_names(accepted_triplets(triplets, dictionary_targets, gene_table, few_copies=few_copies)), "accepted"
     )
     pairs = accepted.select(*PAIR).distinct()
     known = annotated_pairs(pairs, evidence, dated, disease, known_drug)
