@@ -535,7 +535,7 @@ def label_grounding(v: Views) -> DataFrame:
 def merged_export(v: Views) -> DataFrame:
     """The report as one file that all tasks write, read back."""
     path = staged_path(v.spark, "report").removesuffix(".parquet") + ".tsv"
-    rows = report(v)
+    rows = curation.read_marks(v.curated(), counted=v.curated_mentions())
     write_merged_text(rows, path)
     return readers.read_lines(v.spark, path, rows.schema)
 

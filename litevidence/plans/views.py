@@ -395,6 +395,14 @@ class Views:
             )
         )
 
+    def curated_mentions(self) -> DataFrame:
+        """What each row of the report has of its mention alone, for counting."""
+        return self.table("lineitem").select(
+            F.col("l_orderkey").cast("string").alias("PMID"),
+            F.concat(F.lit("GENE"), "l_suppkey").alias("GENE"),
+            F.when(F.col("l_tax") > 0.06, "IC50").alias("DOSAGE"),
+        )
+
     def probe_sets(self) -> DataFrame:
         """Which set a compound name belongs to."""
         return self.table("part").select(F.col("p_name").alias("PROBE"), F.col("p_brand").alias("SET")).distinct()

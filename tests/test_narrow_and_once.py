@@ -8,7 +8,9 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from litevidence.operators import curation
 from litevidence.operators.incremental import PrevalenceState
+from litevidence.plans import catalog
 from litevidence.plans.catalog import QUERIES, report
 from litevidence.plans.views import Views
 
@@ -48,3 +50,26 @@ def test_improved_mentions_are_grouped_after_the_shuffle_only(spark, capsys):
     QUERIES["improve_ids"](spark, SF).explain()
     joins = capsys.readouterr().out.partition("Exchange hashpartitioning(")[2]
     assert joins and not [line for line in joins.splitlines() if "Aggregate(" in line and "sentence" in line]
+
+
+def test_export_shuffles_only_rows_that_may_be_copies(spark, monkeypatch):
+    given = []
+    write = catalog.write_merged_text
+    monkeypatch.setattr(catalog, "write_merged_text", lambda table, path: (given.append(table), write(table, path)))
+    whole = spark.createDataFrame(QUERIES["merged_export"](spark, SF).collect(), Views(spark, SF).curated().schema)
+    assert rows(whole) == rows(report(Views(spark, SF)))
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    groups = [line.index("Aggregate [") for line in plan if "Aggregate [" in line and "TEXT" in line]
+    assert not groups or any("Join LeftAnti" in line for line in plan) and any("Join LeftSemi" in line for line in plan)
+
+
+def test_copies_go_where_the_counted_columns_are_shared(spark):
+    table = spark.createDataFrame(
+        [("1", "a", "x"), ("1", "a", "x"), ("1", "a", "y"), ("2", None, "x"), ("2", None, "x"), (None, "2", "x"), (None, None, "[]"),
+         (None, "None", None), ("3", "a", "x"), ("3", "b", "x")],
+        "one string, two string, three string",
+    )
+    for keys in (["one"], ["one", "two"], ["three"], table.columns):
+        assert rows(curation.read_marks(table, counted=table.select(*keys))) == rows(curation.read_marks(table))
+    alone = table.where("one = '3'")
+    assert "Aggregate" not in curation.read_marks(alone, counted=alone)._jdf.queryExecution().optimizedPlan().toString()
