@@ -73,3 +73,8 @@ def test_copies_go_where_the_counted_columns_are_shared(spark):
         assert rows(curation.read_marks(table, counted=table.select(*keys))) == rows(curation.read_marks(table))
     alone = table.where("one = '3'")
     assert "Aggregate" not in curation.read_marks(alone, counted=alone)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_is_counted_after_the_shuffle_only(spark):
+    plan = Views(spark, SF).evidence()._jdf.queryExecution().executedPlan().toString().partition("Exchange hashpartitioning(")
+    assert "HashAggregate(" in plan[0] and plan[2] and "Aggregate(" not in plan[2]
