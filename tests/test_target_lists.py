@@ -88,3 +88,11 @@ def test_the_main_set_is_not_shuffled_for_names_of_sets_and_proteins(spark, sett
     by_set = [m.start() for m in re.finditer(r"Exchange hashpartitioning\(SETID", plan)]
     combined = plan.index("_target#")
     assert by_set and min(by_set) > combined
+
+
+def test_compound_ids_are_looked_up_once_per_compound(spark, settings, capsys):
+    settings("spark.sql.autoBroadcastJoinThreshold", "-1")
+    views = Views(spark, SF)
+    dictionary.build_dictionary(portal_tables(views), compound_tables(views), None, SETS).explain()
+    keys = re.findall(r"HashAggregate\(keys=\[(ID#[^\]]*)\]", capsys.readouterr().out)
+    assert any("_terms" in k for k in keys) and not any("COMPOUND_KEY" in k for k in keys)
